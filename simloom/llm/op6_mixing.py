@@ -121,8 +121,8 @@ def mix(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, period
     places = _small(spark, [{"_key": k, "phase": i, "q": q, "at": t} for i, p in enumerate(plan) for t, (k, q) in enumerate(p["plan"])], "_key string, phase int, q long, at long")
     # ranks in hash order without sorting a source in one task: ranks in fine buckets, plus the rows of the buckets before
     buckets = max(1, -(-sum(counts.values()) // BUCKET_ROWS))
-    width = max(1, 2**64 // buckets)
-    rows = rows.withColumn("_bucket", F.floor((F.col("_h").cast("decimal(38,0)") + F.lit(2**63)) / F.lit(width)).cast("long"))
+    top = F.shiftright("_h", 32) + F.lit(2**31)  # 0 up to 2**32, in the order of the hash
+    rows = rows.withColumn("_bucket", F.shiftright(top * F.lit(buckets), 32))
     sizes = rows.groupBy("_key", "_bucket").count()
     before = F.sum("count").over(Window.partitionBy("_key").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
     sizes = sizes.select("_key", "_bucket", F.coalesce(before, F.lit(0)).alias("_before"))

@@ -63,9 +63,8 @@ def _matches(text: Column, pattern: str, kind: Column | str, rank: int, guard: C
     return F.when(guard, F.aggregate(steps, empty, step, lambda acc: acc["spans"])).otherwise(F.array().cast(SPAN))
 
 
-def base_spans(text: Column) -> dict[str, Column]:
+def base_spans(text: Column, lowered: Column) -> dict[str, Column]:
     """The base spans of each kind."""
-    lowered = F.lower(text)
     keyword = lowered.contains(KEYWORDS[0])
     for k in KEYWORDS[1:]:
         keyword |= lowered.contains(k)
@@ -141,13 +140,14 @@ def scan(docs: DataFrame) -> DataFrame:
     """``doc_id`` of every row with its base spans by kind, and all ``spans`` in order."""
     rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     same = F.xxhash64("text")
-    cut = rows.where(F.col("text").rlike(TOKEN)).select("doc_id", same.alias("_same"), "text", F.explode(_matches(F.col("text"), TOKEN, "", 3, F.lit(True))).alias("_s"))
-    cut = cut.select("doc_id", "_same", F.col("_s.start").alias("start"), F.col("_s.end").alias("end"), F.substring(F.col("text"), F.col("_s.start") + 1, F.col("_s.end") - F.col("_s.start")).alias("token")).distinct()
+    cut = rows.where(F.col("text").rlike(TOKEN)).select("doc_id", same.alias("text_key"), "text", F.explode(_matches(F.col("text"), TOKEN, "", 3, F.lit(True))).alias("_s"))
+    cut = cut.select("doc_id", "text_key", F.col("_s.start").alias("start"), F.col("_s.end").alias("end"), F.substring(F.col("text"), F.col("_s.start") + 1, F.col("_s.end") - F.col("_s.start")).alias("token")).distinct()
     tested = durable.table(with_randomness(cut), "tokens")
-    added = random_tokens(tested).groupBy("doc_id", "_same").agg(F.collect_list(F.struct(F.col("start"), F.lit(3).alias("rank"), F.col("end"), F.concat(F.lit("random_"), F.col("encoding")).alias("kind"))).alias("_added"))
-    added = added.select(F.col("doc_id").alias("_id"), F.col("_same").alias("_text"), "_added")
-    base = rows.select("doc_id", same.alias("_same"), *(c.alias(k) for k, c in base_spans(F.col("text")).items()))
-    both = base.join(added, base["doc_id"].eqNullSafe(added["_id"]) & (base["_same"] == added["_text"]), "left")
+    added = random_tokens(tested).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct(F.col("start"), F.lit(3).alias("rank"), F.col("end"), F.concat(F.lit("random_"), F.col("encoding")).alias("kind"))).alias("_added"))
+    added = added.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_text"), "_added")
+    folded = rows.withColumn("lowered", F.lower("text"))  # a step of its own, so that it is worked out once
+    base = folded.select("doc_id", same.alias("text_key"), *(c.alias(k) for k, c in base_spans(F.col("text"), F.col("lowered")).items()))
+    both = base.join(added, base["doc_id"].eqNullSafe(added["_id"]) & (base["text_key"] == added["_text"]), "left")
     both = both.withColumn("_base", F.array_sort(F.concat("assign", "access", "hex")))
     free = F.filter(F.coalesce("_added", F.array().cast(SPAN)), lambda a: ~F.exists("_base", lambda b: (a["start"] < b["end"]) & (b["start"] < a["end"])))
     return both.select("doc_id", "assign", "access", "hex", F.col("_base").alias("base"), F.array_sort(F.concat("_base", free.cast(SPAN))).alias("spans"))
