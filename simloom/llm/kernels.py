@@ -120,7 +120,7 @@ def shingle_hashes(words: np.ndarray, first: np.ndarray, size: int = WORDS) -> t
     out = mix(h)
     for d in np.flatnonzero((count > 0) & (count < size)):
         w = words[first[d] : first[d + 1]]
-        out[begin[d]] = mix(np.array([(w * _TAP[: len(w)]).sum(dtype=np.uint64) + _TAP[6] * _U(len(w))]))[0]
+        out[begin[d]] = mix((w * _TAP[: len(w)]).sum(dtype=np.uint64, keepdims=True) + _TAP[6:7] * _U(len(w)))[0]
     return out, begin
 
 
