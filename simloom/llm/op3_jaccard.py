@@ -96,11 +96,22 @@ def profiles(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, sa long, sb long, prefix array<long>")
 
 
+def with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """``pairs`` (a written table with x and y) with both texts, tx and ty.
+
+    Only texts that occur in a pair are moved: they are picked by a broadcast
+    of the ids after these are counted, beyond ``BROADCAST_ROWS`` by a join.
+    """
+    out = pairs
+    for side in "xy":
+        ids = pairs.select(F.col(side).alias("doc_id")).distinct()
+        picked = texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc_id", "left_semi")
+        out = out.join(picked.select(F.col("doc_id").alias(side), F.col("text").alias(f"t{side}")), side)
+    return out
+
+
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """(x, y, d, link) of pairs (x, y) of documents, from whole texts."""
-    left = texts.select(F.col("doc_id").alias("x"), F.col("text").alias("tx"))
-    right = texts.select(F.col("doc_id").alias("y"), F.col("text").alias("ty"))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sides = []
@@ -112,7 +123,7 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             union = np.array([len(sx[a]) + len(sy[b]) for a, b in zip(ix, iy, strict=True)], np.int64) - inter
             yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y"), pa.array(1 - inter / np.maximum(union, 1)), pa.array((100 * inter >= LINK * union) & (inter > 0))], ["x", "y", "d", "link"])
 
-    return pairs.select("x", "y").join(left, "x").join(right, "y").mapInArrow(run, "x long, y long, d double, link boolean")
+    return with_texts(durable.table(pairs.select("x", "y"), "pairs"), texts).mapInArrow(run, "x long, y long, d double, link boolean")
 
 
 def components(edges: DataFrame, a: str = "x", b: str = "y") -> DataFrame:
@@ -146,9 +157,10 @@ def classes(docs: DataFrame) -> DataFrame:
     sized = prof.where("doc_id is not null")
     same = sized.where("n > 0").groupBy("n", "sa", "sb").agg(F.min("doc_id").alias("rep"))
     members = durable.table(prof.select("doc_id", "n", "sa", "sb").join(same, ["n", "sa", "sb"], "left").select("doc_id", "n", "rep"), "members")
-    reps = members.where("doc_id = rep").select(F.col("doc_id").alias("_rep"))
-    first = sized.join(reps, sized["doc_id"] == reps["_rep"], "left_semi").select(F.col("doc_id").alias("x"), "n", F.posexplode("prefix").alias("i", "s"))
-    regions = first.groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("x").alias("p"), F.max("x").alias("q"), F.min("n").alias("lo")).where("p < q").drop("q")
+    copies = members.where("doc_id <> rep").select(F.col("doc_id").alias("_copy"))
+    copies = F.broadcast(copies) if copies.count() <= BROADCAST_ROWS else copies
+    first = sized.join(copies, sized["doc_id"] == copies["_copy"], "left_anti").select(F.col("doc_id").alias("x"), "n", F.posexplode("prefix").alias("i", "s"))
+    regions = first.groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("x").alias("p"), F.min("n").alias("lo")).where("c > 1")
     # what stands at place i has n - i shingles from there on, which must make up the overlap with the region's smallest set that is near in size
     reach = 7 * (F.col("n") - F.col("i")) >= 3 * (F.col("n") + F.greatest(F.col("lo").cast("double"), 0.75 * F.col("n")))
     held = durable.table(first.join(regions.hint("shuffle_hash"), "s").where(reach).select("s", "x", "n", "i", "p", "c"), "regions")
