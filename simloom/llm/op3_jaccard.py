@@ -20,8 +20,10 @@ equal sets share a representative).
    each member keeps its distances to all pivots of the region, so windows grow
    narrower in every level; a member near the bound of several windows takes
    part in each. New pivots are central members, which share their shingles
-   with many, so that most of a group of near copies is within R of one. Regions of ``SPLIT`` members or fewer compare what is
-   left pair by pair.
+   with many, so that most of a group of near copies is within R of one.
+   What is left is compared pair by pair inside its windows: first by counts of
+   shingles in 256 cells, whose L1 distance can't exceed that of the sets, then
+   by whole texts.
 
 Nothing is dropped on the way: pivots and orders only decide which pairs need
 no verification. The order's list of frequent shingles holds at most
@@ -48,6 +50,7 @@ from simloom.llm import kernels as K
 from simloom.plans import durable
 
 LINK, R = 75, 0.25  # per cent; the same as a distance
+CELLS = 256
 FREQUENT, LOCAL, SPLIT, LEVELS, BROADCAST_ROWS = 1 << 18, 8, 64, 2, 200_000
 
 
@@ -73,13 +76,14 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
 
 
 def profiles(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(doc_id, n, sa, sb, prefix): set size, two checks of the whole set, and its first shingles."""
+    """(doc_id, n, sa, sb, prefix, cells): set size, two checks of the whole set, its first shingles, and how many fall in each of CELLS cells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, sa, sb, pre = [], [], [], []
+            n, sa, sb, pre, cells = [], [], [], [], []
             for s in K.sets(batch.column("text")):
                 n.append(len(s))
+                cells.append(np.minimum(np.bincount((s & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes())
                 sa.append(s.sum(dtype=np.uint64))
                 sb.append(np.bitwise_xor.reduce(K.mix(s * np.uint64(3))) if len(s) else np.uint64(0))
                 if len(frequent) and len(s):
@@ -90,10 +94,10 @@ def profiles(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
             at = np.r_[0, np.cumsum([len(p) for p in pre])]
             flat = np.concatenate(pre) if pre else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.array(n, np.int64)), pa.array(_signed(np.array(sa, np.uint64))), pa.array(_signed(np.array(sb, np.uint64))), K.lists(_signed(flat), at)], ["doc_id", "n", "sa", "sb", "prefix"]
+                [batch.column("doc_id"), pa.array(np.array(n, np.int64)), pa.array(_signed(np.array(sa, np.uint64))), pa.array(_signed(np.array(sb, np.uint64))), K.lists(_signed(flat), at), pa.array(cells, pa.binary())], ["doc_id", "n", "sa", "sb", "prefix", "cells"]
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, sa long, sb long, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, sa long, sb long, prefix array<long>, cells binary")
 
 
 def with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -110,6 +114,23 @@ def with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return out
 
 
+def possible(pairs: DataFrame, cells: DataFrame) -> DataFrame:
+    """The pairs (x, y) that may link by their sets' cell counts.
+
+    The counts' L1 distance is at most the sets' symmetric difference, which is
+    a seventh of the sizes' sum for a linked pair, so no link is lost.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16) for c in ("cx", "cy"))
+            size = batch.column("nx").to_numpy() + batch.column("ny").to_numpy()
+            yield batch.select(["x", "y"]).filter(pa.array(7 * np.abs(a - b).sum(1, dtype=np.int64) <= size))
+
+    left, right = (cells.select(F.col("doc_id").alias(k), F.col("n").alias(f"n{k}"), F.col("cells").alias(f"c{k}")) for k in "xy")
+    return pairs.join(left, "x").join(right, "y").select("x", "y", "nx", "ny", "cx", "cy").mapInArrow(run, "x long, y long")
+
+
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """(x, y, d, link) of pairs (x, y) of documents, from whole texts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,7 +197,7 @@ def classes(docs: DataFrame) -> DataFrame:
     known = durable.table(verify(stars.select("x", F.col("p").alias("y")), texts), "known")
     links = known.where("link").select("x", "y")
     if not links.limit(1).count() and not known.limit(1).count():
-        return members.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+        return members.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("component_id"))
     roots = components(links)
 
     # what is left: regions with several classes, each member with its distance to the pivot
@@ -228,7 +249,8 @@ def classes(docs: DataFrame) -> DataFrame:
         window &= near(F.lit(i))
     pairs = rest.alias("l").join(rest.alias("r"), (F.col("l.s") == F.col("r.s")) & window).select(F.col("l.x").alias("x"), F.col("r.x").alias("y")).distinct()
     pairs = pairs.join(known.select("x", "y"), ["x", "y"], "left_anti").join(known.select(F.col("y").alias("x"), F.col("x").alias("y")), ["x", "y"], "left_anti")
-    last = durable.table(verify(pairs, texts), "last").where("link").select("x", "y")
+    cells = prof.select("doc_id", "n", "cells").join(texts.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    last = durable.table(verify(possible(pairs, cells), texts), "last").where("link").select("x", "y")
     if last.limit(1).count():
         roots = components(links.unionByName(last))
     out = members.join(roots.withColumnRenamed("id", "rep"), "rep", "left")
