@@ -137,9 +137,10 @@ def train(docs: DataFrame) -> bytes:
     """A network trained on a bounded sample of the labelled rows of ``docs``."""
     rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.col("text") != ""))
     key = F.xxhash64(F.col("doc_id"), F.lit(17))
-    ranked = rows.select("lang", "text", key.alias("key")).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("key")))
     offset = F.expr(f"cast(1 + pmod(key, greatest(1, length(text) - {SAMPLE_CHARS} + 1)) as int)")
-    sample = ranked.where(F.col("rank") <= ROWS_PER_LANG).select("lang", "key", F.substring(F.col("text"), offset, F.lit(SAMPLE_CHARS)).alias("text"))
+    parts = rows.select("lang", "text", key.alias("key")).select("lang", "key", F.substring(F.col("text"), offset, F.lit(SAMPLE_CHARS)).alias("text"))
+    ranked = parts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("key")))
+    sample = ranked.where(F.col("rank") <= ROWS_PER_LANG).drop("rank")
     common = [r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()]
     got = sample.where(F.col("lang").isin(common)).orderBy("key", "lang").collect() if common else []
     langs = sorted({r["lang"] for r in got})
