@@ -11,7 +11,9 @@ equal sets share a representative).
 2. Pivots. Each region's smallest document is its pivot; distances of members
    to their pivots are verified exactly. A member's home is the Voronoi cell of
    its nearest pivot; members within R of a pivot are one class, so no pair
-   among them needs to be looked at, however many copies a group has.
+   among them needs to be looked at, however many copies a group has. A member
+   whose counts of shingles in cells already put it beyond R of a pivot has its
+   distance bounded by them, all others have theirs worked out from whole texts.
 3. Windows. Members of a region that lie in different classes can link only if
    their distances to the pivot differ by at most R (triangle inequality), and
    their sizes by a quarter, and where the shared shingle stands in both orders
@@ -22,8 +24,8 @@ equal sets share a representative).
    part in each. New pivots are central members, which share their shingles
    with many, so that most of a group of near copies is within R of one.
    What is left is compared pair by pair inside its windows: first by counts of
-   shingles in 256 cells, whose L1 distance can't exceed that of the sets, then
-   by whole texts.
+   shingles in at most COARSE cells, then in about as many cells as half the
+   shingles, whose L1 distance can't exceed that of the sets, then by whole texts.
 
 Nothing is dropped on the way: pivots and orders only decide which pairs need
 no verification. The order's list of frequent shingles holds at most
@@ -34,7 +36,7 @@ Defined results: a null text and one without words have an empty set, size 0,
 and link with nothing; a text of fewer than five words has one shingle, its
 whole sequence. Rows of one doc_id should be equal; they count as one document
 and each gets a row. Rows with a null doc_id get a null component_id. Extra
-columns are ignored.
+columns are ignored. ``docs`` is scanned several times, so it should be a table.
 """
 
 from __future__ import annotations
@@ -43,14 +45,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from simloom.llm import kernels as K
 from simloom.plans import durable
 
 LINK, R = 75, 0.25  # per cent; the same as a distance
-CELLS = 256
+COARSE, CELLS = 256, 1 << 16
+BUCKET_ROWS, HELD_ROWS, PACKED_ROWS = 1 << 16, 1 << 20, 1 << 20
 FREQUENT, LOCAL, SPLIT, LEVELS, BROADCAST_ROWS = 1 << 18, 8, 64, 2, 200_000
 
 
@@ -58,6 +61,19 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def _counts(s: np.ndarray, most: int) -> np.ndarray:
+    """How many of a set's shingles fall in each cell, up to 255; a power of two of cells, about half as many as shingles."""
+    k = min(most, 1 << max(6, (len(s) // 2).bit_length()))
+    return np.minimum(np.bincount((s & np.uint64(k - 1)).astype(np.int64), minlength=k), 255).astype(np.uint8)
+
+
+def _folded(counts: np.ndarray, k: int) -> np.ndarray:
+    """The counts in at most ``k`` cells."""
+    if len(counts) <= k:
+        return counts
+    return np.minimum(counts.reshape(-1, k).sum(0, dtype=np.int64), 255).astype(np.uint8)
+
+
 def frequent_shingles(docs: DataFrame) -> np.ndarray:
     """The shingles that most documents share, sorted; at most FREQUENT."""
 
@@ -76,14 +92,16 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
 
 
 def profiles(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(doc_id, n, sa, sb, prefix, cells): set size, two checks of the whole set, its first shingles, and how many fall in each of CELLS cells."""
+    """(doc_id, n, sa, sb, prefix, coarse, cells): set size, two checks of the whole set, its first shingles, and how many fall in each of few and of many cells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, sa, sb, pre, cells = [], [], [], [], []
+            n, sa, sb, pre, coarse, cells = [], [], [], [], [], []
             for s in K.sets(batch.column("text")):
                 n.append(len(s))
-                cells.append(np.minimum(np.bincount((s & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes())
+                counts = _counts(s, CELLS)
+                cells.append(counts.tobytes())
+                coarse.append(_folded(counts, COARSE).tobytes())
                 sa.append(s.sum(dtype=np.uint64))
                 sb.append(np.bitwise_xor.reduce(K.mix(s * np.uint64(3))) if len(s) else np.uint64(0))
                 if len(frequent) and len(s):
@@ -94,41 +112,134 @@ def profiles(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
             at = np.r_[0, np.cumsum([len(p) for p in pre])]
             flat = np.concatenate(pre) if pre else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.array(n, np.int64)), pa.array(_signed(np.array(sa, np.uint64))), pa.array(_signed(np.array(sb, np.uint64))), K.lists(_signed(flat), at), pa.array(cells, pa.binary())], ["doc_id", "n", "sa", "sb", "prefix", "cells"]
+                [batch.column("doc_id"), pa.array(np.array(n, np.int64)), pa.array(_signed(np.array(sa, np.uint64))), pa.array(_signed(np.array(sb, np.uint64))), K.lists(_signed(flat), at), pa.array(coarse, pa.binary()), pa.array(cells, pa.binary())], ["doc_id", "n", "sa", "sb", "prefix", "coarse", "cells"]
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, sa long, sb long, prefix array<long>, cells binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, sa long, sb long, prefix array<long>, coarse binary, cells binary")
 
 
-def with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """``pairs`` (a written table with x and y) with both texts, tx and ty.
+def shared_shingles(first: DataFrame, buckets: int) -> DataFrame:
+    """(s, x, n, i): the places of those first shingles of (doc_id, n, prefix) that several documents have.
+
+    Entries travel packed, in ``buckets`` ranges of s, a range a block of each
+    mapper. A receiver holds HELD_ROWS entries of one range at a time: beyond
+    that the repeated ones are passed on, and their shingles remembered.
+    """
+    shift = np.uint64(64 - (buckets.bit_length() - 1))
+
+    def blocks(s: np.ndarray, x: np.ndarray, n: np.ndarray, i: np.ndarray) -> pa.RecordBatch:
+        order = np.argsort(s, kind="stable")
+        s, x, n, i = s[order], x[order], n[order], i[order]
+        bucket = (s >> shift).astype(np.int64)
+        at = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+        low = int(x.min())
+        x, n, i = ((v.astype(np.min_scalar_type(int(v.max())))) for v in ((x - low).view(np.uint64), n, i))
+        cut = [[bytes(v[a:b]) for a, b in zip(at, [*at[1:], len(s)], strict=True)] for v in (s, x, n, i)]
+        return pa.RecordBatch.from_arrays([pa.array(bucket[at]), pa.array(np.full(len(at), low)), *(pa.array(c, pa.binary()) for c in cut)], ["bucket", "low", "s", "x", "n", "i"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in batches:
+            count = np.diff(batch.column("prefix").offsets.to_numpy())
+            s = batch.column("prefix").flatten().to_numpy().view(np.uint64)
+            if not len(s):
+                continue
+            begin = np.cumsum(count) - count
+            held.append((s, np.repeat(batch.column("doc_id").to_numpy(), count), np.repeat(batch.column("n").to_numpy(), count), np.arange(len(s)) - np.repeat(begin, count)))
+            rows += len(s)
+            if rows >= PACKED_ROWS:
+                yield blocks(*(np.concatenate(c) for c in zip(*held, strict=True)))
+                held, rows = [], 0
+        if held:
+            yield blocks(*(np.concatenate(c) for c in zip(*held, strict=True)))
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows, now, often = [], 0, None, np.zeros(0, np.uint64)
+
+        def repeated() -> tuple[pa.RecordBatch, tuple, np.ndarray]:
+            s, x, n, i = (np.concatenate(c) for c in zip(*held, strict=True))
+            _, inverse, count = np.unique(s, return_inverse=True, return_counts=True)
+            hit = (count > 1)[inverse] | np.isin(s, often)
+            out = pa.RecordBatch.from_arrays([pa.array(_signed(s[hit])), *(pa.array(v[hit]) for v in (x, n, i))], ["s", "x", "n", "i"])
+            return out, (s[~hit], x[~hit], n[~hit], i[~hit]), np.union1d(often, s[hit])
 
-    Only texts that occur in a pair are moved: they are picked by a broadcast
+        for batch in batches:
+            for bucket, low, *packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if bucket != now:
+                    if held:
+                        yield repeated()[0]
+                    held, rows, now, often = [], 0, bucket, np.zeros(0, np.uint64)
+                s = np.frombuffer(packed[0], np.uint64)
+                x, n, i = (np.frombuffer(v, f"u{len(v) // len(s)}").astype(np.int64) for v in packed[1:])
+                held.append((s, x + low, n, i))
+                rows += len(s)
+                if rows >= HELD_ROWS:
+                    out, left, often = repeated()
+                    held, rows = [left], 0
+                    yield out
+        if held:
+            yield repeated()[0]
+
+    packed = first.mapInArrow(pack, "bucket long, low long, s binary, x binary, n binary, i binary")
+    return packed.repartition(max(8, buckets // 8), "bucket").sortWithinPartitions("bucket").mapInArrow(unpack, "s long, x long, n long, i long")
+
+
+def one_row(rows: DataFrame, repeated: DataFrame | None) -> DataFrame:
+    """``rows`` with one row for each doc_id; ``repeated`` lists the doc_ids that have more, None means that none has."""
+    if repeated is None:
+        return rows
+    return rows.join(repeated, "doc_id", "left_anti").unionByName(rows.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+
+
+def attached(pairs: DataFrame, rows: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """``pairs`` (a written table with x and y) with ``columns`` of both documents, renamed and with the side's letter.
+
+    Only rows that occur in a pair are moved: they are picked by a broadcast
     of the ids after these are counted, beyond ``BROADCAST_ROWS`` by a join.
     """
     out = pairs
     for side in "xy":
         ids = pairs.select(F.col(side).alias("doc_id")).distinct()
-        picked = texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc_id", "left_semi")
-        out = out.join(picked.select(F.col("doc_id").alias(side), F.col("text").alias(f"t{side}")), side)
+        picked = rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc_id", "left_semi")
+        out = out.join(picked.select(F.col("doc_id").alias(side), *(F.col(c).alias(f"{name}{side}") for c, name in columns.items())), side)
     return out
 
 
-def possible(pairs: DataFrame, cells: DataFrame) -> DataFrame:
-    """The pairs (x, y) that may link by their sets' cell counts.
+def with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """``pairs`` with both texts, tx and ty."""
+    return attached(pairs, texts, {"text": "t"})
+
+
+def bounds(pairs: DataFrame, prof: DataFrame, column: str) -> DataFrame:
+    """(x, y, low): a lower bound of the distance by the counts in ``column``.
 
     The counts' L1 distance is at most the sets' symmetric difference, which is
-    a seventh of the sizes' sum for a linked pair, so no link is lost.
+    a seventh of the sizes' sum for a pair at distance R. Counts in more cells
+    are folded first.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16) for c in ("cx", "cy"))
             size = batch.column("nx").to_numpy() + batch.column("ny").to_numpy()
-            yield batch.select(["x", "y"]).filter(pa.array(7 * np.abs(a - b).sum(1, dtype=np.int64) <= size))
+            apart = np.empty(len(size), np.int64)
+            for k, sides in enumerate(zip(batch.column("cx"), batch.column("cy"), strict=True)):
+                a, b = (np.frombuffer(v.as_buffer(), np.uint8) for v in sides)
+                a, b = _folded(a, len(b)), _folded(b, len(a))
+                apart[k] = np.abs(a.astype(np.int16) - b).sum(dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y"), pa.array(2 * apart / np.maximum(size + apart, 1))], ["x", "y", "low"])
 
-    left, right = (cells.select(F.col("doc_id").alias(k), F.col("n").alias(f"n{k}"), F.col("cells").alias(f"c{k}")) for k in "xy")
-    return pairs.join(left, "x").join(right, "y").select("x", "y", "nx", "ny", "cx", "cy").mapInArrow(run, "x long, y long")
+    return attached(pairs.select("x", "y"), prof.select("doc_id", "n", F.col(column).alias("c")), {"n": "n", "c": "c"}).mapInArrow(run, "x long, y long, low double")
+
+
+def measured(pairs: DataFrame, prof: DataFrame, texts: DataFrame) -> DataFrame:
+    """(x, y, low, high, link) of pairs (x, y): bounds of the distance, which are equal where it may be R or less."""
+    closed, left = [], durable.table(pairs.select("x", "y"), "pairs")
+    for column in ("coarse", "cells"):
+        told = durable.table(bounds(left, prof, column), column)
+        closed.append(told.where(F.col("low") > R + 1e-9).select("x", "y", "low", F.lit(1.0).alias("high"), F.lit(False).alias("link")))
+        left = told.where(F.col("low") <= R + 1e-9).select("x", "y")
+    exact = verify(left, texts).select("x", "y", F.col("d").alias("low"), F.col("d").alias("high"), "link")
+    return exact.unionByName(closed[0]).unionByName(closed[1])
 
 
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -176,36 +287,40 @@ def classes(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     prof = durable.table(profiles(docs, frequent_shingles(docs)), "profiles")
     sized = prof.where("doc_id is not null")
+    again = sized.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    repeated = durable.table(again, "repeated") if again.limit(1).count() else None
+    sized, texts = one_row(sized, repeated), one_row(docs.where("doc_id is not null"), repeated)
     same = sized.where("n > 0").groupBy("n", "sa", "sb").agg(F.min("doc_id").alias("rep"))
     members = durable.table(prof.select("doc_id", "n", "sa", "sb").join(same, ["n", "sa", "sb"], "left").select("doc_id", "n", "rep"), "members")
     copies = members.where("doc_id <> rep").select(F.col("doc_id").alias("_copy"))
     copies = F.broadcast(copies) if copies.count() <= BROADCAST_ROWS else copies
-    first = sized.join(copies, sized["doc_id"] == copies["_copy"], "left_anti").select(F.col("doc_id").alias("x"), "n", F.posexplode("prefix").alias("i", "s"))
-    regions = first.groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("x").alias("p"), F.min("n").alias("lo")).where("c > 1")
+    entries = sized.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    buckets = 1 << max(6, min(20, (entries // BUCKET_ROWS).bit_length()))
+    first = sized.join(copies, sized["doc_id"] == copies["_copy"], "left_anti").select("doc_id", "n", "prefix")
+    first = durable.table(shared_shingles(first, buckets), "shared")
+    regions = first.groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("x").alias("p"), F.min("n").alias("lo"))
     # what stands at place i has n - i shingles from there on, which must make up the overlap with the region's smallest set that is near in size
     reach = 7 * (F.col("n") - F.col("i")) >= 3 * (F.col("n") + F.greatest(F.col("lo").cast("double"), 0.75 * F.col("n")))
     held = durable.table(first.join(regions.hint("shuffle_hash"), "s").where(reach).select("s", "x", "n", "i", "p", "c"), "regions")
 
-    ids = held.select(F.col("x").alias("doc_id")).distinct()
-    few = ids.count() <= BROADCAST_ROWS
-    texts = durable.table(docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
     sizes = held.select(F.col("x").alias("p"), F.col("n").alias("np")).distinct()
     fits = (4 * F.col("n") >= 3 * F.col("np")) & (4 * F.col("np") >= 3 * F.col("n"))
 
     # level 0: every member against its regions' pivots
     stars = held.where("x <> p").select("x", "n", "p").distinct().join(sizes, "p").where(fits)
-    known = durable.table(verify(stars.select("x", F.col("p").alias("y")), texts), "known")
+    known = durable.table(measured(stars.select("x", F.col("p").alias("y")), sized, texts), "known")
     links = known.where("link").select("x", "y")
     if not links.limit(1).count() and not known.limit(1).count():
         return members.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("component_id"))
     roots = components(links)
 
     # what is left: regions with several classes, each member with its distance to the pivot
-    far = known.select("x", F.col("y").alias("p"), "d")
+    far = known.select("x", F.col("y").alias("p"), F.struct("low", "high").alias("d"))
     named = _relabel(held.withColumn("root", F.col("x")), roots, "root")
     mixed = named.groupBy("s").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("s")
     rest = named.join(mixed, "s").join(far, ["x", "p"], "left")
-    d = F.when(F.col("x") == F.col("p"), F.lit(0.0)).otherwise(F.col("d"))
+    here = F.struct(F.lit(0.0).alias("low"), F.lit(0.0).alias("high"))
+    d = F.when(F.col("x") == F.col("p"), here).otherwise(F.col("d"))
     # a document is central where it shares its shingles with many
     central = rest.groupBy("x").agg(F.avg("c").alias("central"))
     rest = durable.table(rest.join(central, "x").select("s", "x", "n", "i", "c", "root", "p", F.array(d).alias("ds"), "central"), "rest")
@@ -215,7 +330,7 @@ def classes(docs: DataFrame) -> DataFrame:
         if not large.limit(1).count():
             break
         # a new pivot for each large region: the most central of those that haven't been one, in turn of all and of the smaller classes
-        fresh_ones = large.where(~F.exists("ds", lambda v: F.coalesce(v, F.lit(1.0)) == 0))
+        fresh_ones = large.where(~F.exists("ds", lambda v: F.coalesce(v["high"], F.lit(1.0)) == 0))
         if level % 2 == 0:
             mains = large.groupBy("s", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("s").agg(F.max(F.struct("k", "root")).alias("_m"))
             fresh_ones = fresh_ones.join(mains, "s").where(F.col("root") != F.col("_m.root"))
@@ -224,14 +339,14 @@ def classes(docs: DataFrame) -> DataFrame:
         told = large.join(chosen, "s", "left")
         asked = told.where((F.col("root") != F.col("pivot_root")) & fits).select("x", F.col("pivot").alias("y")).distinct()
         asked = asked.join(known.select("x", "y"), ["x", "y"], "left_anti").join(known.select(F.col("y").alias("x"), F.col("x").alias("y")), ["x", "y"], "left_anti")
-        fresh = durable.table(verify(asked, texts), "fresh")
+        fresh = durable.table(measured(asked, sized, texts), "fresh")
         known = durable.table(known.unionByName(fresh), "known")
         more = fresh.where("link").select("x", "y")
         if more.limit(1).count():
             links = links.unionByName(more)
             roots = components(links)
-        step = fresh.select("x", F.col("y").alias("pivot"), F.col("d").alias("_d"))
-        dd = F.when(F.col("x") == F.col("pivot"), F.lit(0.0)).otherwise(F.col("_d"))
+        step = fresh.select("x", F.col("y").alias("pivot"), F.struct("low", "high").alias("_d"))
+        dd = F.when(F.col("x") == F.col("pivot"), here).otherwise(F.col("_d"))
         large = told.join(step, ["x", "pivot"], "left").withColumn("ds", F.concat("ds", F.array(dd))).select(*rest.columns)
         small = rest.where(F.col("c") <= SPLIT)
         named = _relabel(large.unionByName(small).withColumn("root", F.col("x")), roots, "root")
@@ -240,17 +355,19 @@ def classes(docs: DataFrame) -> DataFrame:
         rest = durable.table(named.join(mixed, "s").withColumn("c", F.least("c", "k")).select(*rest.columns), "rest")
 
     # pairs of different classes inside their windows
-    near = lambda i: F.get(F.col("l.ds"), i).isNull() | F.get(F.col("r.ds"), i).isNull() | (F.abs(F.get(F.col("l.ds"), i) - F.get(F.col("r.ds"), i)) <= R + 1e-9)
+    def near(i: int) -> Column:
+        a, b = F.get(F.col("l.ds"), F.lit(i)), F.get(F.col("r.ds"), F.lit(i))
+        return a.isNull() | b.isNull() | ((a["low"] - b["high"] <= R + 1e-9) & (b["low"] - a["high"] <= R + 1e-9))
+
     window = (F.col("l.root") != F.col("r.root")) & (F.col("l.x") < F.col("r.x")) & (4 * F.col("l.n") >= 3 * F.col("r.n")) & (4 * F.col("r.n") >= 3 * F.col("l.n"))
     # the first shingle that a linked pair shares has the whole overlap from its place on, in both sets
     for side in "lr":
         window &= 7 * (F.col(f"{side}.n") - F.col(f"{side}.i")) >= 3 * (F.col("l.n") + F.col("r.n"))
     for i in range(LEVELS + 1):
-        window &= near(F.lit(i))
+        window &= near(i)
     pairs = rest.alias("l").join(rest.alias("r"), (F.col("l.s") == F.col("r.s")) & window).select(F.col("l.x").alias("x"), F.col("r.x").alias("y")).distinct()
     pairs = pairs.join(known.select("x", "y"), ["x", "y"], "left_anti").join(known.select(F.col("y").alias("x"), F.col("x").alias("y")), ["x", "y"], "left_anti")
-    cells = prof.select("doc_id", "n", "cells").join(texts.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    last = durable.table(verify(possible(pairs, cells), texts), "last").where("link").select("x", "y")
+    last = durable.table(measured(pairs, sized, texts), "last").where("link").select("x", "y")
     if last.limit(1).count():
         roots = components(links.unionByName(last))
     out = members.join(roots.withColumnRenamed("id", "rep"), "rep", "left")
