@@ -5,7 +5,7 @@ d(x, y) <= R. The join is exact and works on distinct sets only (documents of
 equal sets share a representative).
 
 1. Regions. Sets are written in one global order, shingles that many documents
-   share last; two sets within R of each other share one of their first
+   share last, by their counts; two sets within R of each other share one of their first
    n - ceil(0.75 n) + 1 shingles. Documents that share such a shingle lie in one
    region; a document that shares none has no neighbour, which settles most.
 2. Pivots. Each region's smallest document is its pivot; distances of members
@@ -53,8 +53,8 @@ from simloom.plans import durable
 
 LINK, R = 75, 0.25  # per cent; the same as a distance
 COARSE, CELLS = 256, 1 << 16
-BUCKET_ROWS, HELD_ROWS, PACKED_ROWS = 1 << 16, 1 << 20, 1 << 20
-FREQUENT, LOCAL, SPLIT, LEVELS, BROADCAST_ROWS = 1 << 18, 8, 64, 2, 200_000
+BUCKET_ROWS, HELD_ROWS, PACKED_ROWS = 1 << 15, 1 << 18, 1 << 18
+FREQUENT, LOCAL, SPLIT, LEVELS, BROADCAST_ROWS = 1 << 18, 3, 64, 2, 200_000
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -74,8 +74,8 @@ def _folded(counts: np.ndarray, k: int) -> np.ndarray:
     return np.minimum(counts.reshape(-1, k).sum(0, dtype=np.int64), 255).astype(np.uint8)
 
 
-def frequent_shingles(docs: DataFrame) -> np.ndarray:
-    """The shingles that most documents share, sorted; at most FREQUENT."""
+def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that most documents share, sorted, at most FREQUENT, and their places in the order from rare to frequent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,11 +87,12 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(_signed(h[at][n >= LOCAL])), pa.array(n[n >= LOCAL])], ["s", "n"])
 
     counts = docs.select("text").where("text is not null").mapInArrow(run, "s long, n long").groupBy("s").agg(F.sum("n").alias("n"))
-    got = counts.orderBy(F.desc("n"), "s").limit(FREQUENT).select("s").toPandas()["s"].to_numpy(dtype=np.int64)
-    return np.sort(got.view(np.uint64))
+    got = counts.orderBy(F.desc("n"), "s").limit(FREQUENT).select("s").toPandas()["s"].to_numpy(dtype=np.int64).view(np.uint64)
+    order = np.argsort(got)
+    return got[order], (len(got) - 1 - order).astype(np.uint32)
 
 
-def profiles(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
+def profiles(docs: DataFrame, frequent: np.ndarray, place: np.ndarray) -> DataFrame:
     """(doc_id, n, sa, sb, prefix, coarse, cells): set size, two checks of the whole set, its first shingles, and how many fall in each of few and of many cells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,9 +106,9 @@ def profiles(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                 sa.append(s.sum(dtype=np.uint64))
                 sb.append(np.bitwise_xor.reduce(K.mix(s * np.uint64(3))) if len(s) else np.uint64(0))
                 if len(frequent) and len(s):
-                    i = np.searchsorted(frequent, s)
-                    often = frequent[np.minimum(i, len(frequent) - 1)] == s
-                    s = np.concatenate([s[~often], s[often]])
+                    i = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
+                    often = frequent[i] == s
+                    s = np.concatenate([s[~often], s[often][np.argsort(place[i[often]])]])
                 pre.append(s[: len(s) - -(-3 * len(s) // 4) + 1])
             at = np.r_[0, np.cumsum([len(p) for p in pre])]
             flat = np.concatenate(pre) if pre else np.zeros(0, np.uint64)
@@ -181,7 +182,7 @@ def shared_shingles(first: DataFrame, buckets: int) -> DataFrame:
             yield repeated()[0]
 
     packed = first.mapInArrow(pack, "bucket long, low long, s binary, x binary, n binary, i binary")
-    return packed.repartition(max(8, buckets // 8), "bucket").sortWithinPartitions("bucket").mapInArrow(unpack, "s long, x long, n long, i long")
+    return packed.repartition(max(8, buckets // 4), "bucket").sortWithinPartitions("bucket").mapInArrow(unpack, "s long, x long, n long, i long")
 
 
 def one_row(rows: DataFrame, repeated: DataFrame | None) -> DataFrame:
@@ -285,7 +286,7 @@ def _relabel(table: DataFrame, labels: DataFrame, column: str) -> DataFrame:
 def classes(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    prof = durable.table(profiles(docs, frequent_shingles(docs)), "profiles")
+    prof = durable.table(profiles(docs, *frequent_shingles(docs)), "profiles")
     sized = prof.where("doc_id is not null")
     again = sized.groupBy("doc_id").count().where("count > 1").select("doc_id")
     repeated = durable.table(again, "repeated") if again.limit(1).count() else None
