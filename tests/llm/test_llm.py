@@ -78,6 +78,61 @@ def test_passages(spark, corpus):
     assert op2_passages.repeated_passages(frame(spark, [])).count() == 0
 
 
+def edited(w, n, rng):
+    """Words w with n substitutions, insertions or deletions."""
+    w = list(w)
+    for _ in range(n):
+        at, kind = int(rng.integers(5, len(w) - 5)), rng.integers(3)
+        w[at : at + (kind != 1)] = [] if kind == 2 else [f"new{rng.integers(10**9)}"]
+    return w
+
+
+def similar(a, b):
+    a, b = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_passages_near(spark):
+    rng = np.random.default_rng(11)
+    fresh = lambda n: [f"w{v}" for v in rng.integers(0, 10**6, n)]
+    texts, pairs = [], []
+    while len(pairs) < 400:
+        base = fresh(int(rng.integers(80, 160)))
+        copy = edited(base, int(rng.integers(1, 6)), rng)
+        if 0.75 <= similar(base, copy) <= 0.95:
+            pairs.append((len(texts), len(texts) + 1))
+            texts += [" ".join([*fresh(40), *p, *fresh(60)]) for p in (base, copy)]
+    found = {r["x"] for r in op2_passages.find_passages(frame(spark, texts)).select("x").distinct().collect()}
+    recall = sum(y in found for _, y in pairs) / len(pairs)
+    print("recall", recall)
+    assert recall >= 0.98
+
+
+def test_passages_without_common_pivot(spark):
+    rng = np.random.default_rng(12)
+    texts, pairs = [], []
+    while len(pairs) < 40:
+        base = [f"w{v}" for v in rng.integers(0, 10**6, 100)]
+        one = edited(base, 6, rng)
+        two = edited(one, 2, rng)
+        if similar(one, two) >= 0.8 and max(similar(base, one), similar(base, two)) < 0.6:
+            pairs.append((len(texts) + 1, len(texts) + 2))
+            texts += [" ".join(t) for t in (base, one, two)]
+    found = {(r["y"], r["x"]) for r in op2_passages.find_passages(frame(spark, texts)).select("x", "y").distinct().collect()}
+    assert sum(p in found for p in pairs) >= 39
+
+
+def test_passage_with_shifts():
+    rng = np.random.default_rng(13)
+    fresh = lambda n: rng.integers(0, 2**63, n, dtype=np.uint64)
+    base = fresh(120)
+    other = np.concatenate([base[:40], fresh(6), base[40:80], base[84:]])  # an insertion and a deletion
+    sx, sy = np.concatenate([fresh(200), base, fresh(200)]), np.concatenate([fresh(90), other, fresh(300)])
+    sx[[5, -5]] = sy[[-5, 3]] = 77, 78  # shared far outside the passage
+    met = [{"f": 0, "lo": 0, "at": 210, "hi": len(sx), "olo": 0, "oat": 100, "ohi": len(sy)}]
+    assert [p[:4] for p in op2_passages.passages(sx, sy, met, 1)] == [(200, 320, 90, 90 + len(other))]
+
+
 def brute_classes(texts):
     sets = []
     for t in texts:
