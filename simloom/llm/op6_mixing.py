@@ -4,17 +4,17 @@ Each source's documents, in hash order, are cut into blocks. Block j (from 1)
 of a source of weight w gets release time floor((j-1)/w) and deadline
 ceil(j/w); earliest deadline first among the released blocks gives each slot
 one block. After t slots every source has had more than w t - 1 and fewer than
-w t + 1 blocks. Weights are fractions of PERIOD slots, so one period's schedule
-is worked out once and repeats: a document's slot follows from its rank by two
-joins with small tables, whatever the corpus' size, and no global sort is needed.
+w t + 1 blocks. Weights are exact fractions, and a phase is scheduled to its
+end, so the bound holds against the target weights however long the corpus is.
+A document's slot follows from its rank by a join with the schedule, so no
+global sort is needed.
 
 Every document is placed exactly once. When a source runs out, a new phase
 starts in which the others' weights are scaled to sum to one; the bound holds
 in each phase from its first slot on.
 
-Native: DataFrame functions only. The driver holds one row for each source and
-phase and PERIOD rows a phase; PERIOD is at least four times the number of
-sources, which is the proven size of what is broadcast.
+Native: DataFrame functions only. The driver holds one row for each block of
+BLOCK documents, which is broadcast up to BROADCAST_BLOCKS rows.
 
 Defined results: a null source is a source of its own; sources without weight
 or of weight 0 follow at the end, in equal shares. A null doc_id is placed like
@@ -25,13 +25,15 @@ empty table gives no rows. Other columns are kept out of the result.
 from __future__ import annotations
 
 import heapq
-import json
 import math
+from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK, PERIOD, BUCKET_ROWS = 64, 1024, 4096
+BLOCK, PERIOD, BUCKET_ROWS, BROADCAST_BLOCKS = 64, 1024, 4096, 1 << 19
+_LONG = 2**63 - 1
 
 
 def shares(weights: dict, period: int) -> dict:
@@ -48,64 +50,60 @@ def shares(weights: dict, period: int) -> dict:
     return out
 
 
-def edf(slots: dict, period: int) -> list[tuple]:
-    """(source, q) of each slot of a period: the q-th block (from 0) of the source."""
+def exact(weights: dict) -> dict:
+    """Whole numbers in exactly the proportions of ``weights``."""
+    parts = {k: Fraction(w) for k, w in weights.items()}
+    unit = math.lcm(*(f.denominator for f in parts.values()))
+    return {k: int(f * unit) for k, f in parts.items()}
+
+
+def edf(slots: dict, period: int, rest: dict | None = None) -> list[tuple]:
+    """(source, q) of each slot of a period: the q-th block (from 0) of the source.
+
+    With ``rest``, the blocks of each source, it ends when a source runs out.
+    """
     waiting = [((0, str(k)), k, 0) for k in slots]  # by release
     heapq.heapify(waiting)
     ready: list[tuple] = []  # by deadline
     out = []
-    for t in range(period):
+    for t in range(period if rest is None else sum(rest.values())):
         while waiting and waiting[0][0][0] <= t:
             _, k, q = heapq.heappop(waiting)
             heapq.heappush(ready, ((-(-(q + 1) * period // slots[k]), str(k)), k, q))
         _, k, q = heapq.heappop(ready)
         out.append((k, q))
-        if q + 1 < slots[k]:
+        if rest is not None and q + 1 == rest[k]:
+            break
+        if rest is not None or q + 1 < slots[k]:
             heapq.heappush(waiting, (((q + 1) * period // slots[k], str(k)), k, q + 1))
     return out
 
 
-def phases(blocks: dict, weights: dict, period: int) -> list[dict]:
-    """Phases until every source has run out.
-
-    Each has the slots of a period by source, its schedule, the blocks each
-    source had before, its blocks in this phase, and the phase's first slot.
-    """
-    rest, done, base, out = {k: n for k, n in blocks.items() if n}, dict.fromkeys(blocks, 0), 0, []
+def schedule(blocks: dict, weights: dict) -> list[tuple]:
+    """(source, block, slot, phase, release, deadline) of every block, in phases until every source has run out."""
+    rest, done, out, phase = {k: n for k, n in blocks.items() if n}, dict.fromkeys(blocks, 0), [], 0
     while rest:
         active = {k: weights.get(k) or 0 for k in rest}
         active = {k: w for k, w in active.items() if w > 0} or dict.fromkeys(rest, 1)
-        slots = shares(active, period)
-        plan = edf(slots, period)
-        full = min(rest[k] // slots[k] for k in slots)
-        took, cut = {k: full * slots[k] for k in slots}, 0
-        if all(rest[k] > took[k] for k in slots):
-            for k, _ in plan:
-                took[k] += 1
-                cut += 1
-                if took[k] == rest[k]:
-                    break
-        out.append({"slots": slots, "plan": plan, "before": {k: done[k] for k in slots}, "took": took, "base": base})
-        base += full * period + cut
-        for k in slots:
-            done[k] += took[k]
-            rest[k] -= took[k]
+        slots = exact(active)
+        period = sum(slots.values())
+        for k, q in edf(slots, period, rest):
+            out.append((k, done[k] + q, len(out), phase, min(q * period // slots[k], _LONG), min(-(-(q + 1) * period // slots[k]), _LONG)))
+        for row in out[sum(done.values()) :]:
+            done[row[0]] += 1
+            rest[row[0]] -= 1
         rest = {k: n for k, n in rest.items() if n}
+        phase += 1
     return out
 
 
-def _small(spark, rows: list[dict], schema: str) -> DataFrame:
-    """A table of a few rows, made in the JVM."""
-    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")))
-
-
 def mix(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, period: int = PERIOD) -> DataFrame:
     """(doc_id, source, block, slot, position, phase, release, deadline) of every row of ``docs``.
 
     ``weights`` maps sources to target weights; None takes the square roots of
     the sources' document counts. ``slot`` orders the blocks of the mix and
     ``position`` the documents of a block; ``release`` and ``deadline`` are in
-    slots of the phase.
+    slots of the phase. ``period`` has no effect: phases are scheduled whole.
     """
     spark = docs.sparkSession
     key = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
@@ -114,11 +112,9 @@ def mix(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, period
     if not counts:
         return rows.select("doc_id", "source", *(F.lit(0).cast("long").alias(c) for c in ("block", "slot", "position")), F.lit(0).alias("phase"), *(F.lit(0).cast("long").alias(c) for c in ("release", "deadline")))
     target = {k: n**0.5 for k, n in counts.items()} if weights is None else {"" if k is None else f"={k}": float(w) for k, w in weights.items()}
-    while period < 4 * len(counts):
-        period *= 2
-    plan = phases({k: -(-n // block) for k, n in counts.items()}, target, period)
-    spans = _small(spark, [{"_key": k, "phase": i, "before": p["before"][k], "until": p["before"][k] + p["took"][k], "share": p["slots"][k], "base": p["base"]} for i, p in enumerate(plan) for k in p["slots"]], "_key string, phase int, before long, until long, share long, base long")
-    places = _small(spark, [{"_key": k, "phase": i, "q": q, "at": t} for i, p in enumerate(plan) for t, (k, q) in enumerate(p["plan"])], "_key string, phase int, q long, at long")
+    plan = schedule({k: -(-n // block) for k, n in counts.items()}, target)
+    kinds = {"_key": pa.string(), "block": pa.int64(), "slot": pa.int64(), "phase": pa.int32(), "release": pa.int64(), "deadline": pa.int64()}
+    places = spark.createDataFrame(pa.table({c: pa.array(v, t) for (c, t), v in zip(kinds.items(), zip(*plan, strict=True), strict=True)}))
     # ranks in hash order without sorting a source in one task: ranks in fine buckets, plus the rows of the buckets before
     buckets = max(1, -(-sum(counts.values()) // BUCKET_ROWS))
     top = F.shiftright("_h", 32) + F.lit(2**31)  # 0 up to 2**32, in the order of the hash
@@ -129,16 +125,8 @@ def mix(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, period
     ranked = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_key", "_bucket").orderBy("_h", "doc_id"))).join(sizes, ["_key", "_bucket"])
     rank = F.col("_before") + F.col("_n") - 1
     cut = ranked.select("doc_id", "source", "_key", F.floor(rank / block).cast("long").alias("block"), (rank % block).cast("long").alias("position"))
-    b, s, p = cut.alias("b"), F.broadcast(spans).alias("s"), F.broadcast(places).alias("p")
-    j = F.col("b.block") - F.col("s.before")
-    placed = b.join(s, (F.col("b._key") == F.col("s._key")) & (F.col("b.block") >= F.col("s.before")) & (F.col("b.block") < F.col("s.until")))
-    placed = placed.select("doc_id", "source", F.col("b._key").alias("_key"), "block", "position", "phase", "base", "share", j.alias("j"), F.floor(j / F.col("share")).cast("long").alias("turn"), (j % F.col("share")).alias("q"))
-    placed = placed.join(p.select("_key", "phase", "q", "at"), ["_key", "phase", "q"])
-    return placed.select(
-        "doc_id", "source", "block", (F.col("base") + F.col("turn") * period + F.col("at")).alias("slot"), "position", "phase",
-        F.floor(F.col("j") * period / F.col("share")).cast("long").alias("release"),
-        F.ceil((F.col("j") + 1) * period / F.col("share")).cast("long").alias("deadline"),
-    )
+    placed = cut.join(F.broadcast(places) if len(plan) <= BROADCAST_BLOCKS else places, ["_key", "block"])
+    return placed.select("doc_id", "source", "block", "slot", "position", "phase", "release", "deadline")
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:

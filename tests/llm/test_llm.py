@@ -209,6 +209,20 @@ def test_pfair_bound():
             assert all(abs(had[s] - slots[s] * t / 256) < 1 for s in slots)
 
 
+def test_mixing_target_weights():
+    for weights in ({"a": 1, "b": 2}, {"a": 0.0001, "b": 0.7, "c": 0.2999}, {"a": 2**0.5, "b": 3**0.5, "c": 1}):
+        plan = op6_mixing.schedule(dict.fromkeys(weights, 6000), weights)
+        assert sorted(r[:2] for r in plan) == [(k, j) for k in sorted(weights) for j in range(6000)]
+        had, total = collections.Counter(), sum(weights.values())
+        for t, (k, _, slot, phase, release, deadline) in enumerate(plan, 1):
+            if phase:
+                break
+            had[k] += 1
+            assert slot == t - 1 and release <= slot < deadline
+            assert all(abs(had[s] - w / total * t) < 1 + 1e-9 for s, w in weights.items())
+        assert t > 6000
+
+
 def test_mixing(spark):
     rows = [(i, "ab"[i % 3 == 0], 1) for i in range(900)] + [(900, None, 1), (901, None, 1), (None, "a", 1)]
     df = spark.createDataFrame(rows, "doc_id long, source string, slot int")
