@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BASE_BLOCK, QUERY_BLOCK, SMALL = 16384, 1024, 64 << 20
+BASE_BLOCK, QUERY_BLOCK, SMALL, MEASURED = 16384, 1024, 64 << 20, 1 << 16
 
 
 def _top(q_ids, q, ids, x, k: int, metric: str, skip_self: bool) -> pd.DataFrame:
@@ -26,17 +26,21 @@ def _top(q_ids, q, ids, x, k: int, metric: str, skip_self: bool) -> pd.DataFrame
         d = np.maximum((q * q).sum(1)[:, None] - 2 * q @ x.T + (x * x).sum(1)[None], 0)
     if skip_self:
         d[q_ids[:, None] == ids[None]] = np.inf
-    few = min(k + 8, d.shape[1])
-    part = np.argpartition(d, few - 1, 1)[:, :few] if few < d.shape[1] else np.tile(np.arange(d.shape[1]), (len(q), 1))
-    if metric != "dot":  # measured again by differences, which lose no digits
-        near = ((x[part] - q[:, None]) ** 2).sum(2)
-        near[~np.isfinite(np.take_along_axis(d, part, 1))] = np.inf
-    else:
-        near = np.take_along_axis(d, part, 1)
-    order = np.lexsort((ids[part], near), axis=1)[:, :k]
-    rows, dist = np.take_along_axis(part, order, 1), np.take_along_axis(near, order, 1)
-    out = pd.DataFrame({"query_id": np.repeat(q_ids, rows.shape[1]), "vertex_id": ids[rows].ravel(), "distance": dist.ravel()})
-    return out[np.isfinite(out["distance"])]
+    d[np.isnan(d)] = np.inf
+    keep = np.isfinite(d)
+    if k < d.shape[1]:  # all rows that rounding may have put behind the k-th, however many tie
+        scale = (q * q).sum(1) + (x * x).sum(1).max()
+        margin = 8 * np.finfo(float).eps * (x.shape[1] + 8) * np.where(np.isfinite(scale), scale, np.inf)
+        keep &= d <= (np.partition(d, k - 1, 1)[:, k - 1] + margin)[:, None]
+    rows, cols = np.nonzero(keep)
+    near = np.empty(len(rows))
+    for i in range(0, len(rows), MEASURED):  # measured again row by row, so that equal vectors have equal distances
+        a, b = q[rows[i : i + MEASURED]], x[cols[i : i + MEASURED]]
+        near[i : i + MEASURED] = -(a * b).sum(1) if metric == "dot" else ((b - a) ** 2).sum(1)
+    order = np.lexsort((ids[cols], near, rows))
+    rows, cols, near = rows[order], cols[order], near[order]
+    first = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+    return pd.DataFrame({"query_id": q_ids[rows[first]], "vertex_id": ids[cols[first]], "distance": near[first]})
 
 
 def nearest(vertices: DataFrame, queries: DataFrame, k: int = 1, metric: str = "l2", skip_self: bool = False) -> DataFrame:

@@ -219,3 +219,14 @@ def test_stream(spark, tmp_path):
     stream = spark.readStream.schema("id long, vec array<double>").parquet(str(tmp_path / "in"))
     S.search_stream(stream, vertices, edges, lambda df, n: got.extend(df.collect()), str(tmp_path / "ck"), k=1, ef=2, metric="l2").awaitTermination()
     assert [r["best_ids"] for r in got] == [[4]]
+
+
+def test_knn_many_ties():
+    from simloom.operators import knn
+
+    rng = np.random.default_rng(0)
+    x = np.repeat(rng.normal(size=(2, 64)), 200, 0)
+    ids = rng.permutation(400)
+    for metric in ("l2", "dot"):
+        got = knn._top(np.array([900]), x[:1] + 0.1, ids, x, 5, metric, False)
+        assert got["vertex_id"].tolist() == sorted(ids[:200])[:5]
