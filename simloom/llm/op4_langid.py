@@ -5,9 +5,8 @@ whole text. A window's bytes are embedded, run through filters of several
 widths with ReLU, max-pooled over the window and classified by a softmax layer;
 a document's probabilities are the mean of its windows', weighted by length.
 The network is trained in numpy (Adam, back-propagation by hand) on windows of
-a bounded sample of labelled rows: at most ``ROWS_PER_LANG`` rows of each of
-the ``MAX_LANGS`` most frequent languages, chosen by a hash of their ids, and
-at most ``SAMPLE_CHARS`` characters at a hashed offset of each.
+a bounded sample of labelled rows: at most ``ROWS_PER_LANG`` rows of each
+language, chosen by a hash of their ids, and at most ``SAMPLE_CHARS`` characters at a hashed offset of each.
 
 Defined results: a text that is null or has no letter gets ``und`` with score
 0. Nulls in ``lang`` aren't learned from; with no labelled row at all every
@@ -28,7 +27,7 @@ from pyspark.sql import functions as F
 
 from simloom.llm import kernels as K
 
-ROWS_PER_LANG, MAX_LANGS, SAMPLE_CHARS = 800, 64, 800
+ROWS_PER_LANG, SAMPLE_CHARS = 800, 800
 WINDOW, EMBED, FILTERS, WIDTHS = 256, 6, 16, (2, 3, 4)
 EPOCHS, BATCH, RATE = 4, 64, 5e-3
 _LETTER = re.compile(r"[^\W\d_]")
@@ -141,8 +140,7 @@ def train(docs: DataFrame) -> bytes:
     parts = rows.select("lang", "text", key.alias("key")).select("lang", "key", F.substring(F.col("text"), offset, F.lit(SAMPLE_CHARS)).alias("text"))
     ranked = parts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("key")))
     sample = ranked.where(F.col("rank") <= ROWS_PER_LANG).drop("rank")
-    common = [r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()]
-    got = sample.where(F.col("lang").isin(common)).orderBy("key", "lang").collect() if common else []
+    got = sample.orderBy("key", "lang").collect()
     langs = sorted({r["lang"] for r in got})
     net = ByteCNN(langs)
     if langs:

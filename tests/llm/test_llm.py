@@ -171,6 +171,13 @@ def test_jaccard(spark, corpus, monkeypatch):
     assert kept == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def test_many_languages(spark, monkeypatch):
+    monkeypatch.setattr(op4_langid.ByteCNN, "fit", lambda self, x, y: self)
+    rows = [(i, "abc def", f"l{i:02}") for i in range(70)]
+    model = op4_langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert op4_langid.ByteCNN.load(model).langs == [r[2] for r in rows]
+
+
 def test_language(spark):
     rng = np.random.default_rng(1)
     rows = [(i, " ".join(rng.choice(["the", "and", "with", "thing"] if i % 2 else ["für", "über", "nicht", "schön"], 60)), "en" if i % 2 else "de") for i in range(300)]
