@@ -18,9 +18,10 @@ ORACLE_SQL = None
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language: rejected are those without any letter (``und``); lang becomes the prediction where it is null."""
+    """Documents with a letter; lang becomes the prediction where it is null and a language could be learned."""
     told = op4_langid.predict(docs, op4_langid.train(docs), docs.columns, "_pred", "_score")
-    return told.where("_pred <> 'und'").withColumn("lang", F.coalesce("lang", "_pred")).select(*docs.columns)
+    told = told.where((F.col("_pred") != "und") | F.col("text").rlike(r"\p{L}"))
+    return told.withColumn("lang", F.coalesce("lang", F.nullif("_pred", F.lit("und")))).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -178,6 +178,13 @@ def test_many_languages(spark, monkeypatch):
     assert op4_langid.ByteCNN.load(model).langs == [r[2] for r in rows]
 
 
+def test_pipeline_language_unlabelled(spark):
+    import corpus_pipeline
+
+    docs = frame(spark, ["some words", "été", "12 34!", "", None], lang=None)
+    assert sorted((r["doc_id"], r["lang"]) for r in corpus_pipeline.language(spark, docs, "").collect()) == [(0, None), (1, None)]
+
+
 def test_language(spark):
     rng = np.random.default_rng(1)
     rows = [(i, " ".join(rng.choice(["the", "and", "with", "thing"] if i % 2 else ["für", "über", "nicht", "schön"], 60)), "en" if i % 2 else "de") for i in range(300)]
