@@ -311,7 +311,7 @@ def classes(docs: DataFrame) -> DataFrame:
     stars = held.where("x <> p").select("x", "n", "p").distinct().join(sizes, "p").where(fits)
     known = durable.table(measured(stars.select("x", F.col("p").alias("y")), sized, texts), "known")
     links = known.where("link").select("x", "y")
-    if not links.limit(1).count() and not known.limit(1).count():
+    if not known.limit(1).count() and not held.groupBy("s").count().where("count > 1").limit(1).count():
         return members.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("component_id"))
     roots = components(links)
 

@@ -171,6 +171,14 @@ def test_jaccard(spark, corpus, monkeypatch):
     assert kept == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def test_jaccard_without_star_pairs(spark):
+    rng = np.random.default_rng(15)
+    base = [f"w{v}" for v in rng.integers(0, 10**6, 60)]
+    copy = [*base[:-1], "changed"]
+    texts = [" ".join(w) for w in ([*base, *base[::-1], *(f"w{v}" for v in rng.integers(0, 10**6, 30))], base, copy)]
+    assert sorted(map(tuple, op3_jaccard.classes(frame(spark, texts)).collect())) == brute_classes(texts)
+
+
 def test_many_languages(spark, monkeypatch):
     monkeypatch.setattr(op4_langid.ByteCNN, "fit", lambda self, x, y: self)
     rows = [(i, "abc def", f"l{i:02}") for i in range(70)]
