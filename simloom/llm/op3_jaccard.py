@@ -53,7 +53,7 @@ from simloom.plans import durable
 
 LINK, R = 75, 0.25  # per cent; the same as a distance
 COARSE, CELLS = 256, 1 << 16
-BUCKET_ROWS, HELD_ROWS, PACKED_ROWS = 1 << 15, 1 << 18, 1 << 18
+BUCKET_ROWS, HELD_ROWS, PACKED_ROWS, HELD_SHINGLES = 1 << 15, 1 << 18, 1 << 18, 1 << 21
 FREQUENT, LOCAL, SPLIT, LEVELS, BROADCAST_ROWS = 1 << 18, 3, 64, 2, 200_000
 
 
@@ -77,14 +77,23 @@ def _folded(counts: np.ndarray, k: int) -> np.ndarray:
 def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The shingles that most documents share, sorted, at most FREQUENT, and their places in the order from rare to frequent."""
 
+    def told(held: list[np.ndarray]) -> pa.RecordBatch:
+        h = np.sort(np.concatenate(held))
+        at = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        n = np.diff(np.r_[at, len(h)])
+        return pa.RecordBatch.from_arrays([pa.array(_signed(h[at][n >= LOCAL])), pa.array(n[n >= LOCAL])], ["s", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
-            got = [s for s in K.sets(batch.column(0)) if len(s)]
-            if got:
-                h = np.sort(np.concatenate(got))
-                at = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-                n = np.diff(np.r_[at, len(h)])
-                yield pa.RecordBatch.from_arrays([pa.array(_signed(h[at][n >= LOCAL])), pa.array(n[n >= LOCAL])], ["s", "n"])
+            for s in K.sets(batch.column(0)):
+                held.append(s)
+                size += len(s)
+                if size >= HELD_SHINGLES:
+                    yield told(held)
+                    held, size = [], 0
+        if size:
+            yield told(held)
 
     counts = docs.select("text").where("text is not null").mapInArrow(run, "s long, n long").groupBy("s").agg(F.sum("n").alias("n"))
     got = counts.orderBy(F.desc("n"), "s").limit(FREQUENT).select("s").toPandas()["s"].to_numpy(dtype=np.int64).view(np.uint64)
@@ -123,8 +132,9 @@ def shared_shingles(first: DataFrame, buckets: int) -> DataFrame:
     """(s, x, n, i): the places of those first shingles of (doc_id, n, prefix) that several documents have.
 
     Entries travel packed, in ``buckets`` ranges of s, a range a block of each
-    mapper. A receiver holds HELD_ROWS entries of one range at a time: beyond
-    that the repeated ones are passed on, and their shingles remembered.
+    mapper. A receiver holds HELD_ROWS entries of one range at a time, or twice
+    those left over: beyond that the repeated ones are passed on, and their
+    shingles remembered.
     """
     shift = np.uint64(64 - (buckets.bit_length() - 1))
 
@@ -155,7 +165,7 @@ def shared_shingles(first: DataFrame, buckets: int) -> DataFrame:
             yield blocks(*(np.concatenate(c) for c in zip(*held, strict=True)))
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows, now, often = [], 0, None, np.zeros(0, np.uint64)
+        held, rows, most, now, often = [], 0, HELD_ROWS, None, np.zeros(0, np.uint64)
 
         def repeated() -> tuple[pa.RecordBatch, tuple, np.ndarray]:
             s, x, n, i = (np.concatenate(c) for c in zip(*held, strict=True))
@@ -169,14 +179,14 @@ def shared_shingles(first: DataFrame, buckets: int) -> DataFrame:
                 if bucket != now:
                     if held:
                         yield repeated()[0]
-                    held, rows, now, often = [], 0, bucket, np.zeros(0, np.uint64)
+                    held, rows, most, now, often = [], 0, HELD_ROWS, bucket, np.zeros(0, np.uint64)
                 s = np.frombuffer(packed[0], np.uint64)
                 x, n, i = (np.frombuffer(v, f"u{len(v) // len(s)}").astype(np.int64) for v in packed[1:])
                 held.append((s, x + low, n, i))
                 rows += len(s)
-                if rows >= HELD_ROWS:
+                if rows >= most:
                     out, left, often = repeated()
-                    held, rows = [left], 0
+                    held, rows, most = [left], len(left[0]), max(HELD_ROWS, 2 * len(left[0]))
                     yield out
         if held:
             yield repeated()[0]

@@ -129,7 +129,7 @@ def test_passage_with_shifts():
     other = np.concatenate([base[:40], fresh(6), base[40:80], base[84:]])  # an insertion and a deletion
     sx, sy = np.concatenate([fresh(200), base, fresh(200)]), np.concatenate([fresh(90), other, fresh(300)])
     sx[[5, -5]] = sy[[-5, 3]] = 77, 78  # shared far outside the passage
-    met = [{"f": 0, "lo": 0, "at": 210, "hi": len(sx), "olo": 0, "oat": 100, "ohi": len(sy)}]
+    met = [{"f": 0, "lo": 0, "at": 210, "hi": len(sx), "oat": 100}]
     assert [p[:4] for p in op2_passages.passages(sx, sy, met, 1)] == [(200, 320, 90, 90 + len(other))]
 
 
