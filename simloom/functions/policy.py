@@ -18,7 +18,21 @@ from pyspark.sql import functions as F
 MIN_PROB = 1e-4
 
 
-class EdgePolicy:
+class Policy:
+    """What decides over edges. ``score`` adds prob, the probability to keep each of ``edges`` (from_id, slot, to_id and more)."""
+
+    def score(self, edges: DataFrame, vertices: DataFrame, greedy: bool = False) -> DataFrame:
+        raise NotImplementedError
+
+
+class EveryEdge(Policy):
+    """Keeps every edge."""
+
+    def score(self, edges: DataFrame, vertices: DataFrame, greedy: bool = False) -> DataFrame:
+        return edges.withColumn("prob", F.lit(1.0))
+
+
+class EdgePolicy(Policy):
     """Parameters as one flat vector, with views for the layers."""
 
     def __init__(self, vertex_size: int, hidden_size: int, seed: int = 0, flat: np.ndarray | None = None):
@@ -36,6 +50,9 @@ class EdgePolicy:
         flat = self.flat if flat is None else flat
         return [flat[a:b].reshape(s) for a, b, s in zip(self.cuts, self.cuts[1:], self.shapes, strict=False)]
 
+    def score(self, edges: DataFrame, vertices: DataFrame, greedy: bool = False) -> DataFrame:
+        return keep_probabilities(edges, vertices, self, greedy)
+
     def logits(self, x: np.ndarray, flat: np.ndarray | None = None) -> tuple[np.ndarray, tuple]:
         w1, b1, w2, b2, w3, b3 = self.parts(flat)
         z1 = x @ w1 + b1

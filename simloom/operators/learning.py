@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from simloom.plans import durable
+
 
 def summary(sessions: DataFrame, k: int = 1) -> DataFrame:
     """Mean recall, distance computations, hops and their ratios of sessions with column truth; with ``reward`` also its mean."""
@@ -29,28 +31,72 @@ class MeanBaseline:
     """A moving average of sessions' mean rewards; the first steps weigh more."""
 
     value: float = 0.0
+    moving_average: float = 0.05
     horizon: float = 20.0
-    step: float = 1.0
+    step: int = 0
+    mean_reward: float = 0.0  # of the last batch
+
+    def advantages(self, samples: DataFrame) -> DataFrame:
+        """``samples`` with columns baseline and advantage."""
+        return samples.withColumn("baseline", F.lit(float(self.value))).withColumn("advantage", F.col("reward") - F.col("baseline"))
+
+    def update(self, samples: DataFrame, sessions: DataFrame | int) -> "MeanBaseline":
+        """From samples(session_index, reward); sessions without samples count as 0.
 
-    def update(self, samples: DataFrame, n_sessions: int) -> "MeanBaseline":
-        """From samples(session_index, reward); sessions without samples count as 0."""
+        ``sessions`` is their number, or a table with a row for each.
+        """
+        n = sessions if isinstance(sessions, int) else sessions.count()
         per = samples.groupBy("session_index").agg(F.avg("reward").alias("m"))
-        mean = (per.agg(F.coalesce(F.sum("m"), F.lit(0.0))).first()[0]) / max(n_sessions, 1)
+        self.mean_reward = per.agg(F.coalesce(F.sum("m"), F.lit(0.0))).first()[0] / max(n, 1)
+        self.horizon = max(self.horizon - self.step, 1.0)
+        alpha = self.horizon * self.moving_average
+        self.value = (1 - alpha) * self.value + alpha * self.mean_reward
+        self.step += 1
+        return self
+
+
+@dataclass
+class SessionBaseline:
+    """A moving average of rewards for each query: a written table (query_id, value, updated)."""
+
+    table: DataFrame
+    moving_average: float = 0.05
+    horizon: float = 20.0
+    step: int = 0  # rounds in which every query was seen
+    mean_reward: float = 0.0
+
+    @classmethod
+    def of(cls, queries: DataFrame) -> "SessionBaseline":
+        start = queries.select(F.col("id").alias("query_id"), F.lit(0.0).alias("value"), F.lit(False).alias("updated"))
+        return cls(durable.table(start, "baseline"))
+
+    def advantages(self, samples: DataFrame) -> DataFrame:
+        """``samples`` (session_index is the query's id) with columns baseline and advantage."""
+        known = self.table.select(F.col("query_id").alias("session_index"), F.col("value").alias("baseline"))
+        return samples.join(known, "session_index", "left").withColumn("baseline", F.coalesce("baseline", F.lit(0.0))).withColumn("advantage", F.col("reward") - F.col("baseline"))
+
+    def update(self, samples: DataFrame, sessions: DataFrame) -> "SessionBaseline":
+        """From samples(session_index, reward) of ``sessions`` (query_id); those without samples keep their value."""
+        per = samples.groupBy(F.col("session_index").alias("query_id")).agg(F.avg("reward").alias("reward"))
+        self.mean_reward = per.agg(F.coalesce(F.avg("reward"), F.lit(0.0))).first()[0]
         self.horizon = max(self.horizon - self.step, 1.0)
-        alpha = self.horizon * 0.05
-        self.value = (1 - alpha) * self.value + alpha * mean
+        batch = sessions.select("query_id").join(per, "query_id", "left")
+        self.table = durable.table(session_baseline(self.table, batch, self.horizon * self.moving_average), "baseline")
+        if not self.table.where("updated").limit(1).count():
+            self.step += 1
         return self
 
 
 def session_baseline(baseline: DataFrame, rewards: DataFrame, alpha: float) -> DataFrame:
     """(query_id, value, updated) after one batch: each query's own moving average.
 
-    ``rewards`` has query_id and the session's mean reward; queries without a
-    reward keep their value. Flags start anew once all queries were updated.
+    ``rewards`` has a row for each query of the batch with its session's mean
+    reward; where that is null, or without a row, the value stays. Queries of the
+    batch are flagged; flags start anew once all queries have one.
     """
-    out = baseline.join(rewards.select("query_id", "reward"), "query_id", "left")
+    out = baseline.join(rewards.select("query_id", "reward", F.lit(True).alias("_met")), "query_id", "left")
     new = F.when(F.col("reward").isNull(), F.col("value")).otherwise((1 - alpha) * F.col("value") + alpha * F.col("reward"))
-    out = out.select("query_id", new.alias("value"), (F.col("updated") | F.col("reward").isNotNull()).alias("updated"))
+    out = out.select("query_id", new.alias("value"), (F.col("updated") | F.col("_met").isNotNull()).alias("updated"))
     done = out.agg(F.bool_and("updated").alias("_all"))
     return out.join(F.broadcast(done), F.lit(True)).select("query_id", "value", (F.col("updated") & ~F.col("_all")).alias("updated"))
 
@@ -83,7 +129,8 @@ def ppo_loss(clip: float = 0.2) -> Column:
 
 
 def trpo_loss() -> Column:
-    return -weighted(F.exp(F.col("logp") - F.col("old_logp")) * F.col("advantages"), F.col("freqs"))
+    """Surrogate over rows whose advantages are sums over their samples: they aren't weighted again."""
+    return -F.sum(F.exp(F.col("logp") - F.col("old_logp")) * F.col("advantages")) / F.sum("freqs")
 
 
 def entropy(p0: Column, p1: Column) -> Column:

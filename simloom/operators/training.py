@@ -1,14 +1,17 @@
-"""Policy optimisation: PPO, its variant on aggregated samples, and TRPO.
+"""Policy optimisation: PPO, its variants on aggregated and on standardised samples, TRPO and its variant in batches.
 
 Samples stay distributed. Each gradient, loss or Fisher product is one job whose
 partitions return partial sums of the parameters' size, added up in a tree;
-the driver holds parameters only.
+the driver holds parameters only. Mini-batches are dealt anew in each epoch, by
+a hash of the row, into partitions of a written table, so a batch reads its own
+rows only; they hold ``samples_in_batch`` rows on average.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from typing import ClassVar
 
 import numpy as np
 import pandas as pd
@@ -16,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from simloom.functions import vectors as V
 from simloom.functions.policy import EdgePolicy, pairs_of, with_vectors
 from simloom.operators import learning
 from simloom.plans import durable
@@ -41,15 +45,23 @@ def _sum(rows: DataFrame, part: Callable[[pa.RecordBatch], np.ndarray], size: in
 
 @dataclass
 class Trainer:
-    """Shared parts; rows have from_vec, to_vec, action, advantages, freqs."""
+    """Shared parts; samples have from_id, to_id, action and advantage."""
 
     policy: EdgePolicy
     entropy_reg: float = 0.01
+    samples_in_batch: int = 4096
+    seed: int = 0
+    done: int = 0  # steps so far; batches of each are dealt differently
+    standardise: ClassVar[bool] = False
+    aggregate: ClassVar[bool] = False
+    #: Whether a row's advantage is the sum over its samples already, and the divergence is that of the new policy from the old.
+    summed: ClassVar[bool] = False
 
     def rows(self, samples: DataFrame, vertices: DataFrame) -> DataFrame:
-        """Standardised, aggregated samples with vectors and old log probabilities, as a written table."""
-        flat = learning.standardized(samples)
-        both = with_vectors(learning.aggregate_samples(flat), vertices)
+        """Samples with vectors and old log probabilities, as a written table."""
+        flat = learning.standardized(samples) if self.standardise else samples
+        flat = learning.aggregate_samples(flat) if self.aggregate else flat.select("from_id", "to_id", "action", F.col("advantage").alias("advantages"), F.lit(1).cast("long").alias("freqs"))
+        both = with_vectors(flat, vertices)
         old = EdgePolicy(self.policy.d, self.policy.h, flat=self.policy.flat)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,12 +69,13 @@ class Trainer:
                 logp = old.logp(pairs_of(batch, old.d))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(logp[:, 0]), pa.array(logp[:, 1])], [*batch.schema.names, "old0", "old1"])
 
-        cols = both.select("from_vec", "to_vec", "action", "advantages", "freqs")
+        cols = both.select("from_id", "to_id", "from_vec", "to_vec", "action", F.col("advantages").cast("double").alias("advantages"), "freqs")
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cols.schema.fields)
-        return durable.table(cols.mapInArrow(run, f"{schema}, old0 double, old1 double"), "samples")
+        told = cols.mapInArrow(run, f"{schema}, old0 double, old1 double")
+        return durable.table(told.withColumn("row", F.monotonically_increasing_id()), "samples")
 
     def terms(self, flat: np.ndarray, batch: pa.RecordBatch, clip: float | None) -> tuple:
-        """Per-row surrogate, KL(old || new), entropy, weights, and derivatives of loss by the logit."""
+        """Per-row surrogate, divergence of the policies, entropy, weights, and derivatives by the logit of surrogate and entropy."""
         net = EdgePolicy(self.policy.d, self.policy.h, flat=flat)
         f, cache = net.logits(pairs_of(batch, net.d))
         t = net.theta(f)
@@ -79,28 +92,38 @@ class Trainer:
             free = value <= cut
             value = np.minimum(value, cut)
         entropy = -(p * np.log(p)).sum(1)
-        kl = (np.exp(old) * (old - np.log(p))).sum(1)
+        kl = ((p * (np.log(p) - old)) if self.summed else np.exp(old) * (old - np.log(p))).sum(1)
         dt = (t - 1e-4) * (1 - 1e-4 - t) / (1 - 2e-4)  # dtheta/df
         sign = np.where(i == 0, 1.0, -1.0)
         d_value = np.where(free, ratio * adv * sign / p[rows, i], 0) * dt
         d_entropy = (np.log(p[:, 1]) - np.log(p[:, 0])) * dt
-        return net, cache, value, kl, entropy, w, d_value + self.entropy_reg * d_entropy, dt**2 / (t * (1 - t))
+        return net, cache, value, kl, entropy, w, d_value, d_entropy, dt**2 / (t * (1 - t))
 
-    def gradient(self, rows: DataFrame, flat: np.ndarray, clip: float | None) -> np.ndarray:
-        """[gradient of the loss, loss, kl, entropy], frequency weighted."""
-        n = len(flat)
+    def gradient(self, rows: DataFrame, flat: np.ndarray, clip: float | None = None, reg: float | None = None) -> tuple[np.ndarray, float, float, float, float]:
+        """Gradient of the loss, loss, divergence and entropy, each over the sum of frequencies, and that sum."""
+        n, reg = len(flat), self.entropy_reg if reg is None else reg
 
         def part(batch: pa.RecordBatch) -> np.ndarray:
-            net, cache, value, kl, entropy, w, d, _ = self.terms(flat, batch, clip)
-            return np.concatenate([net.backward(cache, -w * d, flat), [-(w * (value + self.entropy_reg * entropy)).sum(), (w * kl).sum(), (w * entropy).sum(), w.sum()]])
+            net, cache, value, kl, entropy, w, d_value, d_entropy, _ = self.terms(flat, batch, clip)
+            v = np.ones_like(w) if self.summed else w
+            return np.concatenate([net.backward(cache, -(v * d_value + reg * w * d_entropy), flat), [-(v * value + reg * w * entropy).sum(), (w * kl).sum(), (w * entropy).sum(), w.sum()]])
 
         out = _sum(rows, part, n + 4)
-        return out[:-1] / max(out[-1], 1e-300)
+        return out[:n] / max(out[-1], 1e-300), *(out[n:-1] / max(out[-1], 1e-300)), out[-1]
+
+    def batches(self, rows: DataFrame, epoch: int) -> list[DataFrame]:
+        """``rows`` dealt into mini-batches, in an order of their own in each epoch."""
+        count = -(-rows.count() // self.samples_in_batch)
+        if count <= 1:
+            return [rows]
+        dealt = rows.withColumn("batch", F.pmod(F.xxhash64("row", F.lit(self.seed), F.lit(self.done), F.lit(epoch)), F.lit(count)).cast("int"))
+        table = durable.table(dealt.repartition("batch"), "batches", by="batch")
+        return [table.where(F.col("batch") == i) for i in range(count)]
 
 
 @dataclass
 class PPO(Trainer):
-    """Clipped surrogate with Adam; stops early once KL exceeds 1.5 target_kl."""
+    """Clipped surrogate with Adam, over shuffled mini-batches in each epoch."""
 
     lr: float = 3e-4
     clip_eps: float = 0.2
@@ -111,58 +134,132 @@ class PPO(Trainer):
     _t: int = 0
 
     def step(self, samples: DataFrame, vertices: DataFrame) -> dict:
+        """Updates the policy; means over updates, each measured before its update, and the number of epochs."""
         rows = self.rows(samples, vertices)
         if self._m is None:
             self._m, self._s = np.zeros_like(self.policy.flat), np.zeros_like(self.policy.flat)
-        done = 0
-        for done in range(1, self.epochs + 1):
-            out = self.gradient(rows, self.policy.flat, self.clip_eps)
-            if self.target_kl is not None and out[-2] > 1.5 * self.target_kl:
+        told, epochs = [], 0
+        for epoch in range(self.epochs):
+            epochs, met = epoch + 1, []
+            for batch in self.batches(rows, epoch):
+                g, *numbers, weight = self.gradient(batch, self.policy.flat, self.clip_eps)
+                if not weight:
+                    continue
+                self._t += 1
+                self._m = self._m + 0.1 * (g - self._m)
+                self._s = self._s + 0.001 * (g**2 - self._s)
+                self.policy.flat = self.policy.flat - self.lr * (self._m / (1 - 0.9**self._t)) / (np.sqrt(self._s / (1 - 0.999**self._t)) + 1e-8)
+                met.append((*numbers, weight))
+            told += met
+            shares = np.array([m[3] for m in met])
+            if self.target_kl is not None and len(met) and (shares / shares.sum()) @ [m[1] for m in met] > 1.5 * self.target_kl:
                 break
-            g = out[:-3]
-            self._t += 1
-            self._m += 0.1 * (g - self._m)
-            self._s += 0.001 * (g**2 - self._s)
-            self.policy.flat -= self.lr * (self._m / (1 - 0.9**self._t)) / (np.sqrt(self._s / (1 - 0.999**self._t)) + 1e-8)
-        loss, kl, entropy = self.gradient(rows, self.policy.flat, self.clip_eps)[-3:]
-        return {"loss": loss, "kl": kl, "entropy": entropy, "epochs": done}
+        self.done += 1
+        durable.drop(rows)
+        loss, kl, entropy = np.mean([t[:3] for t in told], 0) if told else (0.0, 0.0, 0.0)
+        return {"loss": float(loss), "kl": float(kl), "entropy": float(entropy), "epochs": epochs}
 
 
 @dataclass
 class OptimizedPPO(PPO):
-    """PPO with the KL early stop."""
+    """PPO on standardised samples, equal ones as one row, which stops after an epoch whose divergence exceeds 1.5 target_kl."""
 
+    samples_in_batch: int = 40000
     target_kl: float | None = 0.015
+    standardise: ClassVar[bool] = True
+    aggregate: ClassVar[bool] = True
+
+
+@dataclass
+class MemoryEfficientPPO(PPO):
+    """PPO on standardised samples; old log probabilities come from the written table in any case."""
+
+    standardise: ClassVar[bool] = True
 
 
 @dataclass
 class TRPO(Trainer):
-    """Natural gradient by conjugate gradients on Fisher products, with a backtracking line search."""
+    """Natural gradient by conjugate gradients on Fisher products, with a backtracking line search; entropy is told, but not part of the loss."""
 
+    entropy_reg: float = 0.0
     max_kl: float = 0.01
     damping: float = 0.1
     cg_iters: int = 10
+    aggregate: ClassVar[bool] = True
+    summed: ClassVar[bool] = True
+
+    @property
+    def reg(self) -> float:
+        return 0.0
+
+    def leading(self, rows: DataFrame) -> DataFrame:
+        """The rows that Fisher products are made from."""
+        return rows
 
     def fisher(self, rows: DataFrame, v: np.ndarray) -> np.ndarray:
+        """The Fisher matrix times ``v``: J'MJ v, which is the second derivative of the divergence at the old policy."""
         flat = self.policy.flat
 
         def part(batch: pa.RecordBatch) -> np.ndarray:
-            net, cache, *_, w, _, m = self.terms(flat, batch, None)
+            net, cache, *_, w, _, _, m = self.terms(flat, batch, None)
             return np.concatenate([net.backward(cache, w * m * net.forward_product(cache, v, flat), flat), [w.sum()]])
 
         out = _sum(rows, part, len(flat) + 1)
         return out[:-1] / max(out[-1], 1e-300) + self.damping * v
 
     def step(self, samples: DataFrame, vertices: DataFrame) -> dict:
+        """Updates the policy, unless max_kl is 0; loss, divergence and entropy after the update."""
         rows = self.rows(samples, vertices)
-        out = self.gradient(rows, self.policy.flat, None)
-        g, loss = out[:-3], out[-3]
+        measure = lambda p: self.gradient(rows, p, reg=self.reg)[1:4]
+        g, loss, *_ = self.gradient(rows, self.policy.flat, reg=self.reg)
         if self.max_kl > 0:
-            x = conjugate_gradient(lambda v: self.fisher(rows, v), -g, self.cg_iters)
-            scale = np.sqrt(max(x @ self.fisher(rows, x) / 2, 1e-300) / self.max_kl)
-            self.policy.flat = line_search(lambda p: tuple(self.gradient(rows, p, None)[-3:-1]), self.policy.flat, x / scale, self.max_kl, loss)
-        loss, kl, entropy = self.gradient(rows, self.policy.flat, None)[-3:]
-        return {"loss": loss, "kl": kl, "entropy": entropy, "epochs": 1}
+            some = self.leading(rows)
+            x = conjugate_gradient(lambda v: self.fisher(some, v), -g, self.cg_iters)
+            scale = np.sqrt(max(x @ self.fisher(some, x) / 2, 1e-300) / self.max_kl)
+            self.policy.flat = line_search(lambda p: measure(p)[:2], self.policy.flat, x / scale, self.max_kl, loss)
+        loss, kl, entropy = measure(self.policy.flat)
+        self.done += 1
+        durable.drop(rows)
+        return {"loss": float(loss), "kl": float(kl), "entropy": float(entropy), "epochs": 1}
+
+
+@dataclass
+class EfficientTRPO(TRPO):
+    """TRPO whose Fisher products take the first batches of a weighted random order, and whose loss holds the entropy.
+
+    The first 1/fvp_speedup of all batches are taken, fvp_min_batches at least.
+    Both values of fvp_type, "fim" and "forward", name the same matrix: the
+    products are only taken at the old policy.
+    """
+
+    samples_in_batch: int = 100000
+    fvp_speedup: int = 5
+    fvp_min_batches: int = 10
+    fvp_type: str = "fim"
+
+    @property
+    def reg(self) -> float:
+        return self.entropy_reg
+
+    def leading(self, rows: DataFrame) -> DataFrame:
+        if self.fvp_type not in ("fim", "forward"):
+            raise ValueError("fvp_type is fim or forward")
+        n = rows.count()
+        count = -(-n // self.samples_in_batch)
+        take = max(count // self.fvp_speedup, min(self.fvp_min_batches, count)) * self.samples_in_batch
+        if take >= n:
+            return rows
+        u = V.uniform(F.col("from_id"), F.col("to_id"), F.col("action"), self.seed + self.done)
+        keyed = rows.withColumn("_key", learning.gumbel_key(F.col("freqs"), u)).withColumn("_bin", F.floor(F.col("_key") * 256))
+        above, cut = 0, None
+        for r in keyed.groupBy("_bin").count().orderBy(F.desc("_bin")).collect():  # some thousand bins, however many rows
+            cut = r["_bin"]
+            if above + r["count"] >= take:
+                break
+            above += r["count"]
+        last = keyed.where(F.col("_bin") == cut).orderBy(F.desc("_key"), "row").limit(take - above).agg(F.min(F.struct("_key", -F.col("row"))).alias("m")).first()["m"]
+        first = (F.col("_key") > last[0]) | ((F.col("_key") == last[0]) & (F.col("row") <= -last[1]))
+        return durable.table(keyed.where(first).drop("_key", "_bin"), "leading")
 
 
 def conjugate_gradient(product: Callable[[np.ndarray], np.ndarray], b: np.ndarray, iters: int = 10, tol: float = 1e-10) -> np.ndarray:
@@ -170,15 +267,15 @@ def conjugate_gradient(product: Callable[[np.ndarray], np.ndarray], b: np.ndarra
     x, r, p = np.zeros_like(b), b.copy(), b.copy()
     rr = r @ r
     for _ in range(iters):
-        if rr < tol:
-            break
         z = product(p)
-        a = rr / (p @ z)
+        a = rr / (p @ z + 1e-8)
         x += a * p
         r -= a * z
         new = r @ r
-        p = r + new / rr * p
+        p = r + new / (rr + 1e-8) * p
         rr = new
+        if rr < tol:
+            break
     return x
 
 

@@ -7,6 +7,7 @@ folder of our own is used.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -28,7 +29,7 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[app]
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
+def table(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
     Later plans start from the files, so a lost executor costs a re-read and
@@ -40,7 +41,7 @@ def table(df: DataFrame, name: str) -> DataFrame:
     try:
         for k, v in ARROW.items():
             spark.conf.set(k, v)
-        df.write.parquet(path)
+        df.write.parquet(path, partitionBy=by)
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
@@ -52,7 +53,7 @@ def drop(df: DataFrame) -> None:
     spark = df.sparkSession
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     root = f"{shared_dir(spark)}/simloom/"
-    for parent in {f.rpartition("/")[0] for f in df.inputFiles()}:
+    for parent in {re.sub(r"(/simloom/[^/]+)/.*", r"\1", f) for f in df.inputFiles()}:
         if "/simloom/" in parent and root.split("://")[-1] in parent:
             path = jvm.org.apache.hadoop.fs.Path(parent)
             path.getFileSystem(conf).delete(path, True)

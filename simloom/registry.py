@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 
 from simloom.functions import policy, vectors as V
 from simloom.operators import beam, edges as E, knn, learning as L, training
+from simloom.operators.engine import SessionEngine
 from simloom.plans import dataset
+from simloom.plans.experiment import Experiment
 from simloom.session import read
 from simloom.sources import vecs
 
@@ -158,18 +160,15 @@ cand AS (SELECT v.from_id, v.slot, v.to_id, ((v.from_id*29+v.to_id*23) % 97) / 9
 prom AS (SELECT from_id, d + r - 1 AS slot, to_id, 0.0::DOUBLE AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY from_id ORDER BY prob DESC, slot) AS r FROM cand) WHERE r <= 8 - d)"""
 
 
-def _train(spark, sf, kind):
+def _train(spark, sf, kind, **options):
+    """One step on sessions over all learn queries, under a mean baseline."""
     base = role(spark, sf, "base")
     dim = len(base.first()["vec"])
-    net = policy.EdgePolicy(dim, 8, seed=1)
-    scored = policy.keep_probabilities(knn.knn_graph(base, DEGREE), base, net)
-    got = beam.search(base, scored, role(spark, sf, "learn"), k=1, ef=10)
-    near = knn.nearest(base, role(spark, sf, "learn"), 1).select("query_id", F.array("vertex_id").alias("truth"))
-    told = got.join(near, "query_id").withColumn("reward", V.reward_max_dcs(F.col("best_ids"), F.col("truth"), F.col("dcs")))
-    mean = told.agg(F.avg("reward")).first()[0]
-    rows = told.select("query_id", (F.col("reward") - F.lit(mean)).alias("advantage"), F.inline("samples"))
-    out = kind(net).step(rows.select("from_id", "to_id", "action", "advantage"), base)
-    return spark.createDataFrame([(k, float(v)) for k, v in out.items()], "name string, value double")
+    engine = SessionEngine(base, knn.knn_graph(base, DEGREE), k=1, ef=10, edge_patience=400)
+    near = knn.nearest(base, role(spark, sf, "learn"), 1).select(F.col("query_id").alias("id"), F.array("vertex_id").alias("truth"))
+    run = Experiment(engine, kind(policy.EdgePolicy(dim, 8, seed=1), **options), L.MeanBaseline(), V.reward_max_dcs)
+    run.train_step(role(spark, sf, "learn").join(near, "id"))
+    return run.metrics()
 
 
 def _entry(spark, sf):
@@ -243,16 +242,15 @@ LOSS = "loss AS (SELECT *, ln(CASE WHEN action = 1 THEN p_new ELSE 1 - p_new END
 
 
 def _mean_baseline(spark, sf):
-    s = sample_rows(spark, sf).select("session_index", F.col("advantage").alias("reward")).where("session_index < 37")
     b = L.MeanBaseline()
-    for _ in range(3):
-        b.update(s, 40)
+    for i in (1, 2, 3):  # of 43 sessions, three are without samples
+        b.update(sample_rows(spark, sf).select("session_index", (F.col("advantage") * i).alias("reward")), 43)
     return spark.createDataFrame([(round(b.value, 6),)], "value double")
 
 
 def _session_baseline(spark, sf):
-    r = sample_rows(spark, sf).where("session_index < 30").groupBy(F.col("session_index").alias("query_id")).agg(F.avg("advantage").alias("reward"))
-    start = spark.range(40).select(F.col("id").alias("query_id"), F.lit(1.0).alias("value"), (F.col("id") >= 35).alias("updated"))
+    r = sample_rows(spark, sf).groupBy(F.col("session_index").alias("query_id")).agg(F.avg("advantage").alias("reward"))
+    start = spark.range(50).select(F.col("id").alias("query_id"), F.lit(1.0).alias("value"), (F.col("id") >= 45).alias("updated"))
     return L.session_baseline(start, r, 0.25).withColumn("value", r6("value"))
 
 
@@ -362,7 +360,9 @@ def queries() -> dict:
         "graph_plot_tables": _plot,
         "train_step_ppo": lambda s, d: _train(s, d, training.PPO),
         "train_step_optimized_ppo": lambda s, d: _train(s, d, training.OptimizedPPO),
+        "train_step_memory_efficient_ppo": lambda s, d: _train(s, d, training.MemoryEfficientPPO),
         "train_step_trpo": lambda s, d: _train(s, d, training.TRPO),
+        "train_step_efficient_trpo": lambda s, d: _train(s, d, training.EfficientTRPO, samples_in_batch=1000, fvp_min_batches=2),
     }
 
 
@@ -412,13 +412,13 @@ def oracle_sql() -> dict:
         "reward_weighted_recall": b10 + sess.format("query_id, round(CASE WHEN list_contains(truth, ids[1]) THEN pow(0.5, list_position(truth, ids[1]) - 1) ELSE 0.0 END, 6) AS reward"),
         "recall_at_k": b10 + sess.format("query_id, round(len(list_intersect(ids[1:10], truth[1:10])) / 10.0, 6) AS recall"),
         "ef_sweep": beam_sql("4, 12", cap=300) + sess.format("ef, round(avg((ids[1] = truth[1])::INT), 6) AS recall_at_1, round(avg(dcs), 6) AS mean_dcs, round(avg(hops), 6) AS mean_hops") + " GROUP BY ef",
-        "mean_baseline": f"{SAMPLES}, m AS (SELECT sum(r) / 40 AS m FROM (SELECT avg(advantage) AS r FROM samples WHERE session_index < 37 GROUP BY session_index)) SELECT round((1-0.85)*((1-0.9)*(0.95*m) + 0.9*m) + 0.85*m, 6) AS value FROM m",
-        "session_baseline": f"{SAMPLES}, r AS (SELECT session_index AS query_id, avg(advantage) AS reward FROM samples WHERE session_index < 30 GROUP BY 1), o AS (SELECT range AS query_id, CASE WHEN reward IS NULL THEN 1.0 ELSE 0.75 + 0.25 * reward END AS value, range >= 35 OR reward IS NOT NULL AS updated FROM range(40) LEFT JOIN r ON r.query_id = range) SELECT query_id, round(value, 6) AS value, updated AND NOT (SELECT bool_and(updated) FROM o) AS updated FROM o",
+        "mean_baseline": f"{SAMPLES}, m AS (SELECT sum(r) / 43 AS m FROM (SELECT avg(advantage) AS r FROM samples GROUP BY session_index)) SELECT round(0.15*(0.05*m + 0.95*2*m) + 0.85*3*m, 6) AS value FROM m",
+        "session_baseline": f"{SAMPLES}, r AS (SELECT session_index AS query_id, avg(advantage) AS reward FROM samples GROUP BY 1), o AS (SELECT range AS query_id, CASE WHEN reward IS NULL THEN 1.0 ELSE 0.75 + 0.25 * reward END AS value, range >= 45 OR reward IS NOT NULL AS updated FROM range(50) LEFT JOIN r ON r.query_id = range) SELECT query_id, round(value, 6) AS value, updated AND NOT (SELECT bool_and(updated) FROM o) AS updated FROM o",
         "aggregate_samples": f"{SAMPLES}, {AGG} SELECT from_id, to_id, action, round(advantages, 6) AS advantages, freqs FROM agg",
         "gumbel_order": f"{SAMPLES}, {AGG} SELECT from_id, to_id, action, freqs, (row_number() OVER (ORDER BY round(ln(freqs) - ln(-ln(((from_id*7919 + to_id*104729 + action*1299709) % 1000003 + 0.5) / 1000003)), 9) DESC, from_id, to_id, action))::INT AS place FROM agg",
         "advantage_standardized": f"{SAMPLES} SELECT from_id, to_id, round((advantage - (SELECT avg(advantage) FROM samples)) / ((SELECT stddev_samp(advantage) FROM samples) + 1e-8), 6) AS advantage FROM samples",
         "ppo_surrogate": f"{SAMPLES}, {LOSS} SELECT round(-sum(freqs * least(exp(lr) * adv, least(greatest(exp(lr), 0.8), 1.2) * adv)) / sum(freqs), 6) AS loss FROM loss",
-        "trpo_surrogate": f"{SAMPLES}, {LOSS} SELECT round(-sum(freqs * exp(lr) * adv) / sum(freqs), 6) AS loss FROM loss",
+        "trpo_surrogate": f"{SAMPLES}, {LOSS} SELECT round(-sum(exp(lr) * adv) / sum(freqs), 6) AS loss FROM loss",
         "policy_entropy": f"{SAMPLES} SELECT round(sum(-freqs * (p_new * ln(p_new) + (1-p_new) * ln(1-p_new))) / sum(freqs), 6) AS entropy FROM samples",
         "policy_kl": f"{SAMPLES} SELECT round(sum(freqs * (p_old * (ln(p_old) - ln(p_new)) + (1-p_old) * (ln(1-p_old) - ln(1-p_new)))) / sum(freqs), 6) AS kl FROM samples",
         "reward_ewm": "h AS (SELECT id AS step, (id * 37 % 101) / 10.0 AS reward FROM learn) SELECT a.step, round(sum(b.reward * pow(1 - 2/51.0, a.step - b.step)) / sum(pow(1 - 2/51.0, a.step - b.step)), 6) AS ewm FROM h a JOIN h b ON b.step <= a.step GROUP BY a.step",

@@ -198,7 +198,9 @@ def test_conjugate_gradient_and_line_search():
 
 def test_baselines(spark):
     s = spark.createDataFrame([(0, 1.0), (0, 3.0), (2, 4.0)], "session_index long, reward double")
-    assert abs(L.MeanBaseline().update(s, 4).value - 0.95 * 1.5) < 1e-12
+    one = L.MeanBaseline().update(s, 4)
+    assert one.value == one.mean_reward == 1.5
+    assert abs(one.update(s, 8).value - (0.05 * 1.5 + 0.95 * 0.75)) < 1e-12
     base = spark.createDataFrame([(0, 1.0, False), (1, 1.0, True)], "query_id long, value double, updated boolean")
     out = L.session_baseline(base, spark.createDataFrame([(0, 3.0)], "query_id long, reward double"), 0.5)
     assert sorted(map(tuple, out.collect())) == [(0, 2.0, False), (1, 1.0, False)]
