@@ -140,6 +140,14 @@ def sets(column, size: int = WORDS) -> Iterator[np.ndarray]:
             yield np.unique(h[begin[d] : begin[d + 1]])
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, with as many more underscores in front as keep it apart from ``columns``."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def lists(values: np.ndarray, at: np.ndarray, kind=None) -> pa.ListArray:
     """An Arrow list column from flat values and offsets."""
     return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values, kind))

@@ -2,8 +2,8 @@
 
 The exact table of references has one row for each document and line key. Its
 counts say which keys are repeated (at least ``MIN_DOCS`` documents) and which
-document keeps them (the largest doc_id). Each shard of the keys has a cuckoo
-filter of its repeated keys: the filter tells cheaply, with no false negatives,
+document keeps them (the largest doc_id). Each shard of the keys, of about
+SHARD_KEYS repeated ones, has a cuckoo filter of these: the filter tells cheaply, with no false negatives,
 which references can lose lines, so that only those are joined with the exact
 counts, which rule out the filter's false positives. Deleting documents takes
 their references out of the table and the keys that are no longer repeated out
@@ -30,11 +30,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from simloom.llm import kernels as K
 from simloom.plans import durable
 
 MIN_CHARS, MIN_DOCS = 40, 5
-SHARDS = 64
-FILTER_BYTES = 64 << 20  # filters are broadcast up to this measured size; beyond it the exact join does without
+SHARD_KEYS = 1 << 17  # keys of a shard and its filter, on average
+FILTER_BYTES = 64 << 20  # filters are broadcast in groups of whole shards of about this size
 BLANKS = " \t\n\x0b\x0c\r"
 SLOTS, LOAD, KICKS = 4, 0.84, 500
 
@@ -141,8 +142,8 @@ def references(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.inline(pairs)).distinct()
 
 
-def _shard(k1: Column) -> Column:
-    return F.pmod(F.shiftright(k1, 7), F.lit(SHARDS)).cast("int")
+def _shard(k1: Column, shards: int) -> Column:
+    return F.pmod(F.shiftright(k1, 7), F.lit(shards)).cast("int")
 
 
 class LineIndex:
@@ -152,20 +153,23 @@ class LineIndex:
         self.spark, self.min_chars, self.min_docs = spark, min_chars, min_docs
         self.refs = spark.createDataFrame([], "doc_id long, k1 long, k2 long")
         self.hot = self.filters = None
+        self.shards = 64
 
     def _settle(self, changed: DataFrame | None = None) -> "LineIndex":
         """The exact counts of repeated keys, and filters that follow them."""
         before, old = self.hot, self.filters
         counts = self.refs.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("docs"), F.max("doc_id").alias("keeper")).where(F.col("docs") >= self.min_docs)
-        self.hot = durable.table(counts.withColumn("shard", _shard(F.col("k1"))), "hot")
-        if before is None:
+        self.hot = durable.table(counts, "hot")
+        shards = 1 << max(6, (self.hot.count() // SHARD_KEYS).bit_length())
+        if before is None or shards > 4 * self.shards:
+            self.shards = shards
             build = lambda p: pd.DataFrame({"shard": p["shard"].iloc[:1], "filter": [CuckooFilter.build(np.unique(p["k1"].to_numpy())).dump()]})
-            self.filters = durable.table(self.hot.select("shard", "k1").groupBy("shard").applyInPandas(build, "shard int, filter binary"), "filters")
+            self.filters = durable.table(self.hot.select(_shard(F.col("k1"), self.shards).alias("shard"), "k1").groupBy("shard").applyInPandas(build, "shard int, filter binary"), "filters")
             return self
         keys, was = self.hot.select("k1").distinct(), before.select("k1").distinct()
         new = keys.join(was, "k1", "left_anti").withColumn("adds", F.lit(True))
         gone = was.join(keys, "k1", "left_anti").withColumn("adds", F.lit(False))
-        moves = new.unionByName(gone).withColumn("shard", _shard(F.col("k1")))
+        moves = new.unionByName(gone).withColumn("shard", _shard(F.col("k1"), self.shards))
 
         def follow(filters: pd.DataFrame, moved: pd.DataFrame) -> pd.DataFrame:
             shard = (filters if len(filters) else moved)["shard"].iloc[0]
@@ -179,8 +183,7 @@ class LineIndex:
 
         filters = durable.table(old.groupBy("shard").cogroup(moves.groupBy("shard")).applyInPandas(follow, "shard int, filter binary"), "filters")
         if filters.where("filter is null").limit(1).count():  # a full shard: all are built again from the exact counts
-            self.filters, hot = None, self.hot
-            self.hot = None
+            self.filters = self.hot = None
             return self._settle()
         self.filters = filters
         return self
@@ -198,40 +201,58 @@ class LineIndex:
 
     def losses(self) -> DataFrame:
         """(doc_id, drops): the first hashes of the keys whose lines each document loses."""
-        asked = self.refs
-        if self.filters.agg(F.coalesce(F.sum(F.length("filter")), F.lit(0))).first()[0] <= FILTER_BYTES:
-            held = self.spark.sparkContext.broadcast({r[0]: bytes(r[1]) for r in self.filters.collect()})  # at most FILTER_BYTES
-
-            def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                shards = {k: CuckooFilter.load(v) for k, v in held.value.items()}
-                for batch in batches:
-                    k1 = batch.column("k1").to_numpy(zero_copy_only=False)
-                    shard, hit = (k1 >> 7) % SHARDS, np.zeros(len(k1), bool)
-                    for s in np.unique(shard):
-                        if s in shards:
-                            at = np.flatnonzero(shard == s)
-                            hit[at] = shards[s].contains(k1[at])
-                    yield batch.filter(pa.array(hit))
-
-            asked = asked.mapInArrow(probe, self.refs.schema)
+        sizes = self.filters.select("shard", F.length("filter").alias("size")).orderBy("shard").collect()  # one row for each SHARD_KEYS repeated keys
+        groups, size = [[]], 0
+        for r in sizes:
+            if groups[-1] and size + r["size"] > FILTER_BYTES:
+                groups.append([])
+                size = 0
+            groups[-1].append(r["shard"])
+            size += r["size"]
+        asked = None
+        for group in groups:
+            part = self.refs if len(groups) == 1 else self.refs.where(_shard(F.col("k1"), self.shards).isin(group))
+            part = self._probed(part, group)
+            asked = part if asked is None else asked.unionByName(part)
         lost = asked.join(self.hot.select("k1", "k2", "keeper"), ["k1", "k2"]).where(F.col("doc_id") != F.col("keeper"))
         return lost.groupBy("doc_id").agg(F.collect_set("k1").alias("drops"))
 
+    def _probed(self, refs: DataFrame, group: list[int]) -> DataFrame:
+        """Those of ``refs`` that the filters of some shards let through."""
+        held = self.spark.sparkContext.broadcast({r[0]: bytes(r[1]) for r in self.filters.where(F.col("shard").isin(group)).collect()})  # about FILTER_BYTES
+        shards = self.shards
+
+        def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            filters = {k: CuckooFilter.load(v) for k, v in held.value.items()}
+            for batch in batches:
+                k1 = batch.column("k1").to_numpy(zero_copy_only=False)
+                shard, hit = (k1 >> 7) % shards, np.zeros(len(k1), bool)
+                for s in np.unique(shard):
+                    if s in filters:
+                        at = np.flatnonzero(shard == s)
+                        hit[at] = filters[s].contains(k1[at])
+                yield batch.filter(pa.array(hit))
+
+        return refs.mapInArrow(probe, refs.schema)
+
     def apply(self, docs: DataFrame) -> DataFrame:
         """``docs`` (doc_id, text and more) with the lines of each in ``_lines`` and those that stay in ``_kept``."""
-        lost = self.losses().select(F.col("doc_id").alias("_id"), "drops")
-        both = docs.join(lost.hint("shuffle_hash"), docs["doc_id"] == lost["_id"], "left").withColumn("_lines", lines_of(F.col("text")))
-        stays = F.filter("_lines", lambda x: ~((F.length(x) >= self.min_chars) & F.array_contains(F.col("drops"), F.xxhash64(line_key(x)))))
-        return both.withColumn("_kept", F.when(F.col("drops").isNull(), F.col("_lines")).otherwise(stays)).drop("_id", "drops")
+        id_, drops = K.unused("_id", docs.columns), K.unused("_drops", docs.columns)
+        lost = self.losses().select(F.col("doc_id").alias(id_), F.col("drops").alias(drops))
+        both = docs.join(lost.hint("shuffle_hash"), docs["doc_id"] == lost[id_], "left").withColumn("_lines", lines_of(F.col("text")))
+        stays = F.filter("_lines", lambda x: ~((F.length(x) >= self.min_chars) & F.array_contains(F.col(drops), F.xxhash64(line_key(x)))))
+        return both.withColumn("_kept", F.when(F.col(drops).isNull(), F.col("_lines")).otherwise(stays)).drop(id_, drops)
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` with the text that stays; n_chars, where there, follows it. A null text stays null."""
-    out = LineIndex(docs.sparkSession).insert(docs.select("doc_id", "text")).apply(docs)
+    """``docs`` with the text that stays; n_chars, where there, follows it. A null text stays null; other columns keep their values, whatever their names."""
+    names = docs.columns
+    plain = docs.toDF(*(c if c in ("doc_id", "text", "n_chars") else f"c{i}" for i, c in enumerate(names)))
+    out = LineIndex(docs.sparkSession).insert(plain.select("doc_id", "text")).apply(plain)
     out = out.withColumn("text", F.when(F.col("text").isNotNull(), F.array_join("_kept", "\n")))
-    if "n_chars" in docs.columns:
+    if "n_chars" in names:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*(f"`{c}`" for c in docs.columns))
+    return out.select(*plain.columns).toDF(*names)
 
 
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:
