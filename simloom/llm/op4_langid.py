@@ -6,7 +6,9 @@ widths with ReLU, max-pooled over the window and classified by a softmax layer;
 a document's probabilities are the mean of its windows', weighted by length.
 The network is trained in numpy (Adam, back-propagation by hand) on windows of
 a bounded sample of labelled rows: at most ``ROWS_PER_LANG`` rows of each
-language, chosen by a hash of their ids, and at most ``SAMPLE_CHARS`` characters at a hashed offset of each.
+language, chosen by a hash of their ids, and at most ``SAMPLE_CHARS`` characters at
+a hashed offset of each. They are ranked in ``SPREAD`` parts of each language
+first, so no task ranks all rows of a frequent language.
 
 Defined results: a text that is null or has no letter gets ``und`` with score
 0. Nulls in ``lang`` aren't learned from; with no labelled row at all every
@@ -30,9 +32,15 @@ from simloom.llm import kernels as K
 ROWS_PER_LANG, SAMPLE_CHARS = 800, 800
 WINDOW, EMBED, FILTERS, WIDTHS = 256, 6, 16, (2, 3, 4)
 EPOCHS, BATCH, RATE = 4, 64, 5e-3
+SPREAD = 64
 _LETTER = re.compile(r"[^\W\d_]")
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is a letter by its Unicode category; numbers such as ½ or Ⅷ are none."""
+    return any(m.group().isalpha() for m in _LETTER.finditer(text))
+
+
 class ByteCNN:
     """Embedding, convolutions of several widths, max pooling, softmax."""
 
@@ -138,8 +146,11 @@ def train(docs: DataFrame) -> bytes:
     key = F.xxhash64(F.col("doc_id"), F.lit(17))
     offset = F.expr(f"cast(1 + pmod(key, greatest(1, length(text) - {SAMPLE_CHARS} + 1)) as int)")
     parts = rows.select("lang", "text", key.alias("key")).select("lang", "key", F.substring(F.col("text"), offset, F.lit(SAMPLE_CHARS)).alias("text"))
-    ranked = parts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("key")))
-    sample = ranked.where(F.col("rank") <= ROWS_PER_LANG).drop("rank")
+    part = F.pmod(F.xxhash64("key"), F.lit(SPREAD))
+    sample = parts.withColumn("part", part)
+    for by in (("lang", "part"), ("lang",)):
+        ranked = sample.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("key")))
+        sample = ranked.where(F.col("rank") <= ROWS_PER_LANG).drop("rank")
     got = sample.orderBy("key", "lang").collect()
     langs = sorted({r["lang"] for r in got})
     net = ByteCNN(langs)
@@ -170,7 +181,7 @@ def predict(docs: DataFrame, model: bytes, keep: list[str], pred: str = "lang_pr
                         p = net.probabilities(x[b : b + 256])
                         np.add.at(sums, text[b : b + 256] + i, p * size[b : b + 256, None])
             raw = data[at[0] : at[-1]]
-            has = np.array([bool(_LETTER.search(raw[at[d] - at[0] : at[d + 1] - at[0]].tobytes().decode("utf-8", "replace"))) for d in range(batch.num_rows)], bool)
+            has = np.array([has_letter(raw[at[d] - at[0] : at[d + 1] - at[0]].tobytes().decode("utf-8", "replace")) for d in range(batch.num_rows)], bool)
             has &= bool(net.langs)
             total = sums.sum(1)
             prob = sums / np.where(total > 0, total, 1)[:, None]
