@@ -13,8 +13,10 @@ Every document is placed exactly once. When a source runs out, a new phase
 starts in which the others' weights are scaled to sum to one; the bound holds
 in each phase from its first slot on.
 
-Native: DataFrame functions only. The driver holds one row for each block of
-BLOCK documents, which is broadcast up to BROADCAST_BLOCKS rows.
+Native: DataFrame functions only. A block has BLOCK documents, and more in a
+corpus of more than BLOCK * MOST_BLOCKS: so the schedule, one row for each block,
+has MOST_BLOCKS rows and one for each source at most, made on the driver and
+broadcast.
 
 Defined results: a null source is a source of its own; sources without weight
 or of weight 0 follow at the end, in equal shares. A null doc_id is placed like
@@ -32,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK, PERIOD, BUCKET_ROWS, BROADCAST_BLOCKS = 64, 1024, 4096, 1 << 19
+BLOCK, MOST_BLOCKS, BUCKET_ROWS = 64, 1 << 18, 4096
 _LONG = 2**63 - 1
 
 
@@ -97,13 +99,13 @@ def schedule(blocks: dict, weights: dict) -> list[tuple]:
     return out
 
 
-def mix(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, period: int = PERIOD) -> DataFrame:
+def mix(docs: DataFrame, weights: dict | None = None, block: int | None = None) -> DataFrame:
     """(doc_id, source, block, slot, position, phase, release, deadline) of every row of ``docs``.
 
     ``weights`` maps sources to target weights; None takes the square roots of
     the sources' document counts. ``slot`` orders the blocks of the mix and
     ``position`` the documents of a block; ``release`` and ``deadline`` are in
-    slots of the phase. ``period`` has no effect: phases are scheduled whole.
+    slots of the phase. ``block`` is the number of documents of a block.
     """
     spark = docs.sparkSession
     key = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
@@ -111,6 +113,7 @@ def mix(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, period
     counts = {r[0]: r[1] for r in rows.groupBy("_key").count().collect()}  # one row for each source
     if not counts:
         return rows.select("doc_id", "source", *(F.lit(0).cast("long").alias(c) for c in ("block", "slot", "position")), F.lit(0).alias("phase"), *(F.lit(0).cast("long").alias(c) for c in ("release", "deadline")))
+    block = block or max(BLOCK, -(-sum(counts.values()) // MOST_BLOCKS))
     target = {k: n**0.5 for k, n in counts.items()} if weights is None else {"" if k is None else f"={k}": float(w) for k, w in weights.items()}
     plan = schedule({k: -(-n // block) for k, n in counts.items()}, target)
     kinds = {"_key": pa.string(), "block": pa.int64(), "slot": pa.int64(), "phase": pa.int32(), "release": pa.int64(), "deadline": pa.int64()}
@@ -125,7 +128,7 @@ def mix(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, period
     ranked = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_key", "_bucket").orderBy("_h", "doc_id"))).join(sizes, ["_key", "_bucket"])
     rank = F.col("_before") + F.col("_n") - 1
     cut = ranked.select("doc_id", "source", "_key", F.floor(rank / block).cast("long").alias("block"), (rank % block).cast("long").alias("position"))
-    placed = cut.join(F.broadcast(places) if len(plan) <= BROADCAST_BLOCKS else places, ["_key", "block"])
+    placed = cut.join(F.broadcast(places), ["_key", "block"])
     return placed.select("doc_id", "source", "block", "slot", "position", "phase", "release", "deadline")
 
 

@@ -248,7 +248,7 @@ def test_mixing_target_weights():
 def test_mixing(spark):
     rows = [(i, "ab"[i % 3 == 0], 1) for i in range(900)] + [(900, None, 1), (901, None, 1), (None, "a", 1)]
     df = spark.createDataFrame(rows, "doc_id long, source string, slot int")
-    out = op6_mixing.mix(df, {"a": 3, "b": 1}, block=10, period=16).collect()
+    out = op6_mixing.mix(df, {"a": 3, "b": 1}, block=10).collect()
     assert len(out) == 903 and len({(r["slot"], r["position"]) for r in out}) == 903
     per = collections.defaultdict(set)
     for r in out:
