@@ -280,8 +280,10 @@ def components(edges: DataFrame, a: str = "x", b: str = "y") -> DataFrame:
     while True:
         near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("low"))
         lower = labels.join(near, "id").select("id", F.col("root").alias("was"), F.least("root", "low").alias("root"))
-        jump = lower.select(F.col("id").alias("root"), F.col("root").alias("next"))
-        step = durable.table(lower.join(jump, "root", "left").select("id", "was", F.least("root", F.coalesce("next", "root")).alias("root")), "labels")
+        lower = durable.table(lower, "lower")
+        # labels whose own label is lower still; where they are many, both sides of the join are written tables, whose hot labels are split
+        jump = durable.table(lower.where("id <> root").select(F.col("id").alias("root"), F.col("root").alias("next")).join(lower.select("root").distinct(), "root", "left_semi"), "jump")
+        step = durable.table(lower.join(F.broadcast(jump) if jump.count() <= BROADCAST_ROWS else jump, "root", "left").select("id", "was", F.least("root", F.coalesce("next", "root")).alias("root")), "labels")
         labels = step.select("id", "root")
         if not step.where("root <> was").limit(1).count():
             return labels
@@ -386,12 +388,15 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 def near_copies_removed(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stand for their class: its smallest doc_id, one row of it. Rows with a null doc_id stay."""
-    keep = classes(docs).where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(keep, docs["doc_id"] == keep["_gone"], "left_anti")
-    n = Window.partitionBy("doc_id").orderBy(F.col("text").desc_nulls_last())
-    ranked = left.withColumn("_n", F.when(F.col("doc_id").isNull(), F.lit(1)).otherwise(F.row_number().over(n)))
-    return ranked.where("_n = 1").drop("_n")
+    """The rows of ``docs`` that stand for their class: its smallest doc_id, one row of it. Rows with a null doc_id stay.
+
+    An empty table stays empty; other columns are kept, whatever their names.
+    """
+    gone, n = K.unused("_gone", docs.columns), K.unused("_n", docs.columns)
+    keep = classes(docs).where("component_id <> doc_id").select(F.col("doc_id").alias(gone)).distinct()
+    left = docs.where("doc_id is not null").join(keep, docs["doc_id"] == keep[gone], "left_anti")
+    ranked = left.withColumn(n, F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").desc_nulls_last())))
+    return ranked.where(F.col(n) == 1).drop(n).unionByName(docs.where("doc_id is null"))
 
 
 def op3_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -87,9 +87,12 @@ def contained_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id") -
 
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that hold no item, whole and unchanged."""
-    leaks = contained_items(docs, items).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(leaks, docs["doc_id"] == leaks["_leak"], "left_anti")
+    """The rows of ``docs`` that hold no item, whole and unchanged, whatever other columns there are; rows with a null doc_id stay."""
+    leak = "_leak"
+    while leak.lower() in {c.lower() for c in docs.columns}:
+        leak = f"_{leak}"
+    leaks = contained_items(docs, items).select(F.col("doc_id").alias(leak)).distinct()
+    return docs.join(leaks, docs["doc_id"] == leaks[leak], "left_anti")
 
 
 def op5_decontamination(spark, sf_dir: str) -> DataFrame:
