@@ -7,8 +7,8 @@ a document's probabilities are the mean of its windows', weighted by length.
 The network is trained in numpy (Adam, back-propagation by hand) on windows of
 a bounded sample of labelled rows: at most ``ROWS_PER_LANG`` rows of each
 language, chosen by a hash of their ids, and at most ``SAMPLE_CHARS`` characters at
-a hashed offset of each. They are ranked in ``SPREAD`` parts of each language
-first, so no task ranks all rows of a frequent language.
+a hashed offset of each. They are taken from ``SPREAD`` parts of each language,
+equally many from each, so no task ranks all rows of a frequent language.
 
 Defined results: a text that is null or has no letter gets ``und`` with score
 0. Nulls in ``lang`` aren't learned from; with no labelled row at all every
@@ -32,7 +32,7 @@ from simloom.llm import kernels as K
 ROWS_PER_LANG, SAMPLE_CHARS = 800, 800
 WINDOW, EMBED, FILTERS, WIDTHS = 256, 6, 16, (2, 3, 4)
 EPOCHS, BATCH, RATE = 4, 64, 5e-3
-SPREAD = 64
+SPREAD = 16
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -147,10 +147,8 @@ def train(docs: DataFrame) -> bytes:
     offset = F.expr(f"cast(1 + pmod(key, greatest(1, length(text) - {SAMPLE_CHARS} + 1)) as int)")
     parts = rows.select("lang", "text", key.alias("key")).select("lang", "key", F.substring(F.col("text"), offset, F.lit(SAMPLE_CHARS)).alias("text"))
     part = F.pmod(F.xxhash64("key"), F.lit(SPREAD))
-    sample = parts.withColumn("part", part)
-    for by in (("lang", "part"), ("lang",)):
-        ranked = sample.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("key")))
-        sample = ranked.where(F.col("rank") <= ROWS_PER_LANG).drop("rank")
+    ranked = parts.withColumn("rank", F.row_number().over(Window.partitionBy("lang", part).orderBy("key")))
+    sample = ranked.where(F.col("rank") <= ROWS_PER_LANG // SPREAD).drop("rank")
     got = sample.orderBy("key", "lang").collect()
     langs = sorted({r["lang"] for r in got})
     net = ByteCNN(langs)
