@@ -18,11 +18,12 @@ equal sets share a representative).
    their distances to the pivot differ by at most R (triangle inequality), and
    their sizes by a quarter, and where the shared shingle stands in both orders
    bounds their overlap. While a region has more than ``SPLIT`` members in
-   several classes, the join recurs with a new pivot for the rest of it, and
+   several classes, the join recurs with PIVOTS new pivots for the rest of it, and
    each member keeps its distances to all pivots of the region, so windows grow
    narrower in every level; a member near the bound of several windows takes
-   part in each. New pivots are central members, which share their shingles
-   with many, so that most of a group of near copies is within R of one.
+   part in each. New pivots are central members, which share most shingles
+   with most, so that many of a group of near copies are within R of one. Each
+   pair is met in the region of its first shared shingle.
    What is left is compared pair by pair inside its windows: first by counts of
    shingles in at most COARSE cells, then in about as many cells as half the
    shingles, whose L1 distance can't exceed that of the sets, then by whole texts.
@@ -53,8 +54,8 @@ from simloom.plans import durable
 
 LINK, R = 75, 0.25  # per cent; the same as a distance
 COARSE, CELLS = 256, 1 << 16
-BUCKET_ROWS, HELD_ROWS, PACKED_ROWS, HELD_SHINGLES = 1 << 15, 1 << 18, 1 << 18, 1 << 21
-FREQUENT, LOCAL, SPLIT, LEVELS, BROADCAST_ROWS = 1 << 18, 3, 64, 2, 200_000
+BUCKET_ROWS, HELD_ROWS, PACKED_ROWS, HELD_SHINGLES = 1 << 15, 1 << 17, 1 << 17, 1 << 20
+FREQUENT, LOCAL, SPLIT, LEVELS, PIVOTS, HEADS, BROADCAST_ROWS = 1 << 18, 3, 64, 2, 4, 16, 200_000
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -334,23 +335,26 @@ def classes(docs: DataFrame) -> DataFrame:
     rest = named.join(mixed, "s").join(far, ["x", "p"], "left")
     here = F.struct(F.lit(0.0).alias("low"), F.lit(0.0).alias("high"))
     d = F.when(F.col("x") == F.col("p"), here).otherwise(F.col("d"))
-    # a document is central where it shares its shingles with many
-    central = rest.groupBy("x").agg(F.avg("c").alias("central"))
-    rest = durable.table(rest.join(central, "x").select("s", "x", "n", "i", "c", "root", "p", F.array(d).alias("ds"), "central"), "rest")
+    # a document is central where many share many of its first shingles: what was changed in it comes first and is shared by few
+    heads = F.slice(F.array_sort(F.collect_list(F.struct("i", "s"))), 1, HEADS)  # of those of one text
+    central = rest.groupBy("x").agg(F.sum("c").alias("central"), heads.alias("heads"))
+    before = F.transform(F.filter("heads", lambda h: h["i"] < F.col("i")), lambda h: h["s"])
+    rest = durable.table(rest.join(central, "x").select("s", "x", "n", "i", "c", "root", "p", F.array(d).alias("ds"), "central", before.alias("before")), "rest")
 
     for level in range(1, LEVELS + 1):
         large = rest.where(F.col("c") > SPLIT)
         if not large.limit(1).count():
             break
-        # a new pivot for each large region: the most central of those that haven't been one, in turn of all and of the smaller classes
+        # new pivots for each large region: the most central of those that haven't been one, in turn of all and of the smaller classes
         fresh_ones = large.where(~F.exists("ds", lambda v: F.coalesce(v["high"], F.lit(1.0)) == 0))
         if level % 2 == 0:
             mains = large.groupBy("s", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("s").agg(F.max(F.struct("k", "root")).alias("_m"))
             fresh_ones = fresh_ones.join(mains, "s").where(F.col("root") != F.col("_m.root"))
-        pick = F.max(F.struct("central", -F.col("x"), "x", "root", "n"))
-        chosen = fresh_ones.groupBy("s").agg(pick.alias("_p")).select("s", F.col("_p.x").alias("pivot"), F.col("_p.root").alias("pivot_root"), F.col("_p.n").alias("np"))
+        best = Window.partitionBy("s").orderBy(F.desc("central"), "x")
+        chosen = fresh_ones.withColumn("k", F.row_number().over(best)).where(F.col("k") <= PIVOTS)
+        chosen = chosen.groupBy("s").agg(F.array_sort(F.collect_list(F.struct("k", F.col("x").alias("pivot"), F.col("root").alias("pivot_root"), F.col("n").alias("np")))).alias("ps"))  # PIVOTS at most
         told = large.join(chosen, "s", "left")
-        asked = told.where((F.col("root") != F.col("pivot_root")) & fits).select("x", F.col("pivot").alias("y")).distinct()
+        asked = told.select("x", "n", "root", F.inline("ps")).where((F.col("root") != F.col("pivot_root")) & fits).select("x", F.col("pivot").alias("y")).distinct()
         asked = asked.join(known.select("x", "y"), ["x", "y"], "left_anti").join(known.select(F.col("y").alias("x"), F.col("x").alias("y")), ["x", "y"], "left_anti")
         fresh = durable.table(measured(asked, sized, texts), "fresh")
         known = durable.table(known.unionByName(fresh), "known")
@@ -358,9 +362,10 @@ def classes(docs: DataFrame) -> DataFrame:
         if more.limit(1).count():
             links = links.unionByName(more)
             roots = components(links)
-        step = fresh.select("x", F.col("y").alias("pivot"), F.struct("low", "high").alias("_d"))
-        dd = F.when(F.col("x") == F.col("pivot"), here).otherwise(F.col("_d"))
-        large = told.join(step, ["x", "pivot"], "left").withColumn("ds", F.concat("ds", F.array(dd))).select(*rest.columns)
+        step = fresh.groupBy("x").agg(F.map_from_entries(F.collect_list(F.struct("y", F.struct("low", "high")))).alias("_d"))  # PIVOTS for each region of x at most
+        pivot = [F.get("ps", F.lit(k))["pivot"] for k in range(PIVOTS)]
+        dd = [F.when(F.col("x") == v, here).when(v.isNotNull(), F.try_element_at("_d", v)) for v in pivot]
+        large = told.join(step, "x", "left").withColumn("ds", F.concat("ds", F.array(*dd))).select(*rest.columns)
         small = rest.where(F.col("c") <= SPLIT)
         named = _relabel(large.unionByName(small).withColumn("root", F.col("x")), roots, "root")
         mixed = named.groupBy("s").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.countDistinct("root").alias("k")).where("low < high").select("s", "k")
@@ -376,8 +381,10 @@ def classes(docs: DataFrame) -> DataFrame:
     # the first shingle that a linked pair shares has the whole overlap from its place on, in both sets
     for side in "lr":
         window &= 7 * (F.col(f"{side}.n") - F.col(f"{side}.i")) >= 3 * (F.col("l.n") + F.col("r.n"))
-    for i in range(LEVELS + 1):
+    for i in range(1 + LEVELS * PIVOTS):
         window &= near(i)
+    # a pair that shares an earlier shingle, as far as the first HEADS of both tell, is met there
+    window &= ~F.arrays_overlap("l.before", "r.before")
     pairs = rest.alias("l").join(rest.alias("r"), (F.col("l.s") == F.col("r.s")) & window).select(F.col("l.x").alias("x"), F.col("r.x").alias("y")).distinct()
     pairs = pairs.join(known.select("x", "y"), ["x", "y"], "left_anti").join(known.select(F.col("y").alias("x"), F.col("x").alias("y")), ["x", "y"], "left_anti")
     last = durable.table(measured(pairs, sized, texts), "last").where("link").select("x", "y")
