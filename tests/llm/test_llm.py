@@ -390,3 +390,55 @@ def test_pipeline(spark, tmp_path):
     spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted(r["doc_id"] for r in out.collect()) == list(range(31))
+
+
+def test_suffixes_of_the_tables(spark):
+    """Every row of a given table against all of its strings of 400 bytes."""
+    path = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{path}/documents.parquet").select("doc_id", "text").collect()
+    raw = {r["doc_id"]: (r["text"] or "").encode() for r in rows}
+    size = op9_suffix.LENGTH
+    count = collections.Counter(hash(t[i : i + size]) for t in raw.values() for i in range(len(t) - size + 1))
+    got = {r["doc_id"]: r for r in op9_suffix.op9_suffix_dedup(spark, path).collect()}
+    assert len(got) == len(raw) == len(rows)
+    for i, t in raw.items():
+        gone = np.zeros(len(t) + 1, bool)
+        for at in range(len(t) - size + 1):
+            if count[hash(t[at : at + size])] > 1:
+                gone[at : at + size] = True
+        kept = bytes(b for b, g in zip(t, gone, strict=False) if not g)
+        spans = int((gone[1:] & ~gone[:-1]).sum() + gone[0])
+        assert (got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"], got[i]["kept_sha256"]) == (len(t), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest())
+
+
+def test_passages_of_copies(spark):
+    rng = np.random.default_rng(14)
+    long, short = (" ".join(f"w{v}" for v in rng.integers(0, 10**6, n)) for n in (60, 20))
+    got = {r["doc_id"]: r for r in op2_passages.repeated_passages(frame(spark, [long, short, long, short, None, "", long])).collect()}
+    assert {i: r["class_id"] for i, r in got.items()} == {0: 0, 2: 0, 6: 0}
+    assert [tuple(p) for p in got[6]["passages"]] == [(0, 60, 0, 1.0)]
+    extra = frame(spark, [long, long]).withColumn("key", F.lit(1)).withColumn("class_id", F.lit(2))
+    assert {r["class_id"] for r in op2_passages.repeated_passages(extra.unionByName(extra)).collect()} == {0}
+
+
+def test_letters():
+    assert op4_langid.has_letter("½ a") and op4_langid.has_letter("Ж") and not op4_langid.has_letter("½ ² Ⅷ 7_")
+
+
+def test_stages_with_clashing_names(spark):
+    names = ["_pred", "_score", "_gone", "_n", "_leak", "_id", "_drops", "_lines", "_kept"]
+    docs = frame(spark, ["one two three", "one two three", None]).unionByName(frame(spark, ["without id"]).withColumn("doc_id", F.lit(None).cast("long")))
+    docs = docs.select("*", *(F.lit(i).alias(n) for i, n in enumerate(names)))
+    for out in (op10_lines.dedup_lines(docs), op3_jaccard.near_copies_removed(docs), op5_decontaminate.decontaminate(docs, frame(spark, ["x y z"]).withColumnRenamed("doc_id", "item_id"))):
+        assert out.columns == docs.columns
+        assert {tuple(r[n] for n in names) for r in out.collect()} == {tuple(range(len(names)))}
+    assert sorted(str(r["doc_id"]) for r in op3_jaccard.near_copies_removed(docs).collect()) == ["0", "2", "None"]
+    empty = docs.limit(0)
+    assert op10_lines.dedup_lines(empty).count() == op3_jaccard.near_copies_removed(empty).count() == 0
+
+
+def test_cuckoo_groups_of_shards(spark, monkeypatch):
+    texts = [f"{'shared line number %d of the corpus and long enough' % (i % 7)}\nown {i}" for i in range(60)]
+    want = sorted(map(tuple, op10_lines.dedup_lines(frame(spark, texts)).collect()))
+    monkeypatch.setattr(op10_lines, "FILTER_BYTES", 1)
+    assert sorted(map(tuple, op10_lines.dedup_lines(frame(spark, texts)).collect())) == want
