@@ -9,8 +9,9 @@ equal sets share a representative).
    n - ceil(0.75 n) + 1 shingles. Documents that share such a shingle lie in one
    region; a document that shares none has no neighbour, which settles most.
 2. Pivots. Each region's smallest document is its pivot; distances of members
-   to their pivots are verified exactly. A member's home is the Voronoi cell of
-   its nearest pivot; members within R of a pivot are one class, so no pair
+   to their pivots are verified exactly. Members within R of a pivot are one
+   class (regions come from shared shingles and not from nearest pivots: in high
+   dimensions nearly all distances to free pivots are 1), so no pair
    among them needs to be looked at, however many copies a group has. A member
    whose counts of shingles in cells already put it beyond R of a pivot has its
    distance bounded by them, all others have theirs worked out from whole texts.
