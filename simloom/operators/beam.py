@@ -111,25 +111,33 @@ def search(vertices: DataFrame, edges: DataFrame, queries: DataFrame, k: int = 1
     """
     if k > ef:
         raise ValueError("k is at most ef")
-    spark: SparkSession = vertices.sparkSession
-    n, dim = vertices.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("vec")), F.lit(0))).first()
-    metric = ("dot" if dim == 300 else "l2") if metric == "auto" else metric
-    if n * dim * 8 + edges.count() * 32 > SMALL:
+    metric, fits = _plan(vertices, edges, metric)
+    if not fits:
         return frontier_search(vertices, edges, queries, k, ef, max_trajectory, initial_vertex_id, metric, seed)
+    return _packed(vertices, edges, queries, [ef], k, max_trajectory, initial_vertex_id, metric, seed).drop("ef")
+
+
+def _plan(vertices: DataFrame, edges: DataFrame, metric: str) -> tuple[str, bool]:
+    """The metric, and whether the measured graph may be broadcast."""
+    n, dim = vertices.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("vec")), F.lit(0))).first()
+    return ("dot" if dim == 300 else "l2") if metric == "auto" else metric, n * dim * 8 + edges.count() * 32 <= SMALL
+
+
+def _packed(vertices: DataFrame, edges: DataFrame, queries: DataFrame, efs: list[int], k: int, max_trajectory: int, initial_vertex_id: int, metric: str, seed: int) -> DataFrame:
+    """Sessions of every query for each width, with column ef, over one broadcast graph."""
+    spark: SparkSession = vertices.sparkSession
     held = spark.sparkContext.broadcast(PackedGraph.collect(vertices, edges))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [search_one(held.value, int(i), np.asarray(v, np.float64), initial_vertex_id, ef, k, max_trajectory, metric, seed) for i, v in zip(batch["id"], batch["vec"], strict=True)]
-            yield pd.DataFrame(rows, columns=["query_id", "best_ids", "dcs", "hops", "trajectory", "samples"]).astype({"samples": object})
-
-    def named(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for out in run(batches):
-            out["samples"] = [[dict(zip(("hop", "slot", "from_id", "to_id", "action"), s, strict=True)) for s in row] for row in out["samples"]]
-            yield out
+            for ef in efs:
+                rows = [search_one(held.value, int(i), np.asarray(v, np.float64), initial_vertex_id, ef, k, max_trajectory, metric, seed) for i, v in zip(batch["id"], batch["vec"], strict=True)]
+                out = pd.DataFrame(rows, columns=["query_id", "best_ids", "dcs", "hops", "trajectory", "samples"]).astype({"samples": object})
+                out["samples"] = [[dict(zip(("hop", "slot", "from_id", "to_id", "action"), s, strict=True)) for s in row] for row in out["samples"]]
+                yield out.assign(ef=ef)
 
     parallel = queries.select("id", "vec").repartition(spark.sparkContext.defaultParallelism)
-    return parallel.mapInPandas(named, SESSION)
+    return parallel.mapInPandas(run, SESSION + ", ef int")
 
 
 def frontier_search(vertices: DataFrame, edges: DataFrame, queries: DataFrame, k: int, ef: int, max_trajectory: int, initial_vertex_id: int = 0, metric: str = "l2", seed: int = 0) -> DataFrame:
@@ -171,11 +179,16 @@ def samples_of(sessions: DataFrame) -> DataFrame:
     return sessions.select("query_id", F.inline("samples"))
 
 
-def sweep(vertices: DataFrame, edges: DataFrame, queries: DataFrame, efs: list[int], **options) -> DataFrame:
-    """Sessions for each beam width, with column ef."""
+def sweep(vertices: DataFrame, edges: DataFrame, queries: DataFrame, efs: list[int], k: int = 1, max_trajectory: int = 80, initial_vertex_id: int = 0, metric: str = "auto", seed: int = 0) -> DataFrame:
+    """Sessions for each beam width, with column ef; the graph is collected once for all widths."""
+    if k > min(efs):
+        raise ValueError("k is at most ef")
+    metric, fits = _plan(vertices, edges, metric)
+    if fits:
+        return _packed(vertices, edges, queries, efs, k, max_trajectory, initial_vertex_id, metric, seed)
     out = None
     for ef in efs:
-        one = search(vertices, edges, queries, ef=ef, **options).withColumn("ef", F.lit(ef))
+        one = frontier_search(vertices, edges, queries, k, ef, max_trajectory, initial_vertex_id, metric, seed).withColumn("ef", F.lit(ef))
         out = one if out is None else out.unionByName(one)
     return out
 

@@ -23,6 +23,7 @@ from simloom.session import read
 from simloom.sources import vecs
 
 DEGREE, PATIENCE, HIDDEN = 8, 3, 4
+WIDTHS = range(12, 121, 4)  # of the beam-width sweep
 
 
 def role(spark: SparkSession, sf: str, which: str) -> DataFrame:
@@ -207,7 +208,7 @@ hop AS (
 
 
 def _batches(spark, sf):
-    return E.edge_batches(graph(spark, sf).where((F.col("from_id") + F.col("to_id")) % 3 != 0), 50)
+    return E.edge_batches(graph(spark, sf), 50)
 
 
 def _summary_sql(k10: bool) -> str:
@@ -223,8 +224,10 @@ def _sessions_flat(df: DataFrame, k: int) -> DataFrame:
 
 
 def _pairs(spark, sf, f):
-    q, b = role(spark, sf, "test").alias("q"), role(spark, sf, "base").where("id < 20").alias("b")
-    return q.join(b, F.lit(True)).select(F.col("q.id").alias("query_id"), F.col("b.id").alias("vertex_id"), r6(f(F.col("q.vec"), F.col("b.vec"))).alias("distance"))
+    """The distance between the ends of every edge."""
+    a, b = (role(spark, sf, "base").alias(x) for x in "ab")
+    e = graph(spark, sf).join(a, F.col("from_id") == F.col("a.id")).join(b, F.col("to_id") == F.col("b.id"))
+    return e.select("from_id", "to_id", r6(f(F.col("a.vec"), F.col("b.vec"))).alias("distance"))
 
 
 def _normalized(spark, sf, how):
@@ -284,7 +287,7 @@ def _reward(spark, sf, f):
 
 
 def _sweep(spark, sf):
-    got = beam.sweep(role(spark, sf, "base"), graph(spark, sf), role(spark, sf, "test"), [4, 12], k=1, max_trajectory=300).join(truth(spark, sf), "query_id")
+    got = beam.sweep(role(spark, sf, "base"), graph(spark, sf), role(spark, sf, "test"), list(WIDTHS), k=1, max_trajectory=300).join(truth(spark, sf), "query_id")
     r1 = (F.get("best_ids", F.lit(0)) == F.get("truth", F.lit(0))).cast("double")
     return _round_all(got.groupBy("ef").agg(F.avg(r1).alias("recall_at_1"), F.avg("dcs").alias("mean_dcs"), F.avg("hops").alias("mean_hops")))
 
@@ -294,8 +297,7 @@ def _pruned_search(spark, sf):
 
 
 def _frontier(spark, sf):
-    test = role(spark, sf, "test").where("id < 8")
-    return _sessions_flat(beam.frontier_search(role(spark, sf, "base"), graph(spark, sf), test, 3, 4, 40), 3)
+    return _sessions_flat(beam.frontier_search(role(spark, sf, "base"), graph(spark, sf), role(spark, sf, "test"), 3, 4, 80), 3)
 
 
 def _export(spark, sf):
@@ -315,8 +317,8 @@ def queries() -> dict:
         "knn_top1": lambda s, d: knn.nearest(role(s, d, "base"), role(s, d, "test"), 1).select("query_id", "vertex_id"),
         "query_split": lambda s, d: dataset.split(role(s, d, "learn"), role(s, d, "learn").count() // 5).select("id", "split"),
         "graph_edges": graph,
-        "degree_stats": lambda s, d: _round_all(E.degree_stats(graph(s, d).where("(from_id + to_id) % 3 <> 0"), role(s, d, "base"))),
-        "padded_adjacency": lambda s, d: E.padded(E.adjacency(graph(s, d).where("(from_id + to_id) % 3 <> 0"), role(s, d, "base")), DEGREE).select("id", F.posexplode("neighbors").alias("slot", "to_id")),
+        "degree_stats": lambda s, d: _round_all(E.degree_stats(graph(s, d), role(s, d, "base"))),
+        "padded_adjacency": lambda s, d: E.padded(E.adjacency(graph(s, d), role(s, d, "base")), DEGREE).select("id", F.posexplode("neighbors").alias("slot", "to_id")),
         "edge_batches": _batches,
         "hop2_candidates": lambda s, d: E.two_hops(graph(s, d)),
         "virtual_candidates": lambda s, d: E.virtual_candidates(graph(s, d), 6),
@@ -354,7 +356,7 @@ def queries() -> dict:
         "graph_export": _export,
         "fvecs_roundtrip": lambda s, d: _roundtrip(s, role(s, d, "base"), "fvecs").select("id", F.posexplode("vec").alias("i", "x")).select("id", "i", r6(F.col("x").cast("double")).alias("x")),
         "ivecs_roundtrip": lambda s, d: _roundtrip(s, truth(s, d), "ivecs").select("id", F.posexplode("vec").alias("rank", "vertex_id")),
-        "adjacency_roundtrip": lambda s, d: _roundtrip(s, E.adjacency(graph(s, d).where("(from_id + to_id) % 3 <> 0"), role(s, d, "base")), "adjacency").select("id", F.posexplode_outer("neighbors").alias("slot", "to_id")),
+        "adjacency_roundtrip": lambda s, d: _roundtrip(s, E.adjacency(graph(s, d), role(s, d, "base")), "adjacency").select("id", F.posexplode_outer("neighbors").alias("slot", "to_id")),
         "nsg_roundtrip": lambda s, d: _roundtrip(s, E.adjacency(graph(s, d), role(s, d, "base")), "nsg", width="8", enterpoint="0").select("id", F.posexplode("neighbors").alias("slot", "to_id")),
         "rgba_hex": _colors,
         "graph_plot_tables": _plot,
@@ -370,7 +372,7 @@ def oracle_sql() -> dict:
     b10, pruned = beam_sql("10"), beam_sql("10", prob=ACTION)
     flat = lambda k: f"SELECT query_id, rank::INT AS rank, ids[rank+1] AS vertex_id, dcs, hops FROM (SELECT *, unnest(range(least({k}, len(ids)))) AS rank FROM sessions)"
     sess = "SELECT {} FROM sessions JOIN truth USING (query_id)"
-    some = "part AS (SELECT * FROM edges WHERE (from_id + to_id) % 3 <> 0)"
+    some = "part AS (SELECT * FROM edges)"
     deg = "deg AS (SELECT id, count(to_id) AS d FROM base LEFT JOIN part ON from_id = id GROUP BY id)"
     lists = "lists AS (SELECT id, coalesce(list(to_id ORDER BY slot) FILTER (to_id IS NOT NULL), []) AS nb FROM base LEFT JOIN part ON from_id = id GROUP BY id)"
     upd = "CASE WHEN s2 < 0 AND p > 0.00011 THEN 0.0 ELSE s2 END"
@@ -381,8 +383,8 @@ def oracle_sql() -> dict:
         "mean_norm": "x AS (SELECT 1) SELECT round(avg(sqrt(list_sum(list_transform(vec, lambda v: v*v)))), 6) AS mean_norm FROM base",
         "normalize_global": "n AS (SELECT avg(sqrt(list_sum(list_transform(vec, lambda v: v*v)))) AS m FROM base) SELECT id, i::INT AS i, round(vec[i+1] / m, 6) AS x FROM (SELECT id, vec, m, unnest(range(len(vec))) AS i FROM base, n)",
         "normalize_instance": "x AS (SELECT id, vec, sqrt(list_sum(list_transform(vec, lambda v: v*v))) AS m, unnest(range(len(vec))) AS i FROM base) SELECT id, i::INT AS i, round(vec[i+1] / m, 6) AS x FROM x",
-        "l2_distance": "x AS (SELECT 1) SELECT q.id AS query_id, b.id AS vertex_id, round(pow(list_distance(q.vec, b.vec), 2), 6) AS distance FROM test q JOIN base b ON b.id < 20",
-        "neg_dot_distance": "x AS (SELECT 1) SELECT q.id AS query_id, b.id AS vertex_id, round(-list_inner_product(q.vec, b.vec), 6) AS distance FROM test q JOIN base b ON b.id < 20",
+        "l2_distance": "x AS (SELECT 1) SELECT from_id, to_id, round(pow(list_distance(a.vec, b.vec), 2), 6) AS distance FROM edges JOIN base a ON a.id = from_id JOIN base b ON b.id = to_id",
+        "neg_dot_distance": "x AS (SELECT 1) SELECT from_id, to_id, round(-list_inner_product(a.vec, b.vec), 6) AS distance FROM edges JOIN base a ON a.id = from_id JOIN base b ON b.id = to_id",
         "knn_ground_truth": "x AS (SELECT 1) SELECT query_id, rank::INT AS rank, vertex_id, round(dist, 6) AS distance FROM near",
         "knn_top1": "x AS (SELECT 1) SELECT query_id, vertex_id FROM near WHERE rank = 0",
         "query_split": "n AS (SELECT count(*) AS n FROM learn) SELECT id, CASE WHEN id >= n - n // 5 THEN 'val' ELSE 'train' END AS split FROM learn, n",
@@ -402,7 +404,7 @@ def oracle_sql() -> dict:
         "beam_search": b10 + flat(1),
         "beam_search_topk": b10 + flat(10),
         "beam_search_pruned": pruned + flat(10),
-        "beam_search_frontier": beam_sql("4", cap=40) + flat(3) + " WHERE query_id < 8",
+        "beam_search_frontier": beam_sql("4") + flat(3),
         "session_samples": pruned + "SELECT query_id, s.hop, s.slot::INT AS slot, s.from_id, s.to_id, s.action FROM (SELECT query_id, unnest(taken) AS s FROM sessions)",
         "samples_per_hop": pruned + "SELECT query_id, s.hop AS hop, count(*) AS n_samples FROM (SELECT query_id, unnest(taken) AS s FROM sessions) GROUP BY 1, 2",
         "trajectories": b10 + "SELECT query_id, hop::INT AS hop, path[hop+1] AS vertex_id FROM (SELECT query_id, path, unnest(range(len(path))) AS hop FROM sessions)",
@@ -411,7 +413,7 @@ def oracle_sql() -> dict:
         "reward_recall": b10 + sess.format("query_id, (ids[1] = truth[1])::INT::DOUBLE AS reward"),
         "reward_weighted_recall": b10 + sess.format("query_id, round(CASE WHEN list_contains(truth, ids[1]) THEN pow(0.5, list_position(truth, ids[1]) - 1) ELSE 0.0 END, 6) AS reward"),
         "recall_at_k": b10 + sess.format("query_id, round(len(list_intersect(ids[1:10], truth[1:10])) / 10.0, 6) AS recall"),
-        "ef_sweep": beam_sql("4, 12", cap=300) + sess.format("ef, round(avg((ids[1] = truth[1])::INT), 6) AS recall_at_1, round(avg(dcs), 6) AS mean_dcs, round(avg(hops), 6) AS mean_hops") + " GROUP BY ef",
+        "ef_sweep": beam_sql(", ".join(map(str, WIDTHS)), cap=300) + sess.format("ef, round(avg((ids[1] = truth[1])::INT), 6) AS recall_at_1, round(avg(dcs), 6) AS mean_dcs, round(avg(hops), 6) AS mean_hops") + " GROUP BY ef",
         "mean_baseline": f"{SAMPLES}, m AS (SELECT sum(r) / 43 AS m FROM (SELECT avg(advantage) AS r FROM samples GROUP BY session_index)) SELECT round(0.15*(0.05*m + 0.95*2*m) + 0.85*3*m, 6) AS value FROM m",
         "session_baseline": f"{SAMPLES}, r AS (SELECT session_index AS query_id, avg(advantage) AS reward FROM samples GROUP BY 1), o AS (SELECT range AS query_id, CASE WHEN reward IS NULL THEN 1.0 ELSE 0.75 + 0.25 * reward END AS value, range >= 45 OR reward IS NOT NULL AS updated FROM range(50) LEFT JOIN r ON r.query_id = range) SELECT query_id, round(value, 6) AS value, updated AND NOT (SELECT bool_and(updated) FROM o) AS updated FROM o",
         "aggregate_samples": f"{SAMPLES}, {AGG} SELECT from_id, to_id, action, round(advantages, 6) AS advantages, freqs FROM agg",

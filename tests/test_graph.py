@@ -232,3 +232,33 @@ def test_knn_many_ties():
     for metric in ("l2", "dot"):
         got = knn._top(np.array([900]), x[:1] + 0.1, ids, x, 5, metric, False)
         assert got["vertex_id"].tolist() == sorted(ids[:200])[:5]
+
+
+def test_ragged_lists_and_batches(spark):
+    """Vertices of 0 to 5 edges, against plain loops."""
+    lists = {i: [(i + j + 1) % 12 for j in range(i % 6)] for i in range(12)}
+    edges = spark.createDataFrame([(i, s, t) for i, ts in lists.items() for s, t in enumerate(ts)], "from_id long, slot int, to_id long")
+    vertices = spark.range(12)
+    n = [len(t) for t in lists.values()]
+    assert tuple(E.degree_stats(edges, vertices).first()) == (12, sum(n), max(n), sum(n) / 12, n.count(0))
+    assert {r["id"]: r["neighbors"] for r in E.padded(E.adjacency(edges, vertices), 5).collect()} == {i: t + [-1] * (5 - len(t)) for i, t in lists.items()}
+    want, batch, held = [], 0, 0
+    for i, t in lists.items():
+        if t:
+            want.append((i, len(t), batch))
+            held += len(t)
+            if held >= 7:
+                batch, held = batch + 1, 0
+    assert sorted(tuple(r) for r in E.edge_batches(edges, 7).select("from_id", "degree", "batch").collect()) == want
+
+
+def test_sweep_is_searches(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    frame = lambda n: spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(n)], "id long, vec array<double>")
+    vertices, queries = frame(40), frame(3)
+    edges = knn.knn_graph(vertices, 4)
+    rows = lambda df: sorted((r["ef"], r["query_id"], tuple(r["best_ids"]), r["dcs"], r["hops"]) for r in df.collect())
+    swept = rows(beam.sweep(vertices, edges, queries, [2, 5]))
+    assert swept == sorted(x for ef in (2, 5) for x in rows(beam.search(vertices, edges, queries, ef=ef).withColumn("ef", F.lit(ef))))
+    monkeypatch.setattr(beam, "SMALL", 0)
+    assert rows(beam.sweep(vertices, edges, queries, [2, 5])) == swept
