@@ -3,10 +3,16 @@
 A page is parsed into a tree. Elements that never hold article text (scripts,
 navigation, forms and the like) go, as do elements whose tag, role, class or
 id names them as menus, adverts, notices, sidebars or comments. Every paragraph
-gives points for its length and its commas to its ancestors, halved from level
-to level; an ancestor's points are discounted by its link density. The best
-container is kept, with those of its siblings that score near it or read like
-running text.
+gives points for its length and its commas to its ancestors, divided by 1, 2, 6,
+9 and 12 from level to level; an ancestor's points are discounted by its link
+density. The best container is kept, with those of its siblings that score near
+it, have its class, or read like running text. Of a header inside the article,
+headings and what reads like running text stay.
+
+Malformed pages: a quote opens a value only after ``=`` and closes it only
+before white space or the tag's end, so a stray quote costs no text; closing
+tags that close nothing are passed over in constant time. White space is what
+Unicode calls so.
 
 Defined results: null or empty html, and a page without article text, give an
 empty text. Nothing is cut at any length; nesting may be of any depth. Repeated
@@ -17,6 +23,7 @@ from __future__ import annotations
 
 import html as _html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -51,19 +58,19 @@ JUNK = re.compile(
     r"share|sharing|social|tags?|pagination|pager|skip|legal|copyright|disclaimer|paywall|form|search)(?=$|[\s_-])",
     re.I,
 )
-KEEP = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|main|post|story|text|page)(?=$|[\s_-])", re.I)
+KEEP = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|main|post|story|text|page|intro|introduction|lead|lede|standfirst|summary|abstract)(?=$|[\s_-])", re.I)
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"(?=\s|/?>)|=\s*'[^']*'(?=\s|/?>)|[^>])*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
 ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-WS = re.compile(r"[\x09-\x0d\x20\xa0]+")
+WS = re.compile(r"\s+")
 
 
 class _Node:
-    __slots__ = ("kids", "links", "points", "size", "tag", "up", "weight")
+    __slots__ = ("kids", "links", "name", "points", "size", "tag", "up", "weight")
 
-    def __init__(self, tag: str, up: "_Node | None", weight: int = 0):
-        self.tag, self.up, self.kids = tag, up, []
+    def __init__(self, tag: str, up: "_Node | None", weight: int = 0, name: str = ""):
+        self.tag, self.up, self.kids, self.name = tag, up, [], name
         self.points, self.size, self.links, self.weight = 0.0, 0, 0, weight
 
 
@@ -86,11 +93,25 @@ def _unwanted(tag: str, attrs: str, inside: bool) -> bool:
     return False
 
 
+def _class(attrs: str) -> str:
+    """The class of an opening tag, empty if it has none."""
+    return next((" ".join(next((v for v in values if v), "").split()) for name, *values in ATTR.findall(attrs) if name.lower() == "class"), "") if attrs else ""
+
+
 def _tree(page: str) -> _Node:
     """The tree of what may be article; text stands in it as plain strings."""
     root = _Node("#root", None)
     at, end, node, skip, depth = 0, len(page), root, "", 0
-    lowered = None
+    lowered, open_tags = None, Counter()
+
+    def closed_to(top: _Node) -> _Node:
+        """Where the page goes on once ``top`` and all open elements in it are closed."""
+        up = node
+        while up is not top.up:
+            open_tags[up.tag] -= 1
+            up = up.up
+        return up
+
     while at < end:
         m = TOKEN.search(page, at)
         text = page[at : m.start() if m else end]
@@ -109,11 +130,11 @@ def _tree(page: str) -> _Node:
                     if not depth:
                         skip = ""
                 continue
-            up = node
-            while up is not root and up.tag != tag:
-                up = up.up
-            if up is not root:
-                node = up.up
+            if open_tags[tag]:
+                up = node
+                while up.tag != tag:
+                    up = up.up
+                node = closed_to(up)
             continue
         if at >= end and page[-1:] != ">":
             break  # a tag cut off by the end of the page
@@ -131,13 +152,13 @@ def _tree(page: str) -> _Node:
             stop = lowered.find("</" + tag, at)
             at = end if stop < 0 else (lowered.find(">", stop) + 1 or end)
             continue
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and open_tags["p"]:
             up = node
             while up is not root and up.tag != "p" and (up.tag not in BLOCKS):
                 up = up.up
             if up.tag == "p":
-                node = up.up
-        if tag in IMPLIED:
+                node = closed_to(up)
+        if tag in IMPLIED and any(open_tags[x] for x in IMPLIED[tag][0]):
             ends, walls = IMPLIED[tag]
             up, found = node, None
             while up is not root and up.tag not in walls:
@@ -145,24 +166,19 @@ def _tree(page: str) -> _Node:
                     found = up
                 up = up.up
             if found:
-                node = found.up
-        inside = False
-        if tag == "header":
-            up = node
-            while up is not None:
-                inside |= up.tag in ("article", "main")
-                up = up.up
-        if _unwanted(tag, m[3], inside):
+                node = closed_to(found)
+        if _unwanted(tag, m[3], bool(open_tags["article"] or open_tags["main"])):
             if not closed:
                 skip, depth = tag, 1
             continue
         if tag == "br":
             node.kids.append(" ")
             continue
-        kid = _Node(tag, node, 25 if tag in ("article", "main") else 25 if m[3] and KEEP.search(m[3]) else 0)
+        kid = _Node(tag, node, 25 if tag in ("article", "main") else 25 if m[3] and KEEP.search(m[3]) else 0, _class(m[3]))
         node.kids.append(kid)
         if not closed:
             node = kid
+            open_tags[tag] += 1
     return root
 
 
@@ -203,6 +219,11 @@ def _density(node: _Node) -> float:
     return node.links / node.size if node.size else 0.0
 
 
+def _reads(node: _Node, text: str) -> bool:
+    """Whether ``text``, the own text of a node, is running text: long with few links, or a sentence without any."""
+    return bool(text) and (len(text) > 80 and _density(node) < 0.25 or not node.links and text[-1] in ".!?")
+
+
 def _blocks(nodes: list[_Node]) -> list[str]:
     """The texts of the blocks under some nodes, in page order."""
     out: list[str] = []
@@ -243,8 +264,8 @@ def main_text(page: str | None) -> str:
     root = _tree(page)
     order = _measure(root)
     for node in order:
-        if node.tag == "header":  # inside an article: its headings belong to it, the rest doesn't
-            node.kids = [n for n in _measure(node) if re.fullmatch("h[1-6]", n.tag)]
+        if node.tag == "header":  # inside an article: its headings and running text belong to it, the rest doesn't
+            node.kids = [n for n in _measure(node) if re.fullmatch("h[1-6]", n.tag) or n.tag == "p" and _reads(n, _own(n))]
     candidates: dict[int, _Node] = {}
     for node in order:
         plain = node.tag in ("div", "section", "article", "main", "body", "#root")
@@ -284,7 +305,8 @@ def main_text(page: str | None) -> str:
                 or scored.get(id(kid), 0.0) >= max(10.0, 0.2 * top)
                 or kid.tag == "header"
                 or re.fullmatch("h[1-6]", kid.tag) and text and _density(kid) < 0.5
-                or kid.tag in ("p", "pre", "blockquote") and text and (len(text) > 80 and _density(kid) < 0.25 or not kid.links and text[-1] in ".!?")
+                or best.name and kid.name == best.name and kid.tag == best.tag and kid.size and _density(kid) < 0.5
+                or kid.tag in ("p", "pre", "blockquote") and _reads(kid, text)
             ):
                 kept.append(kid)
     return "\n".join(_blocks(kept))

@@ -47,6 +47,22 @@ def test_html():
     assert op1_html.main_text("<div>" * 3000 + "deep, text, that is long enough to count") == "deep, text, that is long enough to count"
 
 
+def test_html_malformed():
+    """Hand-labelled pages: stray quotes, stray closing tags, split containers, headers, class names, white space."""
+    long = "Long text, with commas, and more of it. " * 10
+    labelled = [
+        ('<article><p class=foo">Hello there, my friend.</p><p title="it\'s>Second, with <a href="/x">a link</a>.</p></article>', "Hello there, my friend.\nSecond, with a link."),
+        ('<article><p title="a > b" class=\'c>d\'>Quoted, signs are values.</p></article>', "Quoted, signs are values."),
+        (f'<div class="post-content"><p>{long}</p></div><div class="ad">Buy, this, now.</div><div class="post-content"><p>Short</p></div>', f"{long.strip()}\nShort"),
+        ('<article><header><h1>T</h1><p class="standfirst">What the article says.</p><p>by me</p><span>today</span></header><p>Body, of, text.</p></article>', "T\nWhat the article says.\nBody, of, text."),
+        ('<article><div class="tags-intro"><p>Tags are useful, they say.</p></div><div class="tags">x, y</div><p>More\u3000text\u2003here.</p></article>', "Tags are useful, they say.\nMore text here."),
+        ("<article></div></b></p><p>One, two.</section><p>Three, four.</article></article>", "One, two.\nThree, four."),
+    ]
+    for page, text in labelled:
+        assert op1_html.main_text(page) == text
+    assert op1_html.main_text("<b>" * 50000 + "deep, text" + "</i>" * 50000) == "deep, text"
+
+
 def test_html_table(spark):
     df = spark.createDataFrame([(1, "u", "<p>Hello</p>", 5), (1, "u", "<p>Hello</p>", 5), (None, None, None, None)], "page_id long, url string, html string, n_chars long")
     assert sorted((str(r["text"]), r["n_chars"]) for r in op1_html.extract(df).collect()) == [("", None), ("Hello", 5), ("Hello", 5)]
