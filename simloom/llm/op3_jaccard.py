@@ -43,6 +43,7 @@ columns are ignored. ``docs`` is scanned several times, so it should be a table.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -297,6 +298,12 @@ def _relabel(table: DataFrame, labels: DataFrame, column: str) -> DataFrame:
     return table.join(names, column, "left").withColumn(column, F.coalesce("_root", column)).drop("_root")
 
 
+def _mixed(rest: DataFrame) -> DataFrame:
+    """The rows of regions with several classes, c lowered to the number of these."""
+    several = rest.groupBy("s").agg(F.countDistinct("root").alias("_k")).where("_k > 1")
+    return rest.join(several, "s").withColumn("c", F.least("c", "_k")).select(*rest.columns)
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -342,10 +349,12 @@ def classes(docs: DataFrame) -> DataFrame:
     before = F.transform(F.filter("heads", lambda h: h["i"] < F.col("i")), lambda h: h["s"])
     rest = durable.table(rest.join(central, "x").select("s", "x", "n", "i", "c", "root", "p", F.array(d).alias("ds"), "central", before.alias("before")), "rest")
 
+    done, first_roots = [], roots  # regions that need no more pivots wait for the end; levels only touch the others
     for level in range(1, LEVELS + 1):
         large = rest.where(F.col("c") > SPLIT)
         if not large.limit(1).count():
             break
+        done.append(rest.where(F.col("c") <= SPLIT))
         # new pivots for each large region: the most central of those that haven't been one, in turn of all and of the smaller classes
         fresh_ones = large.where(~F.exists("ds", lambda v: F.coalesce(v["high"], F.lit(1.0)) == 0))
         if level % 2 == 0:
@@ -367,11 +376,13 @@ def classes(docs: DataFrame) -> DataFrame:
         pivot = [F.get("ps", F.lit(k))["pivot"] for k in range(PIVOTS)]
         dd = [F.when(F.col("x") == v, here).when(v.isNotNull(), F.try_element_at("_d", v)) for v in pivot]
         large = told.join(step, "x", "left").withColumn("ds", F.concat("ds", F.array(*dd))).select(*rest.columns)
-        small = rest.where(F.col("c") <= SPLIT)
-        named = _relabel(large.unionByName(small).withColumn("root", F.col("x")), roots, "root")
-        mixed = named.groupBy("s").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.countDistinct("root").alias("k")).where("low < high").select("s", "k")
         # a region's size is now the number of its classes
-        rest = durable.table(named.join(mixed, "s").withColumn("c", F.least("c", "k")).select(*rest.columns), "rest")
+        rest = durable.table(_mixed(_relabel(large.withColumn("root", F.col("x")), roots, "root")), "rest")
+    if done:
+        waited = functools.reduce(DataFrame.unionByName, done)
+        if roots is not first_roots:  # classes have merged since
+            waited = durable.table(_mixed(_relabel(waited.withColumn("root", F.col("x")), roots, "root")), "waited")
+        rest = rest.unionByName(waited)
 
     # pairs of different classes inside their windows
     def near(i: int) -> Column:
