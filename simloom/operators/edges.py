@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,22 +92,28 @@ def edge_batches(edges: DataFrame, batch_size: int) -> DataFrame:
     """(from_id, degree, batch): whole vertices, in order, until a batch has ``batch_size`` edges.
 
     A batch ends with the vertex that fills it, so its number depends on all
-    before; a recursion over vertices says so. Training itself reads Arrow
-    batches and doesn't need these numbers.
+    before: one task reads the degrees in order, an Arrow batch at a time, and
+    carries the open sum only. Training itself reads Arrow batches and doesn't
+    need these numbers.
     """
-    deg = edges.groupBy("from_id").agg(F.count(F.lit(1)).alias("degree"))
-    ranked = deg.withColumn("n", F.row_number().over(Window.orderBy("from_id")))
-    total = F.aggregate(
-        F.sort_array(F.collect_list(F.struct("n", "from_id", "degree"))),
-        F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).alias("batch"), F.array().cast("array<struct<from_id:long,degree:long,batch:int>>").alias("out")),
-        lambda acc, x: F.struct(
-            F.when(acc["sum"] + x["degree"] >= batch_size, F.lit(0).cast("long")).otherwise(acc["sum"] + x["degree"]).alias("sum"),
-            F.when(acc["sum"] + x["degree"] >= batch_size, acc["batch"] + 1).otherwise(acc["batch"]).alias("batch"),
-            F.concat(acc["out"], F.array(F.struct(x["from_id"].alias("from_id"), x["degree"].alias("degree"), acc["batch"].alias("batch")))).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return ranked.agg(total.alias("o")).select(F.inline("o"))
+    size = max(batch_size, 1)  # a vertex fills smaller ones
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batch, held = 0, 0
+        for part in rows:
+            sums = np.cumsum(part.column("degree").to_numpy())
+            told, i, base = np.empty(len(sums), np.int32), 0, -held
+            while i < len(sums):
+                j = int(np.searchsorted(sums, base + size))
+                told[i : j + 1] = batch
+                if j < len(sums):
+                    batch, base = batch + 1, int(sums[j])
+                i = j + 1
+            held = int(sums[-1]) - base if len(sums) else held
+            yield pa.RecordBatch.from_arrays([part.column("from_id"), part.column("degree"), pa.array(told)], ["from_id", "degree", "batch"])
+
+    deg = edges.groupBy(F.col("from_id").cast("long").alias("from_id")).agg(F.count(F.lit(1)).alias("degree"))
+    return deg.repartition(1).sortWithinPartitions("from_id").mapInArrow(run, "from_id long, degree long, batch int")
 
 
 def plot_tables(edges: DataFrame, points: DataFrame, color: Column | None = None) -> tuple[DataFrame, DataFrame]:

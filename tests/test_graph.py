@@ -242,14 +242,21 @@ def test_ragged_lists_and_batches(spark):
     n = [len(t) for t in lists.values()]
     assert tuple(E.degree_stats(edges, vertices).first()) == (12, sum(n), max(n), sum(n) / 12, n.count(0))
     assert {r["id"]: r["neighbors"] for r in E.padded(E.adjacency(edges, vertices), 5).collect()} == {i: t + [-1] * (5 - len(t)) for i, t in lists.items()}
-    want, batch, held = [], 0, 0
-    for i, t in lists.items():
-        if t:
-            want.append((i, len(t), batch))
-            held += len(t)
-            if held >= 7:
-                batch, held = batch + 1, 0
-    assert sorted(tuple(r) for r in E.edge_batches(edges, 7).select("from_id", "degree", "batch").collect()) == want
+    for size, batch_rows in ((1, 4), (2, 3), (7, 3), (7, 10_000), (100, 2)):
+        want, batch, held = [], 0, 0
+        for i, t in lists.items():
+            if t:
+                want.append((i, len(t), batch))
+                held += len(t)
+                if held >= size:
+                    batch, held = batch + 1, 0
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch_rows)
+        try:
+            got = E.edge_batches(edges, size).select("from_id", "degree", "batch").collect()
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert sorted(tuple(r) for r in got) == want
+    assert not E.edge_batches(edges.limit(0), 7).count()
 
 
 def test_sweep_is_searches(spark, monkeypatch):
