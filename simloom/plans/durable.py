@@ -1,8 +1,9 @@
 """Cutting lineage in a way that survives lost executors.
 
 Everything intermediate goes to the shared folder the cluster names in
-``spark.checkpoint.dir``; only where that is unset (tests, notebooks) a local
-folder of our own is used.
+``spark.checkpoint.dir``; only where that is unset and Spark runs on one machine
+(tests, notebooks) a local folder of our own is used. A cluster without the
+setting is an error, as its executors share no local folder.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="simloom-")

@@ -3,6 +3,7 @@
 import heapq
 import os
 import struct
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from simloom.functions import policy, vectors as V
 from simloom.operators import beam, edges as E, knn, learning as L, training
-from simloom.plans import dataset
+from simloom.plans import dataset, durable
 from simloom.sources import vecs
 
 
@@ -259,6 +260,16 @@ def test_ragged_lists_and_batches(spark):
     assert not E.edge_batches(edges.limit(0), 7).count()
 
 
+def test_cluster_needs_a_shared_folder():
+    def session(master: str, folder: str | None) -> SimpleNamespace:
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda name, other: folder or other), sparkContext=SimpleNamespace(master=master, applicationId="test"))
+
+    assert durable.shared_dir(session("spark://one:7077", "hdfs://x/y/")) == "hdfs://x/y"
+    assert durable.shared_dir(session("local[2]", None)).startswith("file://")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        durable.shared_dir(session("spark://one:7077", None))
+
+
 def test_sweep_is_searches(spark, monkeypatch):
     rng = np.random.default_rng(1)
     frame = lambda n: spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(n)], "id long, vec array<double>")
