@@ -25,7 +25,9 @@ class SessionEngine:
     """Edges (from_id, slot, to_id, confidence) of a flat graph, kept as a written table, with candidates two hops away.
 
     ``prepare`` scores edges. In training it also moves their confidence and
-    appends the virtual edges, in the slots behind a vertex's own.
+    appends the virtual edges, in the slots behind a vertex's own. Each kind of
+    table is kept in its last version: what ``prepare`` returned reads files that
+    the next call, or :meth:`update_edges`, deletes.
     """
 
     vertices: DataFrame
@@ -43,6 +45,7 @@ class SessionEngine:
     n_jobs: int | None = None
     batches: int = 0  # training batches so far; each draws its own numbers
     virtual: DataFrame | None = field(default=None, repr=False)
+    _held: dict[str, DataFrame] = field(default_factory=dict, repr=False)
 
     def __post_init__(self):
         if self.graph_type == "hnsw":
@@ -50,21 +53,34 @@ class SessionEngine:
         if self.max_degree is None:
             self.max_degree = self.edges.groupBy("from_id").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
         confidence = F.col("confidence").cast("double") if "confidence" in self.edges.columns else F.lit(0.0)
-        self.edges = durable.table(self.edges.select("from_id", "slot", "to_id", confidence.alias("confidence")), "edges")
+        self.edges = self.keep("edges", self.edges.select("from_id", "slot", "to_id", confidence.alias("confidence")))
         if self.virtual is None:
             self.resample()
 
+    def keep(self, name: str, df: DataFrame) -> DataFrame:
+        """Write a new version of a table and delete the one before."""
+        new, old = durable.table(df, name), self._held.get(name)
+        self._held[name] = new
+        durable.drop(old)
+        return new
+
+    def close(self) -> None:
+        """Delete the engine's tables."""
+        for df in self._held.values():
+            durable.drop(df)
+        self._held.clear()
+
     def resample(self) -> None:
         """Draw the virtual edges anew from what lies two hops away."""
         if self.n_hop_virtual:
-            self.virtual = durable.table(E.virtual_candidates(self.edges, self.n_hop_virtual, self.seed), "virtual")
+            self.virtual = self.keep("virtual", E.virtual_candidates(self.edges, self.n_hop_virtual, self.seed))
 
     def prepare(self, policy: Policy, evaluate: bool = False, greedy: bool = False) -> DataFrame:
         """(from_id, slot, to_id, prob) of all edges under ``policy``."""
         scored = E.score(policy.score(self.edges, self.vertices, greedy), self.edge_patience, train=not evaluate)
         if evaluate:
             return scored.select("from_id", "slot", "to_id", "prob")
-        scored = durable.table(scored, "scored")
+        scored = self.keep("edges", scored)
         self.edges = scored.select("from_id", "slot", "to_id", "confidence")
         out = scored.select("from_id", "slot", "to_id", "prob")
         if self.n_hop_virtual:
@@ -74,7 +90,7 @@ class SessionEngine:
         return out
 
     def sessions(self, policy: Policy, queries: DataFrame, evaluate: bool = False, greedy: bool = False) -> DataFrame:
-        """A session for each query (id, vec), as a written table."""
+        """A session for each query (id, vec), as a written table, which the caller drops."""
         edges = self.prepare(policy, evaluate, greedy)
         if not evaluate:
             self.batches += 1
@@ -90,9 +106,9 @@ class SessionEngine:
             candidates = policy.score(self.virtual, self.vertices)
         kept = E.pruned(self.edges, self.edge_patience)
         before, left = self.edges.count(), kept.count()
-        new = durable.table(E.evolved(self.edges, candidates, self.edge_patience, self.max_degree).select("from_id", F.col("slot").cast("int").alias("slot"), "to_id", "confidence"), "edges")
-        promoted = new.count() - left
-        self.edges = new
+        new = E.evolved(self.edges, candidates, self.edge_patience, self.max_degree)
+        self.edges = self.keep("edges", new.select("from_id", F.col("slot").cast("int").alias("slot"), "to_id", "confidence"))
+        promoted = self.edges.count() - left
         if promoted or left < before:
             self.resample()
         return promoted

@@ -26,8 +26,25 @@ def samples_per_hop(samples: DataFrame) -> DataFrame:
     return samples.groupBy("query_id", "hop").agg(F.count(F.lit(1)).alias("n_samples"))
 
 
+class Baseline:
+    """What rewards are held against."""
+
+    mean_reward: float = 0.0  # of the last batch
+
+    def advantages(self, samples: DataFrame) -> DataFrame:
+        """``samples`` (session_index, reward and more) with columns baseline and advantage."""
+        raise NotImplementedError
+
+    def update(self, samples: DataFrame, sessions: DataFrame) -> "Baseline":
+        """Learn from samples(session_index, reward) of ``sessions`` (query_id)."""
+        raise NotImplementedError
+
+    def close(self) -> None:
+        """Delete what it has written."""
+
+
 @dataclass
-class MeanBaseline:
+class MeanBaseline(Baseline):
     """A moving average of sessions' mean rewards; the first steps weigh more."""
 
     value: float = 0.0
@@ -56,7 +73,7 @@ class MeanBaseline:
 
 
 @dataclass
-class SessionBaseline:
+class SessionBaseline(Baseline):
     """A moving average of rewards for each query: a written table (query_id, value, updated)."""
 
     table: DataFrame
@@ -81,11 +98,17 @@ class SessionBaseline:
         self.mean_reward = per.agg(F.coalesce(F.avg("reward"), F.lit(0.0))).first()[0]
         self.horizon = max(self.horizon - self.step, 1.0)
         batch = sessions.select("query_id").join(per, "query_id", "left")
-        self.table = durable.table(session_baseline(self.table, batch, self.horizon * self.moving_average), "baseline")
+        before, self.table = self.table, durable.table(session_baseline(self.table, batch, self.horizon * self.moving_average), "baseline")
+        if hasattr(before, "_written"):
+            durable.drop(before)
         if not self.table.where("updated").limit(1).count():
             self.step += 1
         return self
 
+    def close(self) -> None:
+        if hasattr(self.table, "_written"):
+            durable.drop(self.table)
+
 
 def session_baseline(baseline: DataFrame, rewards: DataFrame, alpha: float) -> DataFrame:
     """(query_id, value, updated) after one batch: each query's own moving average.

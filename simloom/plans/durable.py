@@ -48,15 +48,57 @@ def table(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
 
 
-def drop(df: DataFrame) -> None:
-    """Delete the files behind a frame made by :func:`table`."""
+def drop(df: DataFrame | None) -> None:
+    """Delete the files behind a frame that :func:`table` returned, or behind all of its written inputs."""
+    if df is None:
+        return
     spark = df.sparkSession
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     root = f"{shared_dir(spark)}/simloom/"
-    for parent in {re.sub(r"(/simloom/[^/]+)/.*", r"\1", f) for f in df.inputFiles()}:
+    own = getattr(df, "_written", None)
+    for parent in {own} if own else {re.sub(r"(/simloom/[^/]+)/.*", r"\1", f) for f in df.inputFiles()}:
         if "/simloom/" in parent and root.split("://")[-1] in parent:
             path = jvm.org.apache.hadoop.fs.Path(parent)
             path.getFileSystem(conf).delete(path, True)
+
+
+def _fs(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store it is."""
+    fs, at = _fs(spark, path)
+    fs.delete(at, True)
+
+
+MANIFEST = "_complete"
+
+
+def number_of(version: str) -> int:
+    """The number in the name of a version, as v000000007-<any>."""
+    return int(version[1:].split("-")[0])
+
+
+def versions(spark: SparkSession, folder: str) -> list[str]:
+    """The names of the complete versions in a folder, oldest first."""
+    fs, at = _fs(spark, folder)
+    if not fs.exists(at):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(at) if s.isDirectory()]
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    return sorted((n for n in names if re.match(r"v\d+-", n) and fs.exists(path(f"{folder}/{n}/{MANIFEST}"))), key=number_of)
+
+
+def complete(spark: SparkSession, folder: str) -> None:
+    """Mark a folder as complete: its manifest is written under another name and then moved."""
+    fs, at = _fs(spark, f"{folder}/.{MANIFEST}")
+    fs.create(at, True).close()
+    if not fs.rename(at, spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{MANIFEST}")):
+        raise OSError(f"no manifest could be moved into {folder}")

@@ -1,7 +1,13 @@
-"""Training a policy on search sessions: batches, steps, evaluation, metrics, checkpoints and the loop around them."""
+"""Training a policy on search sessions: batches, steps, evaluation, metrics, checkpoints and the loop around them.
+
+A checkpoint is a folder of versions; a version counts once its manifest, which
+is written last and moved into place, is there. A save that breaks off leaves
+the version before as it was.
+"""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -12,7 +18,7 @@ from pyspark.sql import functions as F
 from simloom.operators import learning as L
 from simloom.operators.engine import SessionEngine
 from simloom.operators.training import Trainer
-from simloom.plans import durable
+from simloom.plans import durable, ranks
 
 STATE = "params binary, m binary, s binary, t long, done long, step long, batches long, value double, horizon double, rounds long"
 
@@ -23,13 +29,20 @@ def name_of(template: str, **settings) -> str:
 
 
 def minibatches(queries: DataFrame, batch_size: int = 50000, shuffle: bool = True, cycle: bool = True, seed: int = 0) -> Iterator[DataFrame]:
-    """``queries`` (id and more) in batches of ``batch_size`` rows on average, dealt anew in each round."""
-    n = max(1, -(-queries.count() // batch_size))
+    """``queries`` (id and more) in batches of ``batch_size`` rows, the last of a round of what is left, dealt anew in each round.
+
+    Ids are ranked in a random order, range by range; a batch is readable until the next round begins.
+    """
     round_ = 0
     while True:
-        part = F.pmod(F.xxhash64("id", F.lit(seed), F.lit(round_ if shuffle else 0)), F.lit(n))
-        for i in range(n):
-            yield queries.where(part == i)
+        key = F.xxhash64("id", F.lit(seed), F.lit(round_)) if shuffle else F.col("id")
+        ids = ranks.ranked(queries.select("id").withColumn("_key", key), "_key", "id", out="_rank")
+        dealt = durable.table(ids.select("id", F.floor(F.col("_rank") / batch_size).alias("_batch")), "dealt")
+        try:
+            for i in range(-(-dealt.count() // batch_size)):
+                yield queries.join(dealt.where(F.col("_batch") == i).select("id"), "id", "left_semi")
+        finally:
+            durable.drop(dealt)
         round_ += 1
         if not cycle:
             return
@@ -45,15 +58,20 @@ class Experiment:
 
     engine: SessionEngine
     trainer: Trainer
-    baseline: L.MeanBaseline | L.SessionBaseline
+    baseline: L.Baseline
     reward: Callable[[Column, Column, Column], Column]
     step: int = 0
     log: list[tuple] = field(default_factory=list)
+    _sessions: DataFrame | None = field(default=None, repr=False)
 
     def session_batch(self, queries: DataFrame, prefix: str = "train", evaluate: bool = False) -> tuple[DataFrame, DataFrame, dict]:
-        """Sessions with truth and reward, the samples of those that have some, and the summary, which is logged."""
-        told = self.engine.sessions(self.trainer.policy, queries.select("id", "vec"), evaluate, greedy=evaluate)
-        told = told.join(queries.select(F.col("id").alias("query_id"), "truth"), "query_id")
+        """Sessions with truth and reward, the samples of those that have some, and the summary, which is logged.
+
+        They are readable until the next batch.
+        """
+        before, self._sessions = self._sessions, self.engine.sessions(self.trainer.policy, queries.select("id", "vec"), evaluate, greedy=evaluate)
+        durable.drop(before)
+        told = self._sessions.join(queries.select(F.col("id").alias("query_id"), "truth"), "query_id")
         told = told.withColumn("reward", self.reward(F.col("best_ids"), F.col("truth"), F.col("dcs")))
         summary = L.summary(told, self.engine.k).first().asDict()
         self.log += [(self.step, prefix, k, float(v)) for k, v in summary.items() if v is not None]
@@ -79,12 +97,24 @@ class Experiment:
         """(step, prefix, name, value) of all that was logged."""
         return self.engine.vertices.sparkSession.createDataFrame(self.log, "step long, prefix string, name string, value double")
 
+    def close(self) -> None:
+        """Delete all tables of the run; checkpoints stay."""
+        durable.drop(self._sessions)
+        self._sessions = None
+        self.engine.close()
+        self.baseline.close()
+
     def save(self, folder: str) -> None:
-        """Write what a run needs to go on: parameters and moments, baseline, edges with their confidence, virtual edges, metrics."""
+        """Write what a run needs to go on: parameters and moments, baseline, edges with their confidence, virtual edges, metrics.
+
+        The versions that were complete before go once the new one is.
+        """
         spark, t, b = self.engine.vertices.sparkSession, self.trainer, self.baseline
         raw = lambda x: None if x is None else x.tobytes()
         state = (t.policy.flat.tobytes(), raw(getattr(t, "_m", None)), raw(getattr(t, "_s", None)), getattr(t, "_t", 0), t.done, self.step, self.engine.batches, getattr(b, "value", None), b.horizon, b.step)
-        put = lambda df, name: df.write.mode("overwrite").parquet(f"{folder}/{name}")
+        before = durable.versions(spark, folder)
+        version = f"v{(durable.number_of(before[-1]) if before else 0) + 1:09d}-{uuid.uuid4().hex}"
+        put = lambda df, name: df.write.parquet(f"{folder}/{version}/{name}")
         put(spark.createDataFrame([state], STATE), "state")
         put(self.engine.edges, "edges")
         put(self.metrics(), "metrics")
@@ -92,25 +122,32 @@ class Experiment:
             put(self.engine.virtual, "virtual")
         if isinstance(b, L.SessionBaseline):
             put(b.table, "baseline")
+        durable.complete(spark, f"{folder}/{version}")
+        for old in before:
+            durable.remove(spark, f"{folder}/{old}")
 
     def restore(self, folder: str) -> "Experiment":
-        """Go back to what :meth:`save` wrote."""
+        """Go back to the newest complete version that :meth:`save` wrote."""
         spark, t, b = self.engine.vertices.sparkSession, self.trainer, self.baseline
-        read = spark.read.parquet
-        s = read(f"{folder}/state").first()
+        found = durable.versions(spark, folder)
+        if not found:
+            raise FileNotFoundError(f"no complete checkpoint in {folder}")
+        read = lambda name: spark.read.parquet(f"{folder}/{found[-1]}/{name}")
+        s = read("state").first()
         array = lambda x: None if x is None else np.frombuffer(bytes(x)).copy()
         t.policy.flat, t.done, self.step, self.engine.batches = array(s["params"]), s["done"], s["step"], s["batches"]
         if hasattr(t, "_t"):
             t._m, t._s, t._t = array(s["m"]), array(s["s"]), s["t"]
         b.horizon, b.step = s["horizon"], s["rounds"]
         if isinstance(b, L.SessionBaseline):
-            b.table = durable.table(read(f"{folder}/baseline"), "baseline")
+            b.close()
+            b.table = durable.table(read("baseline"), "baseline")
         else:
             b.value = s["value"]
-        self.engine.edges = durable.table(read(f"{folder}/edges"), "edges")
+        self.engine.edges = self.engine.keep("edges", read("edges"))
         if self.engine.n_hop_virtual:
-            self.engine.virtual = durable.table(read(f"{folder}/virtual"), "virtual")
-        self.log = [tuple(r) for r in read(f"{folder}/metrics").collect()]
+            self.engine.virtual = self.engine.keep("virtual", read("virtual"))
+        self.log = [tuple(r) for r in read("metrics").collect()]
         return self
 
     def run(self, train: DataFrame, val: DataFrame, dev: DataFrame, folder: str, max_steps: int, batch_size: int = 50000, val_every: int = 10, save_every: int = 50, evolve_every: int | None = None, seed: int = 0) -> int:

@@ -1,5 +1,10 @@
 """Training steps against small numpy versions of their rules, and a run that goes on from its checkpoint."""
 
+import concurrent.futures
+import itertools
+import threading
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +12,9 @@ from pyspark.sql import functions as F
 from simloom.functions import policy, vectors as V
 from simloom.operators import learning as L, training
 from simloom.operators.engine import SessionEngine, worker_count
+from simloom.plans import durable
 from simloom.plans.experiment import Experiment, minibatches, name_of
+from simloom.plans.ring import Ring
 
 D, H = 3, 4
 
@@ -83,15 +90,73 @@ def test_early_stop_after_the_epoch(data):
     assert out["epochs"] == 2 and np.allclose(one.flat, many.flat)  # the first epoch is measured at the old policy
 
 
+def alone(t, rows, x, workers):
+    """All of a step's rows as one task has them, in the order that ``workers`` tasks number them."""
+    held = rows.orderBy(F.pmod(F.xxhash64("row"), F.lit(workers)), "row").toPandas()
+    columns = {c: held[c].to_numpy() for c in ("from_id", "to_id", "action", "advantages", "freqs")}
+    return training.Shard(Ring(), columns | {"row": np.arange(len(held))}, np.arange(len(x)), x)
+
+
 def test_mini_batches(data):
+    """Batches of exactly the size told, dealt anew in each epoch; the stage's numbers are those of plain numpy."""
+    x, _, samples, vertices = data
+    make = lambda: training.PPO(policy.EdgePolicy(D, H, seed=2), samples_in_batch=25, epochs=3, lr=0.01, workers=3, target_kl=9.0)
+    one, many = make(), make()
+    rows = many.rows(samples)
+    shard = alone(one, rows, x, 3)
+    dealt = [list(one.batches(shard, e)) for e in (0, 1)]
+    assert [len(b) for b in dealt[0]] == [25] * 4 + [20] and all(sorted(np.concatenate(d)) == list(range(120)) for d in dealt)
+    assert [list(b) for b in dealt[0]] != [list(b) for b in dealt[1]]
+    told, want = many.stage(rows, vertices), one.update(shard)
+    assert many._t == one._t == 15 and np.allclose(many.policy.flat, one.policy.flat, atol=1e-12)
+    assert all(np.isclose(told[k], want[k]) for k in want) and np.allclose(many._s, one._s)
+
+
+def test_places():
+    for n in (1, 2, 7, 1000, 4097):
+        got = training.places(np.arange(n), n, (1, 2, 3))
+        assert sorted(got) == list(range(n))
+    far = np.abs(np.diff(training.places(np.arange(4096), 4096, (0, 0, 1)))).mean()
+    assert 1200 < far < 1530  # a third of the length, as in a random order
+
+
+def test_ring():
+    """Tasks that are threads: totals of all sizes of arrays, the same bits everywhere."""
+    size, told = 4, [None] * 4
+    meet = threading.Barrier(size)
+
+    def task(rank):
+        def gather(x):
+            told[rank] = x
+            meet.wait()
+            return list(told)
+
+        ring = Ring(rank, ("127.0.0.1",) * size, gather, b"secret")
+        rng = np.random.default_rng(rank)
+        got = [ring.total(rng.normal(size=n)) for n in (0, 1, 3, 4, 1001, 300_000)] + [ring.total(np.arange(5) * rank)]
+        ring.close()
+        return got
+
+    with concurrent.futures.ThreadPoolExecutor(size) as pool:
+        out = list(pool.map(task, range(size)))
+    rngs = [np.random.default_rng(r) for r in range(size)]
+    want = [sum(r.normal(size=n) for r in rngs) for n in (0, 1, 3, 4, 1001, 300_000)]
+    assert all(np.allclose(a, b) for a, b in zip(out[0], want, strict=False)) and out[0][-1].tolist() == [0, 6, 12, 18, 24]
+    assert all(a.tobytes() == b.tobytes() for o in out[1:] for a, b in zip(out[0], o, strict=True))
+
+
+def test_steps_without_samples(data):
+    """No samples, none of known vertices, and fewer than tasks: defined results, and the rest of the samples counts alone."""
     *_, samples, vertices = data
-    t = training.PPO(policy.EdgePolicy(D, H, seed=2), samples_in_batch=25, epochs=2)
-    rows = t.rows(samples, vertices)
-    dealt = [[r["row"] for b in t.batches(rows, e) for r in b.select("row").collect()] for e in (0, 1)]
-    assert sorted(dealt[0]) == sorted(dealt[1]) and len(set(dealt[0])) == 120 and dealt[0] != dealt[1]
-    assert len(t.batches(rows, 0)) == 5
-    t.step(samples, vertices)
-    assert 8 <= t._t <= 10
+    for some in (samples.limit(0), samples.withColumn("to_id", F.lit(99))):
+        t = training.PPO(policy.EdgePolicy(D, H, seed=2), workers=2)
+        before = t.policy.flat.copy()
+        assert t.step(some, vertices)["loss"] == 0.0 and np.array_equal(t.policy.flat, before)
+    a, b = (training.PPO(policy.EdgePolicy(D, H, seed=2), workers=w, epochs=2) for w in (1, 3))
+    two = samples.limit(2).cache()
+    a.step(two, vertices)
+    b.step(two.unionByName(two.withColumn("from_id", F.lit(77))), vertices)
+    assert np.allclose(a.policy.flat, b.policy.flat, atol=1e-12)
 
 
 @pytest.mark.parametrize("kind", [training.TRPO, training.EfficientTRPO])
@@ -123,15 +188,18 @@ def test_trpo(data, kind):
 
 
 def test_trpo_leading_rows(data):
-    *_, samples, vertices = data
+    x, _, samples, _ = data
     t = training.EfficientTRPO(policy.EdgePolicy(D, H, seed=2), samples_in_batch=10, fvp_speedup=3, fvp_min_batches=2)
-    rows = t.rows(samples, vertices)
+    shard = alone(t, t.rows(samples), x, 1)
     u = V.uniform(F.col("from_id"), F.col("to_id"), F.col("action"), 0)
-    keyed = [r["row"] for r in rows.orderBy(F.desc(L.gumbel_key(F.col("freqs"), u)), "row").select("row").collect()]
-    count = -(-len(keyed) // 10)
-    take = max(count // 3, 2) * 10
-    assert sorted(r["row"] for r in t.leading(rows).collect()) == sorted(keyed[:take])
-    assert training.EfficientTRPO(t.policy, fvp_type="forward").leading(rows) is rows
+    rows = L.aggregate_samples(samples).orderBy(F.desc(L.gumbel_key(F.col("freqs"), u)))
+    keyed = [tuple(r) for r in rows.select("from_id", "to_id", "action").collect()]
+    take = max(-(-len(keyed) // 10) // 3, 2) * 10
+    got = t.leading(shard)
+    assert sorted(zip(*(shard.held[c][got].tolist() for c in ("from_id", "to_id", "action")), strict=True)) == sorted(keyed[:take])
+    assert training.EfficientTRPO(t.policy, fvp_type="forward").leading(shard) is None
+    tied = shard.first(np.repeat([1.0, -2.0, 0.5], [10, 20, shard.n - 30]), 12)
+    assert np.flatnonzero(tied).tolist() == [*range(10), 30, 31]
 
 
 def test_baselines_of_queries(spark):
@@ -182,7 +250,64 @@ def test_training_loop(spark, tmp_path):
     run, queries = experiment(spark)
     best = run.run(queries, queries, queries, str(tmp_path), max_steps=4, batch_size=20, val_every=2, save_every=2, evolve_every=3)
     assert best in (2, 4) and run.step == best
-    assert (tmp_path / "4" / "edges").exists()
+    assert len(list((tmp_path / "4").glob("v*/edges"))) == 1
+
+
+def written(spark):
+    """All tables that are left in the shared folder."""
+    at = Path(durable.shared_dir(spark).removeprefix("file://")) / "simloom"
+    return {p.name for p in at.iterdir()} if at.exists() else set()
+
+
+def test_steps_leave_nothing(spark):
+    """The disk stays flat over steps with evolution and evaluation."""
+    run, queries = experiment(spark)
+    run.trainer = training.OptimizedPPO(run.trainer.policy, samples_in_batch=8)
+    before, sizes = written(spark), []
+    for step in range(4):
+        run.train_step(queries if step % 2 else queries.limit(10))
+        if step == 2:
+            run.engine.update_edges(run.trainer.policy)
+            run.evaluate(queries)
+        sizes.append(len(written(spark) - before))
+    assert max(sizes) <= 4  # edges, virtual edges, baseline, sessions
+    run.close()
+    assert not written(spark) - before
+
+
+@pytest.mark.parametrize("kind", [training.PPO, training.EfficientTRPO])
+def test_jobs_of_a_step(spark, data, kind):
+    """As many for a hundred times the samples, and nothing left."""
+    counts, before = [], written(spark)
+    for n in (30, 3000):
+        rows = spark.range(n).select((F.col("id") % 12).alias("from_id"), (F.col("id") % 11).alias("to_id"), (F.col("id") % 2).alias("action"), F.rand(1).alias("advantage"))
+        spark.sparkContext.setJobGroup(f"step{n}", "one step")
+        kind(policy.EdgePolicy(D, H), samples_in_batch=8, workers=2).step(rows, data[-1])
+        counts.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"step{n}")))
+        spark.sparkContext.setJobGroup("", "")
+    assert counts[0] == counts[1] <= 12 and written(spark) == before
+
+
+def test_save_that_breaks_off(spark, tmp_path, monkeypatch):
+    """A save that fails half-way leaves the checkpoint before; a whole one takes its place."""
+    run, queries = experiment(spark)
+    folder = str(tmp_path / "run")
+    run.train_step(queries)
+    run.save(folder)
+    kept, step = run.trainer.policy.flat.copy(), run.step
+    run.train_step(queries)
+    with monkeypatch.context() as m:
+        m.setattr(Experiment, "metrics", lambda self: (_ for _ in ()).throw(RuntimeError("killed")))
+        with pytest.raises(RuntimeError):
+            run.save(folder)
+    assert len(list((tmp_path / "run").iterdir())) == 2
+    other, _ = experiment(spark)
+    other.restore(folder)
+    assert other.step == step and np.array_equal(other.trainer.policy.flat, kept)
+    run.save(folder)
+    assert np.array_equal(experiment(spark)[0].restore(folder).trainer.policy.flat, run.trainer.policy.flat)
+    with pytest.raises(FileNotFoundError):
+        run.restore(str(tmp_path / "none"))
 
 
 def test_engine_edges(spark):
@@ -202,5 +327,9 @@ def test_engine_edges(spark):
 def test_names_batches_and_workers(spark):
     assert name_of("{data}_{k}", data="d", k=1) == "d_1"
     got = [sorted(r["id"] for r in b.collect()) for b in minibatches(spark.range(50), 20, cycle=False)]
-    assert sorted(v for b in got for v in b) == list(range(50)) and len(got) == 3
+    assert sorted(v for b in got for v in b) == list(range(50)) and [len(b) for b in got] == [20, 20, 10]
+    assert got[0] != list(range(20)) and [sorted(r["id"] for r in b.collect()) for b in minibatches(spark.range(50), 30, shuffle=False, cycle=False)] == [list(range(30)), list(range(30, 50))]
+    rounds = itertools.islice(minibatches(spark.range(50), 25), 4)
+    first, _, second, _ = (sorted(r["id"] for r in b.collect()) for b in rounds)
+    assert first != second
     assert worker_count(3) == 3 and worker_count(-1) == worker_count(None)
