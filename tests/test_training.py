@@ -285,7 +285,7 @@ def test_jobs_of_a_step(spark, data, kind):
         kind(policy.EdgePolicy(D, H), samples_in_batch=8, workers=2).step(rows, data[-1])
         counts.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"step{n}")))
         spark.sparkContext.setJobGroup("", "")
-    assert counts[0] == counts[1] <= 12 and written(spark) == before
+    assert max(counts) <= 8 and written(spark) == before  # caching and adaptive plans may save one
 
 
 def test_save_that_breaks_off(spark, tmp_path, monkeypatch):
