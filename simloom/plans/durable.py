@@ -78,6 +78,11 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(at, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _fs(spark, path)
+    return fs.exists(at)
+
+
 MANIFEST = "_complete"
 
 

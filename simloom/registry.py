@@ -174,8 +174,7 @@ def _train(spark, sf, kind, **options):
 
 def _entry(spark, sf):
     """Greedy descent over two synthetic upper levels: every 16th and every 4th vertex, each level a ring."""
-    base = role(spark, sf, "base").orderBy("id").toPandas()
-    x = np.stack(base["vec"].to_numpy())
+    x = beam.PackedGraph.collect(role(spark, sf, "base"), graph(spark, sf)).vectors
     n = len(x)
 
     def ring(step):
@@ -297,7 +296,7 @@ def _pruned_search(spark, sf):
 
 
 def _frontier(spark, sf):
-    return _sessions_flat(beam.frontier_search(role(spark, sf, "base"), graph(spark, sf), role(spark, sf, "test"), 3, 4, 80), 3)
+    return _sessions_flat(beam.frontier_search(role(spark, sf, "base"), graph(spark, sf), role(spark, sf, "test"), [4], 3, 80), 3)
 
 
 def _export(spark, sf):

@@ -3,6 +3,7 @@
 import heapq
 import os
 import struct
+from pathlib import Path
 from types import SimpleNamespace
 
 import numpy as np
@@ -24,6 +25,12 @@ def packed(x, lists, probs=None):
     return beam.PackedGraph(np.asarray(x, float), begin, flat, np.array([i for n in lists for i in range(len(n))]), p)
 
 
+def search_one(g, query_id, q, start, ef, k, cap, metric, seed):
+    """The session of one query."""
+    (row,) = beam.search_batch(g, np.array([query_id]), np.asarray(q)[None], start, ef, k, cap, metric, seed).to_pylist()
+    return *(row[c] for c in ("query_id", "best_ids", "dcs", "hops", "trajectory")), [tuple(s.values()) for s in row["samples"]]
+
+
 def two_heaps(g, query_id, q, start, ef, k, cap):
     """Independent search with a candidate heap and a result heap."""
     d = lambda v: float(((g.vectors[v] - q) ** 2).sum())
@@ -59,45 +66,62 @@ def test_set_form_equals_heap_form(seed, ef, ties, cap):
     rng = np.random.default_rng(seed)
     n = 25
     x = rng.integers(0, 3, (n, 2)).astype(float) if ties else rng.normal(size=(n, 3))
-    lists = [rng.choice(n, rng.integers(0, 5), replace=False).tolist() for _ in range(n)]
+    lists = [rng.choice(n, rng.integers(0, 5), replace=seed % 2 == 0).tolist() for _ in range(n)]
     probs = [[float(rng.choice([1.1, -0.1, rng.random()])) for _ in row] for row in lists]
     g = packed(x, lists, probs)
     q = x.mean(0)
     k = min(ef, 3)
-    assert beam.search_one(g, 5, q, 0, ef, k, cap, "l2", 0) == two_heaps(g, 5, q, 0, ef, k, cap)
+    assert search_one(g, 5, q, 0, ef, k, cap, "l2", 0) == two_heaps(g, 5, q, 0, ef, k, cap)
+    many = beam.search_batch(g, np.arange(7), x[:7] + 0.25, 0, ef, k, cap, "l2", 0).to_pylist()
+    told = [(*list(r.values())[:5], [tuple(s.values()) for s in r["samples"]]) for r in many]
+    assert told == [two_heaps(g, i, x[i] + 0.25, 0, ef, k, cap) for i in range(7)]
 
 
 def test_line_graph_and_hop_cap():
     g = packed([[i] for i in range(6)], [[1], [0, 2], [1, 3], [2, 4], [3, 5], [4]])
-    assert beam.search_one(g, 0, np.array([5.0]), 0, 1, 1, 80, "l2", 0)[1:5] == ([5], 6, 6, [0, 1, 2, 3, 4, 5])
-    assert beam.search_one(g, 0, np.array([5.0]), 0, 1, 1, 2, "l2", 0)[1:5] == ([2], 3, 2, [0, 1])
+    assert search_one(g, 0, np.array([5.0]), 0, 1, 1, 80, "l2", 0)[1:5] == ([5], 6, 6, [0, 1, 2, 3, 4, 5])
+    assert search_one(g, 0, np.array([5.0]), 0, 1, 1, 2, "l2", 0)[1:5] == ([2], 3, 2, [0, 1])
 
 
 def test_ties_short_answers_and_frozen_edges():
     g = packed([[1, 1], [1, -1], [-1, 1], [-1, -1]], [[1, 2, 3]] * 4)
-    assert beam.search_one(g, 0, np.zeros(2), 0, 4, 4, 80, "l2", 0)[1] == [0, 1, 2, 3]
+    assert search_one(g, 0, np.zeros(2), 0, 4, 4, 80, "l2", 0)[1] == [0, 1, 2, 3]
     g = packed([[0], [1], [2]], [[1], [], []])
-    assert beam.search_one(g, 0, np.array([2.0]), 0, 3, 3, 80, "l2", 0)[1] == [1, 0]
+    assert search_one(g, 0, np.array([2.0]), 0, 3, 3, 80, "l2", 0)[1] == [1, 0]
     g = packed([[0], [1], [2]], [[1, 2], [], []], [[1.1, -0.1], [], []])
-    out = beam.search_one(g, 0, np.array([2.0]), 0, 3, 3, 80, "l2", 0)
+    out = search_one(g, 0, np.array([2.0]), 0, 3, 3, 80, "l2", 0)
     assert out[1] == [1, 0] and out[5] == []
 
 
 def test_pruned_is_not_visited():
     g = packed([[0], [1], [3]], [[2, 1], [2], []], [[0.0, 1.1], [1.1], []])
-    out = beam.search_one(g, 0, np.array([3.0]), 0, 3, 1, 80, "l2", 0)
+    out = search_one(g, 0, np.array([3.0]), 0, 3, 1, 80, "l2", 0)
     assert out[1] == [2] and out[5] == [(0, 0, 0, 2, 0)]
 
 
 def test_searches_agree(spark):
+    """Whole sessions, of two widths at once; two jobs a hop, and nothing left but the result."""
     rng = np.random.default_rng(0)
     x = rng.normal(size=(40, 5))
     vertices = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
     queries = spark.createDataFrame([(i, rng.normal(size=5).tolist()) for i in range(4)], "id long, vec array<double>")
-    edges = knn.knn_graph(vertices, 4).withColumn("prob", F.lit(0.8))
-    a = {r["query_id"]: r for r in beam.search(vertices, edges, queries, k=2, ef=3, max_trajectory=6, metric="l2").collect()}
-    b = {r["query_id"]: r for r in beam.frontier_search(vertices, edges, queries, 2, 3, 6).collect()}
-    assert all(a[i]["best_ids"] == b[i]["best_ids"] and a[i]["dcs"] == b[i]["dcs"] and sorted(a[i]["samples"]) == sorted(b[i]["samples"]) for i in a)
+    edges = durable.table(knn.knn_graph(vertices, 4).withColumn("prob", F.lit(0.8)), "edges")
+    edges = edges.unionByName(edges.where("slot < 2").withColumn("slot", F.col("slot") + 9))  # a vertex may be named twice
+    folder = Path(durable.shared_dir(spark).removeprefix("file://")) / "simloom"
+    before = set(folder.iterdir())
+    jobs = []
+    for cap in (2, 6):
+        spark.sparkContext.setJobGroup(f"cap{cap}", "a search")
+        got = beam.frontier_search(vertices, edges, queries, [2, 3], 2, cap)
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"cap{cap}")))
+        spark.sparkContext.setJobGroup("", "")
+        assert len(set(folder.iterdir()) - before) == 1
+        told = got.collect()
+        for ef in (2, 3):
+            want = {r["query_id"]: r for r in beam.search(vertices, edges, queries, k=2, ef=ef, max_trajectory=cap, metric="l2").collect()}
+            assert {r["query_id"]: r[:-1] for r in told if r["ef"] == ef} == {i: tuple(r) for i, r in want.items()}
+        durable.drop(got)
+    assert jobs[1] - jobs[0] <= 2 * 4
 
 
 def test_blocked_knn(spark, monkeypatch):
