@@ -83,6 +83,11 @@ def reward_weighted_recall(best_ids: Column, truth: Column, decay: float = 0.5)
     return F.when(at > 0, F.pow(F.lit(decay), at - 1)).otherwise(F.lit(0.0))
 
 
+def reward_none(best_ids: Column, truth: Column, dcs: Column) -> Column:
+    """0 for all, for evaluations that only measure."""
+    return F.lit(0.0)
+
+
 def hex_color(rgba: Column) -> Column:
     """#rrggbb or #rrggbbaa of channels in [0, 1]; other input gives null."""
     ok = F.forall(rgba, lambda c: (c >= 0) & (c <= 1)) & F.size(rgba).isin(3, 4)

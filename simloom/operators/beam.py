@@ -70,24 +70,83 @@ def _packed_columns(df: DataFrame) -> list[np.ndarray]:
     return [np.concatenate([np.zeros(0, kind), *(np.frombuffer(x.as_buffer(), kind) for x in got.column(c))]) for c, kind in zip(names, kinds, strict=True)]
 
 
-def measure(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
-    return -(x @ q) if metric == "dot" else ((x - q) ** 2).sum(1)
-
-
-def descend(levels: list[dict], vectors: np.ndarray, q: np.ndarray, start: int, metric: str = "l2") -> int:
-    """Greedy walk down the upper levels (highest first): move while a neighbour is strictly nearer."""
-    at, best = start, float(measure(q, vectors[[start]], metric)[0])
-    for level in levels:
-        moved = True
-        while moved:
-            moved = False
-            near = np.asarray(level.get(at, ()), np.int64)
-            if len(near):
-                d = measure(q, vectors[near], metric)
-                i = int(np.lexsort((near, d))[0])
-                if d[i] < best:
-                    at, best, moved = int(near[i]), float(d[i]), True
-    return at
+def enter(vertices: DataFrame, levels: DataFrame, queries: DataFrame, start: int = 0, metric: str = "l2") -> DataFrame:
+    """(query_id, enter): where a greedy walk down ``levels`` (level, from_id, to_id), lowest number first, ends for each query.
+
+    On a level the walk moves to the nearest neighbour, of equal ones the smaller
+    id, while that is strictly nearer. Only vertices of the levels travel; where
+    they are too many to broadcast, each move of all queries is a join.
+    """
+    ends = levels.select(F.explode(F.array("from_id", "to_id")).alias("id")).unionByName(levels.sparkSession.createDataFrame([(start,)], "id long")).distinct()
+    points = vertices.join(ends, "id").select(F.col("id").cast("long"), F.col("vec").cast("array<double>"))
+    names = [r[0] for r in levels.select("level").distinct().orderBy("level").collect()]
+    asked = queries.select(F.col("id").cast("long"), F.col("vec").cast("array<double>"))
+    n, dim = points.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("vec")), F.lit(0))).first()
+    if n * dim * 8 + levels.count() * 24 > SMALL:
+        return _enter_by_joins(points, levels, asked, names, start, metric)
+    ids, flat = _packed_columns(points)
+    order = np.argsort(ids)
+    ids, x = ids[order], flat.reshape(len(ids), -1)[order]
+    at, frm, to = _packed_columns(levels.select(*(F.col(c).cast("long") for c in ("level", "from_id", "to_id"))))
+    parts = []
+    for name in names:
+        a, b = (np.searchsorted(ids, e[at == name]) for e in (frm, to))
+        o = np.lexsort((b, a))
+        parts.append((np.searchsorted(a[o], np.arange(len(ids) + 1)), b[o]))
+    held = levels.sparkSession.sparkContext.broadcast((ids, x, parts))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, x, parts = held.value
+        for batch in batches:
+            q = batch.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) if batch.num_rows else np.zeros((0, x.shape[1]))
+            near = lambda r, v: -(x[v] * q[r]).sum(1) if metric == "dot" else ((x[v] - q[r]) ** 2).sum(1)  # noqa: E731, B023
+            pos = np.full(len(q), np.searchsorted(ids, start))
+            best = near(np.arange(len(q)), pos)
+            for begin, neighbors in parts:
+                rows = np.arange(len(q))
+                while len(rows):
+                    degree = begin[pos[rows] + 1] - begin[pos[rows]]
+                    own = np.repeat(rows, degree)
+                    v = neighbors[np.arange(len(own)) + np.repeat(begin[pos[rows]] - np.cumsum(degree) + degree, degree)]
+                    d = near(own, v)
+                    o = np.lexsort((v, d, own))
+                    own, v, d = own[o], v[o], d[o]
+                    first = np.r_[True, own[1:] != own[:-1]][: len(own)] & (d < best[own])
+                    rows = own[first]
+                    pos[rows], best[rows] = v[first], d[first]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(ids[pos])], ["query_id", "enter"])
+
+    return asked.mapInArrow(run, "query_id long, enter long")
+
+
+def _enter_by_joins(points: DataFrame, levels: DataFrame, queries: DataFrame, names: list, start: int, metric: str) -> DataFrame:
+    """The same walks; each move is a written table of all queries' places."""
+    point = points.select(F.col("id").alias("to_id"), F.col("vec").alias("x"))
+    begin = points.where(F.col("id") == start).select(F.col("vec").alias("x"))
+    state = queries.select(F.col("id").alias("query_id"), "vec").join(F.broadcast(begin), F.lit(True))
+    state = durable.table(state.select("query_id", "vec", F.lit(start).cast("long").alias("pos"), V.distance("vec", "x", metric).alias("best"), F.lit(True).alias("moved")), "walk")
+    for name in names:
+        edges = levels.where(F.col("level") == name).select("from_id", "to_id")
+        state_of, moving = state, True
+        while moving:
+            live = state_of.where("moved")
+            met = live.join(edges, F.col("pos") == F.col("from_id")).join(point, "to_id")
+            best = met.groupBy("query_id").agg(F.min(F.struct(V.distance("vec", "x", metric).alias("d"), F.col("to_id").alias("v"))).alias("b"))
+            nxt = state_of.join(best, "query_id", "left").withColumn("moved", F.col("moved") & F.coalesce(F.col("b.d") < F.col("best"), F.lit(False)))
+            nxt = nxt.select("query_id", "vec", F.when(F.col("moved"), F.col("b.v")).otherwise(F.col("pos")).alias("pos"), F.when(F.col("moved"), F.col("b.d")).otherwise(F.col("best")).alias("best"), "moved")
+            new = durable.table(nxt, "walk")
+            durable.drop(state)
+            state = state_of = new
+            moving = bool(state.where("moved").limit(1).count())
+        state_of = state = _again(state)
+    return state.select("query_id", F.col("pos").alias("enter"))
+
+
+def _again(state: DataFrame) -> DataFrame:
+    """All queries on their way again, on the next level."""
+    new = durable.table(state.withColumn("moved", F.lit(True)), "walk")
+    durable.drop(state)
+    return new
 
 
 def lists_of(owner: np.ndarray, n: int, *columns) -> pa.ListArray:
@@ -342,4 +401,4 @@ def sweep(vertices: DataFrame, edges: DataFrame, queries: DataFrame, efs: list[i
     return (_packed if fits else frontier_search)(vertices, edges, queries, efs, k, max_trajectory, initial_vertex_id, metric, seed)
 
 
-__all__ = ["SESSION", "PackedGraph", "descend", "frontier_search", "samples_of", "search", "search_batch", "sweep"]
+__all__ = ["SESSION", "PackedGraph", "enter", "frontier_search", "samples_of", "search", "search_batch", "sweep"]

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from simloom.functions import vectors as V
+from simloom.plans import ranks
 
 
 def degree_stats(edges: DataFrame, vertices: DataFrame) -> DataFrame:
@@ -35,6 +34,12 @@ def with_confidence(edges: DataFrame, confidence: DataFrame) -> DataFrame:
     return edges.join(confidence.select("from_id", "to_id", "confidence"), ["from_id", "to_id"], "left").withColumn("confidence", F.coalesce("confidence", F.lit(0.0)))
 
 
+def with_confidence(edges: DataFrame, confidence: DataFrame) -> DataFrame:
+    """``edges`` with their confidence (from_id, to_id, confidence), 0 where none is known."""
+    known = confidence.select("from_id", "to_id", F.col("confidence").cast("double").alias("confidence"))
+    return edges.join(known, ["from_id", "to_id"], "left").withColumn("confidence", F.coalesce("confidence", F.lit(0.0)))
+
+
 def score(edges: DataFrame, patience: int, train: bool = True) -> DataFrame:
     """``edges`` (prob, confidence) after freezing, and in training with their next confidence."""
     out = edges.withColumn("prob", V.frozen(F.col("prob"), F.col("confidence"), patience))
@@ -92,32 +97,77 @@ def edge_batches(edges: DataFrame, batch_size: int) -> DataFrame:
     """(from_id, degree, batch): whole vertices, in order, until a batch has ``batch_size`` edges.
 
     A batch ends with the vertex that fills it, so its number depends on all
-    before: one task reads the degrees in order, an Arrow batch at a time, and
-    carries the open sum only. Training itself reads Arrow batches and doesn't
-    need these numbers.
+    before. Vertices are cut into ranges; each range tells in one pass what it
+    makes of any number of edges that are open before it (how many batches end,
+    how many edges are open after), in runs of equal outcome. Following these
+    from the first range gives each its start, and ranges then number themselves.
     """
     size = max(batch_size, 1)  # a vertex fills smaller ones
 
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        batch, held = 0, 0
-        for part in rows:
-            sums = np.cumsum(part.column("degree").to_numpy())
-            told, i, base = np.empty(len(sums), np.int32), 0, -held
-            while i < len(sums):
-                j = int(np.searchsorted(sums, base + size))
-                told[i : j + 1] = batch
-                if j < len(sums):
-                    batch, base = batch + 1, int(sums[j])
-                i = j + 1
-            held = int(sums[-1]) - base if len(sums) else held
-            yield pa.RecordBatch.from_arrays([part.column("from_id"), part.column("degree"), pa.array(told)], ["from_id", "degree", "batch"])
+    def outcomes(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("_place")
+        sums = np.r_[0, np.cumsum(rows.column("degree").to_numpy())]
+        m = len(sums) - 1
+        end = np.minimum(np.searchsorted(sums, sums[:-1] + size), m + 1)  # first vertex behind a batch that begins here
+        ended, left = [0] * (m + 1), [0] * (m + 1)
+        for s in range(m - 1, -1, -1):
+            e = int(end[s])
+            ended[s], left[s] = (0, int(sums[m] - sums[s])) if e > m else (1 + ended[e], left[e])
+        runs = [(0, 0, int(sums[m]), True)] if sums[m] < size else []  # nothing ends; what is open stays open
+        for j in range(m, 0, -1):  # open edges from size - sums[j] on end a batch with vertex j
+            low = max(int(size - sums[j]), 0)
+            if low < size - sums[j - 1]:
+                told = (low, 1 + ended[j], left[j], False)
+                if not runs or runs[-1][1:] != told[1:]:
+                    runs.append(told)
+        n = len(runs)
+        return pa.table({"_range": pa.array([rows.column("_range")[0].as_py()] * n, pa.int32()), **{c: pa.array([r[i] for r in runs], pa.bool_() if c == "open" else pa.int64()) for i, c in enumerate(("low", "ended", "left", "open"))}})
 
     deg = edges.groupBy(F.col("from_id").cast("long").alias("from_id")).agg(F.count(F.lit(1)).alias("degree"))
-    return deg.repartition(1).sortWithinPartitions("from_id").mapInArrow(run, "from_id long, degree long, batch int")
-
-
-def plot_tables(edges: DataFrame, points: DataFrame, color: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """(segments, vertices): one row for each edge with both ends, one for each vertex with its style."""
+    dealt = ranks.ordered(deg, "from_id")
+    maps = dealt.groupBy("_range").applyInArrow(outcomes, "_range int, low long, ended long, left long, open boolean")
+    starts, batch, held, at, hit = [], 0, 0, None, None
+    for r in [*maps.orderBy("_range", "low").toLocalIterator(), None]:  # a few runs a range, one part at a time
+        if r is None or r["_range"] != at:
+            if hit is not None:
+                batch, held = batch + hit["ended"], hit["left"] + (held if hit["open"] else 0)
+            if r is None:
+                break
+            at, hit = r["_range"], None
+            starts.append((at, batch, held))
+        if r["low"] <= held:
+            hit = r
+    first = edges.sparkSession.createDataFrame(starts, "_range int, _batch long, _held long")
+
+    def number(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("_place")
+        sums = np.cumsum(rows.column("degree").to_numpy())
+        batch, told, i, base = rows.column("_batch")[0].as_py(), np.empty(len(sums), np.int32), 0, -rows.column("_held")[0].as_py()
+        while i < len(sums):
+            j = int(np.searchsorted(sums, base + size))
+            told[i : j + 1] = batch
+            if j < len(sums):
+                batch, base = batch + 1, int(sums[j])
+            i = j + 1
+        return rows.select(["from_id", "degree"]).append_column("batch", pa.array(told))
+
+    return dealt.join(F.broadcast(first), "_range").groupBy("_range").applyInArrow(number, "from_id long, degree long, batch int")
+
+
+def _styled(rows: DataFrame, keys: list[str], style: dict, hover: list[str], defaults: dict) -> DataFrame:
+    """``rows`` with a column for each style, a column expression or one value for all; null gives the default."""
+    shown = {n: style.get(n, v) for n, v in defaults.items()} | {n: v for n, v in style.items() if n not in defaults}
+    column = lambda v: v if isinstance(v, Column) else F.lit(v)
+    return rows.select(*keys, *(F.coalesce(column(v), F.lit(defaults[n])).alias(n) if n in defaults else column(v).alias(n) for n, v in shown.items()), *(c for c in hover if c not in keys))
+
+
+def plot_tables(edges: DataFrame, points: DataFrame, edge_style: dict | None = None, vertex_style: dict | None = None, hover: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(segments, vertices): one row for each edge with both ends, one for each vertex, with their styles.
+
+    A style is one value for all or a column of ``edges`` (``points``), so it may
+    differ by edge or vertex; ``hover`` names columns of ``points`` to show with a vertex.
+    """
     a, b = points.select(F.col("id").alias("from_id"), F.col("x").alias("x0"), F.col("y").alias("y0")), points.select(F.col("id").alias("to_id"), F.col("x").alias("x1"), F.col("y").alias("y1"))
-    segments = edges.select("from_id", "to_id").join(a, "from_id").join(b, "to_id").select("from_id", "to_id", "x0", "y0", "x1", "y1")
-    return segments, points.withColumn("color", F.coalesce(color if color is not None else F.lit(None).cast("string"), F.lit("#1f77b4")))
+    ends = edges.join(a, "from_id").join(b, "to_id")
+    segments = _styled(ends, ["from_id", "to_id", "x0", "y0", "x1", "y1"], edge_style or {}, [], {"color": "#aaaaaa", "alpha": 1.0, "width": 1.0})
+    return segments, _styled(points, ["id", "x", "y"], vertex_style or {}, hover or [], {"color": "#1f77b4", "marker": "circle", "radius": 10.0, "alpha": 0.25})

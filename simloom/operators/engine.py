@@ -45,15 +45,18 @@ class SessionEngine:
     n_jobs: int | None = None
     batches: int = 0  # training batches so far; each draws its own numbers
     virtual: DataFrame | None = field(default=None, repr=False)
+    confidence: DataFrame | None = field(default=None, repr=False)  # of some edges by their ends, where edges have no such column
     _held: dict[str, DataFrame] = field(default_factory=dict, repr=False)
 
     def __post_init__(self):
         if self.graph_type == "hnsw":
-            raise ValueError("graphs with levels are searched by beam.descend")
+            raise ValueError("graphs with levels are entered by beam.enter")
         if self.max_degree is None:
             self.max_degree = self.edges.groupBy("from_id").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
-        confidence = F.col("confidence").cast("double") if "confidence" in self.edges.columns else F.lit(0.0)
-        self.edges = self.keep("edges", self.edges.select("from_id", "slot", "to_id", confidence.alias("confidence")))
+        told = self.edges
+        if "confidence" not in told.columns:
+            told = told.withColumn("confidence", F.lit(0.0)) if self.confidence is None else E.with_confidence(told, self.confidence)
+        self.edges = self.keep("edges", told.select("from_id", "slot", "to_id", F.col("confidence").cast("double").alias("confidence")))
         if self.virtual is None:
             self.resample()
 

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import accumulate
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from simloom.plans import durable
+from simloom.plans import durable, ranks
 
 
 def summary(sessions: DataFrame, k: int = 1) -> DataFrame:
@@ -166,16 +169,42 @@ def kl(p0: Column, p1: Column, q0: Column, q1: Column) -> Column:
 
 
 def trailing_mean(history: DataFrame, n: int = 100) -> DataFrame:
-    """(step, trailing): the mean of the last ``n`` rewards. One row for each training step, so one task orders them."""
-    return history.select("step", F.avg("reward").over(Window.orderBy("step").rowsBetween(-(n - 1), 0)).alias("trailing"))
+    """(step, trailing): the mean of the last ``n`` rewards.
+
+    Steps are ranked and cut into blocks; a block also gets the n - 1 rows before it.
+    """
+    size = max(n, ranks.RANGE_ROWS)
+    told = ranks.ranked(history.select("step", "reward"), "step", out="_r").withColumn("_own", F.floor(F.col("_r") / size))
+    late = F.when(F.col("_r") % size > size - n, F.array(F.col("_own"), F.col("_own") + 1)).otherwise(F.array("_own"))
+    told = told.withColumn("_block", F.explode(late))
+    mean = F.avg("reward").over(Window.partitionBy("_block").orderBy("_r").rowsBetween(-(n - 1), 0))
+    return told.withColumn("trailing", mean).where(F.col("_own") == F.col("_block")).select("step", "trailing")
 
 
 def adjusted_ewm(history: DataFrame, span: int = 50) -> DataFrame:
-    """(step, ewm): the exponentially weighted mean with weights (1 - 2/(span+1))^age."""
-    q = 1 - 2 / (span + 1)
-    w = Window.orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    pairs = F.collect_list("reward").over(w)
-    n = F.size("r")
-    out = history.select("step", pairs.alias("r"))
-    top = F.aggregate(F.transform("r", lambda v, i: v * F.pow(F.lit(q), n - 1 - i)), F.lit(0.0), lambda s, v: s + v)
-    return out.select("step", (top / ((1 - F.pow(F.lit(q), n)) / (1 - q))).alias("ewm"))
+    """(step, ewm): the exponentially weighted mean with weights (1 - 2/(span+1))^age.
+
+    A linear recurrence over blocks of ranked steps: each block gives its weighted
+    sum, these are carried from block to block, and a block starts from its carry.
+    """
+    q, size = 1 - 2 / (span + 1), ranks.RANGE_ROWS
+    told = ranks.ranked(history.select("step", F.col("reward").cast("double").alias("reward")), "step", out="_r").withColumn("_block", F.floor(F.col("_r") / size))
+    sums = told.groupBy("_block").agg(F.sum(F.col("reward") * F.pow(F.lit(q), size - 1 - F.col("_r") % size)).alias("s"))
+    carry, carried = 0.0, []
+    for r in sums.orderBy("_block").collect():  # a row for RANGE_ROWS steps
+        carried.append((r["_block"], carry))
+        carry = carry * q**size + r["s"]
+    first = history.sparkSession.createDataFrame(carried, "_block long, _carry double")
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("_r")
+        start, r = rows.column("_carry")[0].as_py(), rows.column("_r").to_numpy()
+        top = list(accumulate(rows.column("reward").to_pylist(), lambda s, x: s * q + x, initial=start))[1:]
+        return pa.table({"step": rows.column("step"), "ewm": np.array(top) / ((1 - q ** (r + 1.0)) / (1 - q))})
+
+    return told.join(F.broadcast(first), "_block").groupBy("_block").applyInArrow(run, f"step {history.schema['step'].dataType.simpleString()}, ewm double")
+
+
+def weighted_order(rows: DataFrame, key: str, *ties: str, out: str = "place") -> DataFrame:
+    """``rows`` with their place, from 1, in descending order of ``key``: of :func:`gumbel_key` a weighted random permutation."""
+    return ranks.ranked(rows, F.desc(key), *ties, out=out).withColumn(out, F.col(out) + 1)

@@ -38,6 +38,7 @@ def minibatches(queries: DataFrame, batch_size: int = 50000, shuffle: bool = Tru
         key = F.xxhash64("id", F.lit(seed), F.lit(round_)) if shuffle else F.col("id")
         ids = ranks.ranked(queries.select("id").withColumn("_key", key), "_key", "id", out="_rank")
         dealt = durable.table(ids.select("id", F.floor(F.col("_rank") / batch_size).alias("_batch")), "dealt")
+        durable.drop(ids)
         try:
             for i in range(-(-dealt.count() // batch_size)):
                 yield queries.join(dealt.where(F.col("_batch") == i).select("id"), "id", "left_semi")

@@ -8,16 +8,16 @@ graph is the exact 8-nearest-neighbour graph of the vertices.
 from __future__ import annotations
 
 import os
-import tempfile
+import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from simloom.functions import policy, vectors as V
 from simloom.operators import beam, edges as E, knn, learning as L, training
 from simloom.operators.engine import SessionEngine
-from simloom.plans import dataset
+from simloom.plans import dataset, durable
 from simloom.plans.experiment import Experiment
 from simloom.session import read
 from simloom.sources import vecs
@@ -141,9 +141,10 @@ def _policy_edges(spark, sf, greedy=False):
 
 
 def _roundtrip(spark: SparkSession, df: DataFrame, form: str, **options) -> DataFrame:
-    path = os.path.join(tempfile.mkdtemp(prefix="simloom-"), f"x.{form}")
-    vecs.write(df, path, form, **options)
-    return vecs.read(spark, path, form)
+    folder = f"{vecs.local(durable.shared_dir(spark))}/simloom/files-{uuid.uuid4().hex}"
+    os.makedirs(folder)
+    vecs.write(df, f"{folder}/x.{form}", form, part_bytes=1 << 16, **options)
+    return vecs.read(spark, f"{folder}/x.{form}", form)
 
 
 def _history(spark: SparkSession, sf: str) -> DataFrame:
@@ -173,29 +174,14 @@ def _train(spark, sf, kind, **options):
 
 
 def _entry(spark, sf):
-    """Greedy descent over two synthetic upper levels: every 16th and every 4th vertex, each level a ring."""
-    x = beam.PackedGraph.collect(role(spark, sf, "base"), graph(spark, sf)).vectors
-    n = len(x)
-
-    def ring(step):
-        ids = list(range(0, n, step))
-        return {v: (ids[(i - 1) % len(ids)], ids[(i + 1) % len(ids)]) for i, v in enumerate(ids)}
-
-    levels = [ring(16), ring(4)]
-    held = spark.sparkContext.broadcast((levels, x))
-
-    def run(batches):
-        for b in batches:
-            levels, x = held.value
-            b["enter"] = [beam.descend(levels, x, np.asarray(v), 0) for v in b["vec"]]
-            yield b[["id", "enter"]].rename(columns={"id": "query_id"})
-
-    return role(spark, sf, "test").mapInPandas(run, "query_id long, enter long")
+    """Greedy descent over two upper levels: the 4-nearest-neighbour graphs of every 16th and every 4th vertex."""
+    base = role(spark, sf, "base")
+    level = lambda i, step: knn.knn_graph(base.where(F.col("id") % step == 0), 4).select(F.lit(i).alias("level"), "from_id", "to_id")
+    return beam.enter(base, level(0, 16).unionByName(level(1, 4)), role(spark, sf, "test"))
 
 
-ENTRY = """lv AS (SELECT 0 AS level, 16 AS step UNION ALL SELECT 1, 4), cnt AS (SELECT count(*) AS n FROM base),
-ringed AS (SELECT level, id, lead(id) OVER w AS nxt, lag(id) OVER w AS prv, first_value(id) OVER w AS lo, max(id) OVER (PARTITION BY level) AS hi FROM lv JOIN base ON id % step = 0 WINDOW w AS (PARTITION BY level ORDER BY id)),
-ring AS (SELECT level, id, unnest([coalesce(prv, hi), coalesce(nxt, lo)]) AS nb FROM ringed),
+ENTRY = """lv AS (SELECT 0 AS level, 16 AS step UNION ALL SELECT 1, 4),
+ring AS MATERIALIZED (SELECT level, a.id AS id, b.id AS nb FROM lv JOIN base a ON a.id % step = 0 JOIN base b ON b.id % step = 0 AND a.id <> b.id QUALIFY row_number() OVER (PARTITION BY level, a.id ORDER BY list_distance(a.vec, b.vec), b.id) <= 4),
 hop AS (
   SELECT id AS query_id, vec AS q, 0 AS level, 0::BIGINT AS pos, 0 AS n FROM test
   UNION ALL
@@ -263,8 +249,15 @@ def _colors(spark, sf):
 
 def _plot(spark, sf):
     pts = role(spark, sf, "base").select("id", F.get("vec", F.lit(0)).alias("x"), F.get("vec", F.lit(1)).alias("y"))
-    seg, _ = E.plot_tables(graph(spark, sf), pts)
-    return seg.select("from_id", "to_id", *(r6(c).alias(c) for c in ("x0", "y0", "x1", "y1")))
+    width = F.when(F.col("slot") < 3, F.col("slot") + 0.5)
+    seg, _ = E.plot_tables(graph(spark, sf), pts, {"width": width, "color": "#111111"})
+    return seg.select("from_id", "to_id", *(r6(c).alias(c) for c in ("x0", "y0", "x1", "y1")), "color", "width")
+
+
+def _plot_vertices(spark, sf):
+    pts = role(spark, sf, "base").select("id", F.get("vec", F.lit(0)).alias("x"), F.get("vec", F.lit(1)).alias("y"), (F.col("id") % 3).alias("third"))
+    shown = E.plot_tables(graph(spark, sf), pts, None, {"color": F.when(F.col("third") == 0, F.lit("#ff0000")), "radius": 4.0}, ["third"])[1]
+    return shown.withColumn("x", r6("x")).withColumn("y", r6("y"))
 
 
 def _agg_samples(spark, sf):
@@ -274,8 +267,8 @@ def _agg_samples(spark, sf):
 
 def _gumbel(spark, sf):
     u = V.uniform(F.col("from_id"), F.col("to_id"), F.col("action"))
-    ranked = _agg_samples(spark, sf).withColumn("key", F.round(L.gumbel_key(F.col("freqs"), u), 9))
-    return ranked.select("from_id", "to_id", "action", "freqs", F.row_number().over(Window.orderBy(F.desc("key"), "from_id", "to_id", "action")).alias("place"))
+    keyed = _agg_samples(spark, sf).withColumn("key", F.round(L.gumbel_key(F.col("freqs"), u), 9))
+    return L.weighted_order(keyed, "key", "from_id", "to_id", "action").select("from_id", "to_id", "action", "freqs", F.col("place").cast("int").alias("place"))
 
 
 AGG = "agg AS (SELECT from_id % 50 AS from_id, to_id % 20 AS to_id, action, sum(advantage) AS advantages, count(*) AS freqs FROM samples GROUP BY ALL)"
@@ -324,6 +317,7 @@ def queries() -> dict:
         "edge_keep_prob": lambda s, d: _policy_edges(s, d).select("from_id", "slot", "to_id", r6("prob").alias("prob")),
         "greedy_edges": lambda s, d: _policy_edges(s, d, True).select("from_id", "slot", "to_id", "prob"),
         "confidence_update": lambda s, d: state_of(graph(s, d)).select("from_id", "to_id", V.next_confidence(F.col("prob"), F.col("confidence")).alias("confidence")),
+        "edge_confidence": lambda s, d: E.with_confidence(graph(s, d), state_of(graph(s, d)).where("(from_id + to_id) % 3 = 0")).select("from_id", "slot", "to_id", "confidence"),
         "freeze_override": lambda s, d: E.score(state_of(graph(s, d)), PATIENCE).select("from_id", "to_id", "prob", "confidence"),
         "edges_pruned": lambda s, d: E.pruned(_evolution(s, d)[0], PATIENCE).select("from_id", "slot", "to_id", "confidence"),
         "edges_promoted": lambda s, d: E.promoted(E.pruned(_evolution(s, d)[0], PATIENCE), _evolution(s, d)[1], DEGREE),
@@ -338,6 +332,7 @@ def queries() -> dict:
         "enterpoint_descent": _entry,
         "reward_max_dcs": lambda s, d: _reward(s, d, lambda b, t, c: V.reward_max_dcs(b, t, c, 1000, 5)),
         "reward_recall": lambda s, d: _reward(s, d, lambda b, t, c: V.reward_recall(b, t)),
+        "reward_none": lambda s, d: _reward(s, d, V.reward_none),
         "reward_weighted_recall": lambda s, d: _reward(s, d, lambda b, t, c: V.reward_weighted_recall(b, t)),
         "recall_at_k": lambda s, d: with_truth(s, d).select("query_id", r6(V.recall(F.col("best_ids"), F.col("truth"), 10)).alias("recall")),
         "ef_sweep": _sweep,
@@ -359,6 +354,7 @@ def queries() -> dict:
         "nsg_roundtrip": lambda s, d: _roundtrip(s, E.adjacency(graph(s, d), role(s, d, "base")), "nsg", width="8", enterpoint="0").select("id", F.posexplode("neighbors").alias("slot", "to_id")),
         "rgba_hex": _colors,
         "graph_plot_tables": _plot,
+        "graph_plot_vertices": _plot_vertices,
         "train_step_ppo": lambda s, d: _train(s, d, training.PPO),
         "train_step_optimized_ppo": lambda s, d: _train(s, d, training.OptimizedPPO),
         "train_step_memory_efficient_ppo": lambda s, d: _train(s, d, training.MemoryEfficientPPO),
@@ -396,6 +392,7 @@ def oracle_sql() -> dict:
         "edge_keep_prob": f"{POLICY} SELECT from_id, slot::INT AS slot, to_id, round(prob, 6) AS prob FROM kept",
         "greedy_edges": f"{POLICY} SELECT from_id, slot::INT AS slot, to_id, (prob > 0.5)::INT::DOUBLE AS prob FROM kept",
         "confidence_update": f"{st} SELECT from_id, to_id, {upd} AS confidence FROM " + step.format("SELECT from_id, to_id, prob AS p, confidence AS c FROM st"),
+        "edge_confidence": f"{st} SELECT from_id, slot::INT AS slot, to_id, CASE WHEN (from_id + to_id) % 3 = 0 THEN confidence ELSE 0.0 END AS confidence FROM st",
         "freeze_override": f"{st} SELECT from_id, to_id, p AS prob, {upd} AS confidence FROM " + step.format("SELECT from_id, to_id, CASE WHEN confidence = 3 THEN 1.1 WHEN confidence = -3 THEN -0.1 ELSE prob END AS p, confidence AS c FROM st"),
         "edges_pruned": f"{EVOLVE} SELECT from_id, slot::INT AS slot, to_id, confidence FROM keep",
         "edges_promoted": f"{EVOLVE} SELECT from_id, slot, to_id, confidence FROM prom",
@@ -410,6 +407,7 @@ def oracle_sql() -> dict:
         "enterpoint_descent": ENTRY + " SELECT query_id, pos AS enter FROM hop WHERE level = 2",
         "reward_max_dcs": b10 + sess.format("query_id, round(len(list_intersect(ids[1:5], truth[1:5])) / 5.0 * greatest(1000 - dcs, 1), 6) AS reward"),
         "reward_recall": b10 + sess.format("query_id, (ids[1] = truth[1])::INT::DOUBLE AS reward"),
+        "reward_none": b10 + sess.format("query_id, 0.0::DOUBLE AS reward"),
         "reward_weighted_recall": b10 + sess.format("query_id, round(CASE WHEN list_contains(truth, ids[1]) THEN pow(0.5, list_position(truth, ids[1]) - 1) ELSE 0.0 END, 6) AS reward"),
         "recall_at_k": b10 + sess.format("query_id, round(len(list_intersect(ids[1:10], truth[1:10])) / 10.0, 6) AS recall"),
         "ef_sweep": beam_sql(", ".join(map(str, WIDTHS)), cap=300) + sess.format("ef, round(avg((ids[1] = truth[1])::INT), 6) AS recall_at_1, round(avg(dcs), 6) AS mean_dcs, round(avg(hops), 6) AS mean_hops") + " GROUP BY ef",
@@ -417,7 +415,7 @@ def oracle_sql() -> dict:
         "session_baseline": f"{SAMPLES}, r AS (SELECT session_index AS query_id, avg(advantage) AS reward FROM samples GROUP BY 1), o AS (SELECT range AS query_id, CASE WHEN reward IS NULL THEN 1.0 ELSE 0.75 + 0.25 * reward END AS value, range >= 45 OR reward IS NOT NULL AS updated FROM range(50) LEFT JOIN r ON r.query_id = range) SELECT query_id, round(value, 6) AS value, updated AND NOT (SELECT bool_and(updated) FROM o) AS updated FROM o",
         "aggregate_samples": f"{SAMPLES}, {AGG} SELECT from_id, to_id, action, round(advantages, 6) AS advantages, freqs FROM agg",
         "gumbel_order": f"{SAMPLES}, {AGG} SELECT from_id, to_id, action, freqs, (row_number() OVER (ORDER BY round(ln(freqs) - ln(-ln(((from_id*7919 + to_id*104729 + action*1299709) % 1000003 + 0.5) / 1000003)), 9) DESC, from_id, to_id, action))::INT AS place FROM agg",
-        "advantage_standardized": f"{SAMPLES} SELECT from_id, to_id, round((advantage - (SELECT avg(advantage) FROM samples)) / ((SELECT stddev_samp(advantage) FROM samples) + 1e-8), 6) AS advantage FROM samples",
+        "advantage_standardized": f"{SAMPLES} SELECT from_id, to_id, round((advantage - avg(advantage) OVER ()) / (stddev_samp(advantage) OVER () + 1e-8), 6) AS advantage FROM samples",
         "ppo_surrogate": f"{SAMPLES}, {LOSS} SELECT round(-sum(freqs * least(exp(lr) * adv, least(greatest(exp(lr), 0.8), 1.2) * adv)) / sum(freqs), 6) AS loss FROM loss",
         "trpo_surrogate": f"{SAMPLES}, {LOSS} SELECT round(-sum(exp(lr) * adv) / sum(freqs), 6) AS loss FROM loss",
         "policy_entropy": f"{SAMPLES} SELECT round(sum(-freqs * (p_new * ln(p_new) + (1-p_new) * ln(1-p_new))) / sum(freqs), 6) AS entropy FROM samples",
@@ -430,6 +428,7 @@ def oracle_sql() -> dict:
         "adjacency_roundtrip": f"{some} SELECT id, CASE WHEN to_id IS NOT NULL THEN (row_number() OVER (PARTITION BY id ORDER BY slot) - 1)::INT END AS slot, to_id FROM base LEFT JOIN part ON from_id = id",
         "nsg_roundtrip": "x AS (SELECT 1) SELECT from_id AS id, slot::INT AS slot, to_id FROM edges",
         "rgba_hex": "x AS (SELECT id, [(id * 7 % 11) / 10.0, (id % 5) / 4.0, 0.25, 1.0]::DOUBLE[] AS c FROM base) SELECT id, '#' || array_to_string(list_transform(c, lambda v: lpad(lower(printf('%x', round_even(v * 255, 0)::BIGINT)), 2, '0')), '') AS color FROM x",
-        "graph_plot_tables": "x AS (SELECT 1) SELECT from_id, to_id, round(a.vec[1], 6) AS x0, round(a.vec[2], 6) AS y0, round(b.vec[1], 6) AS x1, round(b.vec[2], 6) AS y1 FROM edges JOIN base a ON a.id = from_id JOIN base b ON b.id = to_id",
+        "graph_plot_tables": "x AS (SELECT 1) SELECT from_id, to_id, round(a.vec[1], 6) AS x0, round(a.vec[2], 6) AS y0, round(b.vec[1], 6) AS x1, round(b.vec[2], 6) AS y1, '#111111' AS color, CASE WHEN slot < 3 THEN slot + 0.5::DOUBLE ELSE 1.0 END::DOUBLE AS width FROM edges JOIN base a ON a.id = from_id JOIN base b ON b.id = to_id",
+        "graph_plot_vertices": "x AS (SELECT 1) SELECT id, round(vec[1], 6) AS x, round(vec[2], 6) AS y, CASE WHEN id % 3 = 0 THEN '#ff0000' ELSE '#1f77b4' END AS color, 'circle' AS marker, 4.0::DOUBLE AS radius, 0.25::DOUBLE AS alpha, id % 3 AS third FROM base",
     }
     return {k: PRE + v for k, v in sqls.items()}

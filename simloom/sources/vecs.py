@@ -1,5 +1,10 @@
 """Vector and graph files: fvecs, ivecs, adjacency lists (ragged ivecs) and nsg.
 
+Files are written by many tasks: rows are cut into ranges of their ids, the
+sizes of the ranges give each its place, and every range is written there by a
+task, in any order and as often as Spark has to repeat it. The file takes its
+name once all is there.
+
 All are little-endian records of an int32 length and that many 4-byte values;
 nsg has a header of two uint32, the width and the entry point. Records of one
 length are read in parallel by offset; ragged files are indexed by one pass
@@ -11,12 +16,16 @@ from __future__ import annotations
 
 import os
 import struct
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+from simloom.plans import durable, ranks
 
 PART_BYTES = 32 << 20
 
@@ -78,44 +87,6 @@ class _Reader(DataSourceReader):
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(span.first, span.first + len(records))), lists], ["id", self.column])
 
 
-class _Written(WriterCommitMessage):
-    def __init__(self, part: str, size: int):
-        self.part, self.size = part, size
-
-
-class _Writer(DataSourceWriter):
-    """Writes the records of one sorted partition; the driver moves the file into place."""
-
-    def __init__(self, path: str, kind: str, head: bytes):
-        self.path, self.kind, self.head = path, kind, head
-
-    def write(self, rows) -> _Written:
-        part = f"{self.path}.part-{os.getpid()}"
-        n = 0
-        with open(part, "wb") as f:
-            f.write(self.head)
-            for row in rows:
-                values = np.asarray(row[1], self.kind)
-                f.write(struct.pack("<i", len(values)) + values.tobytes())
-                n += 1
-        return _Written(part, n)
-
-    def commit(self, messages) -> None:
-        parts = [m for m in messages if m is not None]
-        full = [m for m in parts if m.size] or parts[:1]
-        if len(full) > 1:
-            raise ValueError("write one partition: coalesce(1) after sorting by id")
-        os.replace(full[0].part, self.path)
-        for m in parts:
-            if os.path.exists(m.part):
-                os.remove(m.part)
-
-    def abort(self, messages) -> None:
-        for m in messages:
-            if m is not None and os.path.exists(m.part):
-                os.remove(m.part)
-
-
 class _Vecs(DataSource):
     kind, column, ragged, width = "<f4", "vec", False, "float"
 
@@ -133,12 +104,6 @@ class _Vecs(DataSource):
         limit = self.options.get("limit")
         return _Reader(self.options["path"], self.kind, self.column, self.ragged, self._head(), int(limit) if limit else None, int(self.options.get("partbytes", PART_BYTES)))
 
-    def writer(self, schema, overwrite) -> _Writer:
-        head = b""
-        if self._head():
-            head = struct.pack("<II", int(self.options["width"]), int(self.options["enterpoint"]))
-        return _Writer(self.options["path"], self.kind, head)
-
 
 class Fvecs(_Vecs):
     """format("fvecs"): id, vec array<float>."""
@@ -170,17 +135,76 @@ def register(spark: SparkSession) -> None:
 
 def nsg_header(path: str) -> dict:
     """width and enterpoint_node of an nsg file."""
-    with open(path, "rb") as f:
+    with open(local(path), "rb") as f:
         width, enter = struct.unpack("<II", f.read(8))
     return {"width": width, "enterpoint_node": enter}
 
 
-def write(df: DataFrame, path: str, form: str, **options) -> None:
-    """Write (id, list) rows in order of id; ids are dense, since files hold none."""
-    register(df.sparkSession)
-    df.select(*df.columns[:2]).repartition(1).sortWithinPartitions(df.columns[0]).write.format(form).options(path=path, **options).mode("append").save()
+def records(lists: pa.Array, kind: str) -> np.ndarray:
+    """The 4-byte words of the records of some lists: each its length and its values."""
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    sizes = np.diff(lists.offsets.to_numpy())
+    begin = np.cumsum(sizes + 1) - sizes - 1
+    out = np.empty(int((sizes + 1).sum()), np.int32)
+    head = np.zeros(len(out), bool)
+    head[begin] = True
+    out[head] = sizes
+    out[~head] = lists.flatten().to_numpy(zero_copy_only=False).astype(kind).view(np.int32)
+    return out
+
+
+def write(df: DataFrame, path: str, form: str, part_bytes: int = PART_BYTES, **options) -> None:
+    """Write (id, list) rows in order of id; ids are dense, since files hold none, and a null list is an empty one.
+
+    ``path`` is on a folder that the driver and all executors share.
+    """
+    source = {c.name(): c for c in (Fvecs, Ivecs, Adjacency, Nsg)}[form]
+    kind, path = source.kind, local(path)
+    head = struct.pack("<II", int(options["width"]), int(options["enterpoint"])) if source is Nsg else b""
+    key, column = df.columns[:2]
+    rows = df.select(F.col(key).alias("id"), F.coalesce(F.col(column), F.array()).alias("list"))
+    n, words = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("list") + 1), F.lit(0))).first()
+    told = ranks.ordered(rows, "id", rows=max(1, part_bytes * n // max(4 * words, 1)))
+    sizes = told.groupBy("_range").agg(F.sum(F.size("list") + 1).alias("words")).orderBy("_range").collect()  # a row for part_bytes
+    at, starts = len(head), []
+    for r in sizes:
+        starts.append((r["_range"], at))
+        at += 4 * r["words"]
+    part = f"{path}.{uuid.uuid4().hex}"
+
+    def place(group: pa.Table) -> pa.Table:
+        group = group.sort_by("_place")
+        out = records(group.column("list"), kind).tobytes()
+        with open(part, "r+b") as f:
+            f.seek(group.column("_at")[0].as_py())
+            f.write(out)
+            f.flush()
+            os.fsync(f.fileno())
+        return pa.table({"n": [len(out)]})
+
+    try:
+        with open(part, "wb") as f:
+            f.write(head)
+            f.truncate(at)
+        first = df.sparkSession.createDataFrame(starts, "_range int, _at long")
+        put = told.join(F.broadcast(first), "_range").groupBy("_range").applyInArrow(place, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        if put + len(head) != at:
+            raise OSError(f"{put} of {at - len(head)} bytes were written to {path}")
+        os.replace(part, path)
+    finally:
+        durable.drop(told)
+        if os.path.exists(part):
+            os.remove(part)
+
+
+def local(path: str) -> str:
+    """A local or mounted path without its scheme."""
+    scheme, found, rest = path.partition(":")
+    if found and scheme != "file" and "/" not in scheme:
+        raise ValueError(f"{path}: vector files are read and written by mounted paths")
+    return "/" + rest.lstrip("/") if found and scheme == "file" else path
 
 
 def read(spark: SparkSession, path: str, form: str, **options) -> DataFrame:
     register(spark)
-    return spark.read.format(form).options(path=path, **options).load()
+    return spark.read.format(form).options(path=local(path), **options).load()

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from simloom.functions import policy, vectors as V
 from simloom.operators import beam, edges as E, knn, learning as L, training
-from simloom.plans import dataset, durable
+from simloom.plans import dataset, durable, ranks
 from simloom.sources import vecs
 
 
@@ -259,7 +259,7 @@ def test_knn_many_ties():
         assert got["vertex_id"].tolist() == sorted(ids[:200])[:5]
 
 
-def test_ragged_lists_and_batches(spark):
+def test_ragged_lists_and_batches(spark, monkeypatch):
     """Vertices of 0 to 5 edges, against plain loops."""
     lists = {i: [(i + j + 1) % 12 for j in range(i % 6)] for i in range(12)}
     edges = spark.createDataFrame([(i, s, t) for i, ts in lists.items() for s, t in enumerate(ts)], "from_id long, slot int, to_id long")
@@ -275,11 +275,8 @@ def test_ragged_lists_and_batches(spark):
                 held += len(t)
                 if held >= size:
                     batch, held = batch + 1, 0
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch_rows)
-        try:
-            got = E.edge_batches(edges, size).select("from_id", "degree", "batch").collect()
-        finally:
-            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        monkeypatch.setattr(ranks, "RANGE_ROWS", batch_rows)
+        got = E.edge_batches(edges, size).select("from_id", "degree", "batch").collect()
         assert sorted(tuple(r) for r in got) == want
     assert not E.edge_batches(edges.limit(0), 7).count()
 

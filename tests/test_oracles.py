@@ -6,7 +6,7 @@ import pytest
 from simloom import registry
 
 DATA = "/root/testdata/sf0.001"
-NAMES = ["session_summary", "graph_edges", "edge_batches", "edge_keep_prob", "freeze_override", "edges_evolved", "beam_search_pruned", "session_samples", "enterpoint_descent", "gumbel_order", "session_baseline", "mean_baseline", "trpo_surrogate", "ppo_surrogate", "graph_export", "nsg_roundtrip", "reward_trailing_mean"]
+NAMES = ["session_summary", "graph_edges", "edge_batches", "edge_keep_prob", "freeze_override", "edges_evolved", "beam_search_pruned", "session_samples", "enterpoint_descent", "gumbel_order", "session_baseline", "mean_baseline", "trpo_surrogate", "ppo_surrogate", "graph_export", "nsg_roundtrip", "reward_trailing_mean", "reward_ewm", "reward_none", "advantage_standardized", "edge_confidence", "graph_plot_tables", "graph_plot_vertices", "adjacency_roundtrip", "fvecs_roundtrip"]
 
 
 def rows(found):
