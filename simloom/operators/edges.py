@@ -11,6 +11,9 @@ from simloom.functions import vectors as V
 from simloom.plans import ranks
 
 
+ORDER = 1000003  # places of the order that candidates are drawn in
+
+
 def degree_stats(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     """n_vertices, n_edges, max_degree, mean_degree, isolated."""
     deg = vertices.select("id").join(edges.groupBy(F.col("from_id").alias("id")).agg(F.count(F.lit(1)).alias("d")), "id", "left")
@@ -55,13 +58,31 @@ def two_hops(edges: DataFrame) -> DataFrame:
 
 def mix(a: Column, b: Column, seed: int) -> Column:
     """A reproducible order of pairs."""
-    return (a.cast("long") * 7919 + b.cast("long") * 104729 + F.lit(seed * 15485863).cast("long")) % 1000003
+    return (a.cast("long") * 7919 + b.cast("long") * 104729 + F.lit(seed * 15485863).cast("long")) % ORDER
 
 
 def virtual_candidates(edges: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """(from_id, slot, to_id): at most ``n`` two-hop candidates a vertex, drawn by hash."""
+    """(from_id, slot, to_id): at most ``n`` two-hop candidates a vertex, drawn by hash; ids aren't negative.
+
+    In the order of :func:`mix` all vertices see the ends of another's edges in
+    one cyclic order, each from a place of its own. So an edge asks its end's
+    list, in that order, for as many as may be among the vertex' first n, which is
+    n and one for each of its neighbours and itself; what lies two hops away of
+    a hub isn't written out.
+    """
+    own = edges.groupBy("from_id").agg((F.count(F.lit(1)) + n + 1).alias("_need"))
+    turn = F.pmod(F.col("to_id").cast("long") * 104729, F.lit(ORDER))
+    lists = edges.groupBy(F.col("from_id").alias("_via")).agg(F.sort_array(F.collect_set(F.struct(turn.alias("b"), F.col("to_id").alias("to_id")))).alias("_near"))
+    asked = edges.select("from_id", F.col("to_id").alias("_via")).distinct().join(own, "from_id").join(lists, "_via")
+    start = F.pmod(-(F.col("from_id").cast("long") * 7919 + F.lit(seed * 15485863).cast("long")), F.lit(ORDER))
+    asked = asked.withColumn("_start", start)
+    asked = asked.withColumn("_before", F.size(F.filter("_near", lambda x: x["b"] < F.col("_start"))))
+    ahead = F.slice("_near", F.col("_before") + 1, F.col("_need").cast("int"))
+    behind = F.slice("_near", F.lit(1), F.least(F.col("_before"), F.greatest(F.col("_need").cast("int") - F.size(ahead), F.lit(0))))
+    far = asked.select("from_id", F.explode(F.transform(F.concat(ahead, behind), lambda x: x["to_id"])).alias("to_id")).where("from_id <> to_id").distinct()
+    far = far.join(edges.select("from_id", "to_id"), ["from_id", "to_id"], "left_anti")
     w = Window.partitionBy("from_id").orderBy(mix(F.col("from_id"), F.col("to_id"), seed), "to_id")
-    return two_hops(edges).withColumn("slot", F.row_number().over(w) - 1).where(F.col("slot") < n).select("from_id", "slot", "to_id")
+    return far.withColumn("slot", F.row_number().over(w) - 1).where(F.col("slot") < n).select("from_id", "slot", "to_id")
 
 
 def pruned(edges: DataFrame, patience: int) -> DataFrame:

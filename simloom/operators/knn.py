@@ -1,13 +1,20 @@
 """Exact nearest neighbours by blocked matrix products.
 
-Vertices and queries are cut into blocks; each pair of blocks is one group whose
-product gives each query's k nearest of the block, and a window over these
-partial answers gives the result. Memory is bounded by the block sizes.
+Vertices that fit one broadcast are scanned by every task. More are dealt to
+cells around sampled centres; a cell's centre and radius bound the distance of
+any query to its rows from below. Each query first scans the nearest cells that
+hold enough rows, which bounds its k-th distance from above, and then those other
+cells that the two bounds leave possible. Cells are cut into tiles of ``TILE``
+bytes and meet tiles of as many queries, so a vector is copied once for each
+tile of queries that asks for its cell, and a task holds two tiles and MEASURED
+distances. The answer doesn't depend on centres or sizes; they decide how much
+is skipped, which in high dimensions without clusters may be nothing.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -15,7 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BASE_BLOCK, QUERY_BLOCK, SMALL, MEASURED = 16384, 1024, 64 << 20, 1 << 16
+from simloom.plans import durable
+
+SMALL, TILE, MOST_CELLS, MEASURED = 64 << 20, 32 << 20, 4096, 1 << 22
 
 
 def _top(q_ids, q, ids, x, k: int, metric: str, skip_self: bool) -> pd.DataFrame:
@@ -34,53 +43,147 @@ def _top(q_ids, q, ids, x, k: int, metric: str, skip_self: bool) -> pd.DataFrame
         keep &= d <= (np.partition(d, k - 1, 1)[:, k - 1] + margin)[:, None]
     rows, cols = np.nonzero(keep)
     near = np.empty(len(rows))
-    for i in range(0, len(rows), MEASURED):  # measured again row by row, so that equal vectors have equal distances
-        a, b = q[rows[i : i + MEASURED]], x[cols[i : i + MEASURED]]
-        near[i : i + MEASURED] = -(a * b).sum(1) if metric == "dot" else ((b - a) ** 2).sum(1)
+    step = max(1, MEASURED // max(x.shape[1], 1))
+    for i in range(0, len(rows), step):  # measured again row by row, so that equal vectors have equal distances
+        a, b = q[rows[i : i + step]], x[cols[i : i + step]]
+        near[i : i + step] = -(a * b).sum(1) if metric == "dot" else ((b - a) ** 2).sum(1)
     order = np.lexsort((ids[cols], near, rows))
     rows, cols, near = rows[order], cols[order], near[order]
     first = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
     return pd.DataFrame({"query_id": q_ids[rows[first]], "vertex_id": ids[cols[first]], "distance": near[first]})
 
 
-def nearest(vertices: DataFrame, queries: DataFrame, k: int = 1, metric: str = "l2", skip_self: bool = False) -> DataFrame:
-    """(query_id, rank, vertex_id, distance), rank from 0; ties go to the smaller vertex id."""
+SCHEMA = "query_id long, vertex_id long, distance double"
+
+
+def _matrix(column) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
+
+
+def _scan(q_ids, q, ids, x, k: int, metric: str, skip_self: bool) -> list[pd.DataFrame]:
+    """Each query's k nearest of some rows, so many queries at a time that MEASURED distances are held."""
+    if not len(q_ids) or not len(ids):
+        return []
+    step = max(1, MEASURED // len(ids))
+    return [_top(q_ids[i : i + step], q[i : i + step], ids, x, k, metric, skip_self) for i in range(0, len(q), step)]
+
+
+def nearest(vertices: DataFrame, queries: DataFrame, k: int = 1, metric: str = "l2", skip_self: bool = False, tile_rows: int | None = None) -> DataFrame:
+    """(query_id, rank, vertex_id, distance), rank from 0; ties go to the smaller vertex id.
+
+    ``tile_rows`` are the rows of a tile where vertices are too many to broadcast; None takes as many as fit TILE bytes.
+    """
     n, width = vertices.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("vec")), F.lit(0))).first()
-    schema = "query_id long, vertex_id long, distance double"
-    vertices = vertices.select("id", F.col("vec").cast("array<double>").alias("vec"))
-    queries = queries.select("id", F.col("vec").cast("array<double>").alias("vec"))
+    vertices = vertices.select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"))
+    queries = queries.select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"))
     if n * width * 8 <= SMALL:  # measured: all vertices fit in one broadcast
-        rows = vertices.toPandas()
-        ids, x = rows["id"].to_numpy(), np.stack(rows["vec"].to_numpy()) if n else np.zeros((0, 1))
-        held = vertices.sparkSession.sparkContext.broadcast((ids, x))
+        rows = vertices.toArrow()
+        held = vertices.sparkSession.sparkContext.broadcast((rows.column("id").to_numpy(), _matrix(rows.column("vec"))))
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, x = held.value
             for batch in batches:
-                q_ids = batch.column("id").to_numpy()
-                if not len(q_ids) or not len(ids):
-                    continue
-                q = batch.column("vec").flatten().to_numpy().reshape(len(q_ids), -1)
-                for i in range(0, len(q), QUERY_BLOCK):
-                    yield pa.RecordBatch.from_pandas(_top(q_ids[i : i + QUERY_BLOCK], q[i : i + QUERY_BLOCK], ids, x, k, metric, skip_self), preserve_index=False)
+                for part in _scan(batch.column("id").to_numpy(), _matrix(batch.column("vec")), ids, x, k, metric, skip_self):
+                    yield pa.RecordBatch.from_pandas(part, preserve_index=False)
 
-        near = queries.mapInArrow(scan, schema)
+        near = queries.mapInArrow(scan, SCHEMA)
     else:
-        base_blocks = -(-n // BASE_BLOCK)
-        query_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-        left = vertices.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(base_blocks))).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-        right = queries.withColumn("q", F.pmod(F.xxhash64("id"), F.lit(query_blocks)).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(base_blocks - 1).cast("long"))))
-
-        def pair(xs: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
-            if not len(xs) or not len(qs):
-                return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vertex_id": np.zeros(0, np.int64), "distance": np.zeros(0)})
-            return _top(qs["id"].to_numpy(), np.stack(qs["vec"].to_numpy()), xs["id"].to_numpy(), np.stack(xs["vec"].to_numpy()), k, metric, skip_self)
-
-        near = left.groupBy("b", "q").cogroup(right.groupBy("b", "q")).applyInPandas(pair, schema)
+        cells = Cells.of(vertices, n, width, tile_rows)
+        first = durable.table(cells.routed(queries, k + skip_self), "routed")
+        found = durable.table(cells.scanned(first, k, metric, skip_self), "near")
+        worst = found.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vertex_id"))).where(F.col("r") == k).select(F.col("query_id").alias("id"), F.col("distance").alias("worst"))
+        more = cells.routed(first.join(worst, "id", "left"), None, metric)
+        near = found.unionByName(cells.scanned(durable.table(more, "routed"), k, metric, skip_self))
     ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vertex_id")) - 1)
     return ranked.where(F.col("rank") < k).select("query_id", "rank", "vertex_id", "distance")
 
 
+@dataclass
+class Cells:
+    """Vertices (id, vec, cell) as a written table, with the centre, radius and number of rows of each cell."""
+
+    vertices: DataFrame
+    centres: np.ndarray
+    radius: np.ndarray
+    rows: np.ndarray
+    tile: int
+
+    @classmethod
+    def of(cls, vertices: DataFrame, n: int, width: int, tile_rows: int | None = None) -> "Cells":
+        tile = tile_rows or max(256, TILE // (8 * max(width, 1)))
+        count = min(MOST_CELLS, 2 * -(-n // tile))
+        chosen = vertices.where(F.pmod(F.xxhash64("id", F.lit(17)), F.lit(n)) < count).select("vec").toArrow()  # about count rows
+        centres = _matrix(chosen.column("vec")) if chosen.num_rows else np.zeros((1, width))
+        centres = centres[np.isfinite(centres).all(1)] if np.isfinite(centres).all(1).any() else np.zeros((1, width))
+
+        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                d = _far(_matrix(batch.column("vec")), centres) if batch.num_rows else np.zeros((0, 1))
+                cell = d.argmin(1)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(d[np.arange(len(d)), cell])], ["id", "vec", "cell", "r"])
+
+        table = durable.table(vertices.mapInArrow(deal, "id long, vec array<double>, cell int, r double"), "cells")
+        radius, rows = np.zeros(len(centres)), np.zeros(len(centres), np.int64)
+        for r in table.groupBy("cell").agg(F.max("r").alias("r"), F.count(F.lit(1)).alias("n")).collect():  # MOST_CELLS rows
+            radius[r["cell"]], rows[r["cell"]] = r["r"], r["n"]
+        return cls(table, centres, radius, rows, tile)
+
+    def routed(self, queries: DataFrame, enough: int | None, metric: str = "l2") -> DataFrame:
+        """(id, vec, cells) of the cells that each query scans.
+
+        With ``enough`` these are the nearest that hold so many rows; without, all
+        others that may hold a row nearer than ``worst``, of ``queries`` (id, vec, cells, worst).
+        """
+        centres, radius, rows = self.centres, self.radius, self.rows
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                q = _matrix(batch.column("vec"))
+                if not len(q):
+                    continue
+                d = _far(q, centres)
+                if enough is not None:
+                    order = d.argsort(1)
+                    held = np.cumsum(rows[order], 1)
+                    told = [o[: int(np.searchsorted(h, enough)) + 1] for o, h in zip(order, held, strict=True)]
+                else:
+                    slack = 1e-9 * (1 + d + radius)
+                    low = -(q @ centres.T) - np.sqrt((q * q).sum(1))[:, None] * radius - slack * (1 + np.abs(q).max(1))[:, None] if metric == "dot" else np.maximum(d - radius - slack, 0) ** 2
+                    worst = batch.column("worst").to_numpy(zero_copy_only=False).astype(float)
+                    open_ = ~(low > worst[:, None]) & (rows > 0)  # an unknown bound skips nothing
+                    for i, seen in enumerate(batch.column("cells").to_pylist()):
+                        open_[i, seen] = False
+                    told = [np.flatnonzero(o) for o in open_]
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("vec"), pa.array([t.astype(np.int32) for t in told], pa.list_(pa.int32()))], ["id", "vec", "cells"])
+
+        return queries.mapInArrow(run, "id long, vec array<double>, cells array<int>")
+
+    def scanned(self, routed: DataFrame, k: int, metric: str, skip_self: bool) -> DataFrame:
+        """(query_id, vertex_id, distance): each query's k nearest of every tile that it scans."""
+        asked = routed.select("id", "vec", F.explode("cells").alias("cell"))
+        demand = {r["cell"]: r["n"] for r in asked.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # MOST_CELLS rows
+        parts = [(i, max(1, -(-int(n) // self.tile)), max(1, -(-demand.get(i, 0) // self.tile))) for i, n in enumerate(self.rows) if i in demand]
+        cut = F.broadcast(routed.sparkSession.createDataFrame(parts, "cell int, tiles int, turns int"))
+        every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+        own = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int")
+        left = self.vertices.join(cut, "cell").select("id", "vec", "cell", own("tiles").alias("tile"), every("turns").alias("turn"))
+        right = asked.join(cut, "cell").select("id", "vec", "cell", own("turns").alias("turn"), every("tiles").alias("tile"))
+
+        def pair(xs: pa.Table, qs: pa.Table) -> pa.Table:
+            found = _scan(qs.column("id").to_numpy(), _matrix(qs.column("vec")), xs.column("id").to_numpy(), _matrix(xs.column("vec")), k, metric, skip_self) if xs.num_rows and qs.num_rows else []
+            parts = [pa.Table.from_pandas(f, preserve_index=False) for f in found]
+            return pa.concat_tables(parts) if parts else pa.table({"query_id": pa.array([], pa.int64()), "vertex_id": pa.array([], pa.int64()), "distance": pa.array([], pa.float64())})
+
+        keys = ["cell", "tile", "turn"]
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(pair, SCHEMA)
+
+
+def _far(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Euclidean distances of rows and centres."""
+    return np.sqrt(np.maximum((x * x).sum(1)[:, None] - 2 * x @ c.T + (c * c).sum(1)[None], 0))
+
+
 def knn_graph(vertices: DataFrame, degree: int = 8, metric: str = "l2") -> DataFrame:
     """edges(from_id, slot, to_id): each vertex' nearest others, nearest first."""
     return nearest(vertices, vertices, degree, metric, skip_self=True).select(F.col("query_id").alias("from_id"), F.col("rank").alias("slot"), F.col("vertex_id").alias("to_id"))

@@ -124,17 +124,44 @@ def test_searches_agree(spark):
     assert jobs[1] - jobs[0] <= 2 * 4
 
 
-def test_blocked_knn(spark, monkeypatch):
+@pytest.mark.parametrize("metric", ["l2", "dot"])
+def test_cells_of_knn(spark, monkeypatch, metric):
+    """Cells and tiles give what one scan gives, ties and a hot vector included; clusters leave most cells unscanned."""
     rng = np.random.default_rng(1)
-    x = rng.normal(size=(60, 4))
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
-    whole = sorted(map(tuple, knn.nearest(df, df, 3, skip_self=True).select("query_id", "rank", "vertex_id").collect()))
-    for name, value in (("SMALL", 0), ("BASE_BLOCK", 16), ("QUERY_BLOCK", 10)):
+    x = np.concatenate([rng.normal(size=(60, 4)), np.repeat(rng.normal(size=(1, 4)), 30, 0), rng.normal(size=(400, 4)) * 0.01 + rng.normal(size=(8, 4)).repeat(50, 0) * 9])
+    df = durable.table(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>"), "x")
+    rows = lambda k, skip: sorted(map(tuple, knn.nearest(df, df, k, metric, skip, tile_rows=20).select("query_id", "rank", "vertex_id").collect()))
+    whole = {(k, skip): rows(k, skip) for k, skip in ((3, True), (1, False))}
+    d = -(x @ x.T) if metric == "dot" else ((x[:, None] - x[None]) ** 2).sum(2)
+    if metric == "l2":
+        np.fill_diagonal(d, np.inf)
+        assert [v for _, _, v in whole[3, True]] == np.argsort(d, 1, kind="stable")[:, :3].ravel().tolist()
+    for name, value in (("SMALL", 0), ("MEASURED", 300)):
         monkeypatch.setattr(knn, name, value)
-    assert sorted(map(tuple, knn.nearest(df, df, 3, skip_self=True).select("query_id", "rank", "vertex_id").collect())) == whole
-    d = ((x[:, None] - x[None]) ** 2).sum(2)
-    np.fill_diagonal(d, np.inf)
-    assert [v for _, _, v in whole] == d.argsort(1)[:, :3].ravel().tolist()
+    assert {(k, skip): rows(k, skip) for k, skip in whole} == whole
+    assert len(rows(1000, True)) == 490 * 489
+    if metric == "l2":
+        cells = knn.Cells.of(df, len(x), 4, 20)
+        first = cells.routed(df.where("id >= 90"), 4)
+        near = cells.routed(first.withColumn("worst", F.lit(0.01)), None)
+        met = near.agg(F.avg(F.size("cells"))).first()[0]
+        assert len(cells.centres) > 10 and met < len(cells.centres) / 2
+
+
+def test_candidates_of_a_hub(spark):
+    """As drawn from all that lies two hops away, with a vertex of degree 2,000 that most others know."""
+    rng = np.random.default_rng(6)
+    n = 2001
+    lists = {0: list(range(1, n))} | {i: [0, *rng.choice(n, 3).tolist()] for i in range(1, 400)}
+    edges = spark.createDataFrame([(i, s, int(v)) for i, near in lists.items() for s, v in enumerate(near)], "from_id long, slot int, to_id long")
+    for seed in (0, 5):
+        got = {}
+        for r in E.virtual_candidates(edges, 6, seed).collect():
+            got.setdefault(r["from_id"], []).append((r["slot"], r["to_id"]))
+        for i, near in lists.items():
+            far = {w for v in near for w in lists.get(v, [])} - {i, *near}
+            want = sorted(far, key=lambda w: ((i * 7919 + w * 104729 + seed * 15485863) % 1000003, w))[:6]
+            assert sorted(got.get(i, [])) == list(enumerate(want))
 
 
 def test_confidence_grid(spark):
