@@ -7,14 +7,16 @@ name once all is there.
 
 All are little-endian records of an int32 length and that many 4-byte values;
 nsg has a header of two uint32, the width and the entry point. Records of one
-length are read in parallel by offset; ragged files are indexed by one pass
-over the lengths and then read in parallel. Paths are local or mounted; files in
-other stores can be read with Spark's binaryFile source and ``parse_records``.
+length are read in parallel by offset. Where the records of a ragged file begin
+is found in parallel, too: each piece of the file tells for its first words where
+a record that begins there, and all that follow, leave the piece, and how many
+they are; the driver follows these from piece to piece. Paths are local or mounted.
 """
 
 from __future__ import annotations
 
 import os
+import shutil
 import struct
 import uuid
 from collections.abc import Iterator
@@ -49,10 +51,12 @@ def parse_records(raw: bytes, kind: str) -> list[np.ndarray]:
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, path: str, kind: str, column: str, ragged: bool, head: int, limit: int | None, part: int):
-        self.path, self.kind, self.column, self.ragged, self.head, self.limit, self.part = path, kind, column, ragged, head, limit, part
+    def __init__(self, path: str, kind: str, column: str, ragged: bool, head: int, limit: int | None, part: int, spans: str | None = None):
+        self.path, self.kind, self.column, self.ragged, self.head, self.limit, self.part, self.spans = path, kind, column, ragged, head, limit, part, spans
 
     def partitions(self) -> list[Span]:
+        if self.spans:
+            return [Span(*map(int, s)) for s in np.load(self.spans)]
         size = os.path.getsize(self.path)
         if size <= self.head:
             return [Span(self.head, 0, 0)]
@@ -102,7 +106,7 @@ class _Vecs(DataSource):
 
     def reader(self, schema) -> _Reader:
         limit = self.options.get("limit")
-        return _Reader(self.options["path"], self.kind, self.column, self.ragged, self._head(), int(limit) if limit else None, int(self.options.get("partbytes", PART_BYTES)))
+        return _Reader(self.options["path"], self.kind, self.column, self.ragged, self._head(), int(limit) if limit else None, int(self.options.get("partbytes", PART_BYTES)), self.options.get("spans"))
 
 
 class Fvecs(_Vecs):
@@ -205,6 +209,67 @@ def local(path: str) -> str:
     return "/" + rest.lstrip("/") if found and scheme == "file" else path
 
 
-def read(spark: SparkSession, path: str, form: str, **options) -> DataFrame:
+def ways_out(words: np.ndarray, begin: int, first: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each of the ``first`` words of a piece: where the records from there on leave it, and their number; -1 where a length is negative.
+
+    ``words`` begin at word ``begin`` of the file. Ways are doubled until all have left.
+    """
+    n = len(words)
+    out = np.where(words < 0, -1, np.arange(n) + 1 + words.astype(np.int64))
+    count = np.ones(n, np.int32)
+    while len(inside := np.flatnonzero((out >= 0) & (out < n))):
+        at = out[inside]
+        out[inside], count[inside] = out[at], count[inside] + count[at]
+    return np.where(out < 0, -1, out + begin)[:first], count[:first]
+
+
+def find_records(spark: SparkSession, path: str, head: int, part: int = PART_BYTES, first: int = 1 << 16) -> np.ndarray:
+    """(offset, bytes, number of the first record) of pieces of whole records of a ragged file."""
+    piece, total = max(1, part // 4), (os.path.getsize(path) - head) // 4
+    pieces = -(-total // piece)
+    folder = f"{local(durable.shared_dir(spark))}/simloom/ways-{uuid.uuid4().hex}"
+    os.makedirs(folder)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in batch.column("id").to_pylist():
+                words = np.fromfile(path, "<i4", piece, offset=head + 4 * i * piece)
+                out, count = ways_out(words, i * piece, first)
+                for name, x in (("out", out.astype(np.int64)), ("count", count)):
+                    own = f"{folder}/{i}.{name}.{uuid.uuid4().hex}"  # a task may run twice
+                    x.tofile(own)
+                    os.replace(own, f"{folder}/{i}.{name}")
+                yield pa.RecordBatch.from_arrays([pa.array([i])], ["id"])
+
+    spark.range(0, pieces, 1, min(pieces, 4 * spark.sparkContext.defaultParallelism)).mapInArrow(run, "id long").count()
+    at, n, spans = 0, 0, []
+    with open(path, "rb") as f:
+        while at < total:
+            i, start, number = at // piece, at, n
+            if at - i * piece < first:
+                out, count = (int(np.fromfile(f"{folder}/{i}.{name}", kind, 1, offset=(at - i * piece) * np.dtype(kind).itemsize)[0]) for name, kind in (("out", np.int64), ("count", np.int32)))
+            else:  # a record reaches so far into the piece: its others are followed one by one
+                out, count = at, 0
+                while out < min((i + 1) * piece, total):
+                    f.seek(head + 4 * out)
+                    out, count = out + 1 + struct.unpack("<i", f.read(4))[0], count + 1
+            if out > total or out <= at:
+                raise ValueError(f"{path}: the record at byte {head + 4 * at} is broken")
+            at, n = out, n + count
+            spans.append((head + 4 * start, 4 * (at - start), number))
+    shutil.rmtree(folder)
+    return np.array(spans, np.int64).reshape(-1, 3)
+
+
+def read(spark: SparkSession, path: str, form: str, limit: int | str | None = None, **options) -> DataFrame:
+    """(id, list) of a file, of its first ``limit`` records where that is given."""
     register(spark)
-    return spark.read.format(form).options(path=local(path), **options).load()
+    path, source, part = local(path), {c.name(): c for c in (Fvecs, Ivecs, Adjacency, Nsg)}[form], int(options.get("partbytes", PART_BYTES))
+    head = 8 if source is Nsg else 0
+    if source.ragged and os.path.getsize(path) - head > part:
+        told = f"{local(durable.shared_dir(spark))}/simloom/spans-{uuid.uuid4().hex}.npy"
+        os.makedirs(os.path.dirname(told), exist_ok=True)
+        np.save(told, find_records(spark, path, head, part))
+        rows = spark.read.format(form).options(path=path, spans=told, **options).load()
+        return rows if limit is None else rows.where(F.col("id") < int(limit))
+    return spark.read.format(form).options(path=path, **options, **({} if limit is None else {"limit": str(limit)})).load()

@@ -72,6 +72,27 @@ def test_files_of_many_tasks(spark, tmp_path):
         vecs.write(frame, "hdfs://x/y", "adjacency")
 
 
+def test_records_of_a_ragged_file(spark, tmp_path):
+    """Pieces of a few words find the records that one walk finds: empty and long lists, ids that look like lengths, a header, a limit."""
+    lists = [RNG.integers(0, 9, int(n)).tolist() for n in RNG.integers(0, 7, 300)]
+    lists[17], lists[40:60], lists[-1] = list(range(200)), [[]] * 20, []
+    plain = b"".join(struct.pack(f"<i{len(v)}i", len(v), *v) for v in lists)
+    for head, form in ((b"", "adjacency"), (struct.pack("<II", 7, 2), "nsg")):
+        path = tmp_path / form
+        path.write_bytes(head + plain)
+        for part, first in ((4, 1), (64, 3), (64, 16), (400, 100), (1 << 20, 1 << 16)):
+            spans = vecs.find_records(spark, str(path), len(head), part, first)
+            assert spans[0].tolist()[::2] == [len(head), 0] and (spans[1:, 0] == spans[:-1, 0] + spans[:-1, 1]).all() and spans[-1, :2].sum() == len(head + plain)
+            assert [v.tolist() for o, n, i in spans for v in vecs.parse_records((head + plain)[o : o + n], "<i4")] == lists
+            assert all(len(vecs.parse_records((head + plain)[o : o + n], "<i4")) == j - i for (o, n, i), j in zip(spans.tolist(), [*spans[1:, 2].tolist(), 300], strict=True))
+        got = vecs.read(spark, str(path), form, partbytes="64")
+        assert got.rdd.getNumPartitions() > 10 and sorted(map(tuple, got.collect())) == list(enumerate(lists))
+        assert sorted(map(tuple, vecs.read(spark, str(path), form, partbytes="64", limit=45).collect())) == list(enumerate(lists))[:45]
+    (tmp_path / "broken").write_bytes(plain[:-8])
+    with pytest.raises(ValueError, match="broken"):
+        vecs.find_records(spark, str(tmp_path / "broken"), 0, 64)
+
+
 @pytest.mark.parametrize("metric", ["l2", "dot"])
 def test_descent(spark, monkeypatch, metric):
     """Both ways of walking down, against a plain walk; ties go to the smaller id."""
