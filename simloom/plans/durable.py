@@ -83,6 +83,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(at)
 
 
+def changed(spark: SparkSession, path: str) -> int:
+    """When a file or folder was last changed."""
+    fs, at = _fs(spark, path)
+    return fs.getFileStatus(at).getModificationTime()
+
+
 MANIFEST = "_complete"
 
 
