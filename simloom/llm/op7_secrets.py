@@ -2,27 +2,37 @@
 
 The patterns give the base spans, found leftmost and without overlap for each
 kind. The battery looks at all other runs of 20 or more characters of
-[A-Za-z0-9+/_-] with letters and digits. Each is read in the smallest encoding
-that holds it (hex, base32, base36, base62, base64) and gets three tests of
-the hypothesis that its symbols are drawn at random: chi-squared uniformity
-over the alphabet (symbols pooled so that each cell expects five, hence as fine
-as the length allows), the runs test about the alphabet's middle, and lag-one
-serial correlation. Fisher's method combines them. Among the tokens of each
-length band (powers of two) Benjamini-Hochberg at level ``FDR`` rejects
-randomness, so of the tokens dismissed as ordinary at most that share is
-expected to be random; the others are reported as ``random_<encoding>``.
+[A-Za-z0-9+/_-]. Each is read in the smallest encoding that holds it (decimal,
+hex, one or two cases of letters, base32, base36, base62, base64) and gets three
+tests of the hypothesis that its symbols are drawn at random: chi-squared
+uniformity over the alphabet (symbols pooled so that each cell expects five,
+hence as fine as the length allows), the runs test about the alphabet's middle,
+and lag-one serial correlation, combined by Fisher's method. A fourth, serial,
+test takes the opposite hypothesis, that the token is ordinary: by how much pairs of
+neighbouring letters and digits are likelier when drawn at random than in the
+corpus' own words of up to 19 characters. A likelihood ratio of r has a p-value
+of 1/r at most, whatever the length.
+
+Among the tokens of each length band (powers of two) Benjamini-Hochberg at level
+``FDR`` rejects the ordinary, so of the tokens reported at most that share is
+expected to be ordinary; and it rejects the random among the three other tests,
+which dismisses patterns. Reported are, as ``random_<encoding>``, tokens for
+which the first is rejected and the second is not.
 
 Native: DataFrame functions only. A text is cut at a pattern's matches, so
-positions are sums of lengths of pieces, in code points. The only broadcast
-table has one row for each length band and cell of the p-value grid.
+positions are sums of lengths of pieces, in code points. Broadcast are limits of
+one row for each length band; the driver holds the counts of 36 x 37 pairs.
 
 Defined results: a null text is an empty one, without spans. Added spans that
-touch a base span are left out. Repeated rows give repeated results and a null
+touch a base span are left out. Where the corpus has no words, all pairs are
+equally likely and nothing is reported beyond the base spans. Repeated rows give repeated results and a null
 doc_id is kept. Texts of any length are read whole. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,15 +42,19 @@ from simloom.plans import durable
 ASSIGN = "((?i:password|passwd|secret|token|api_?key))[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 ACCESS = "AKIA[A-Z0-9]{12,}"  # the runs AKIA[A-Z0-9]+ of 16 or more
 HEX = "[0-9a-f]{32,}"  # the runs [0-9a-f]+ of 32 or more
-TOKEN = "(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{20,}+"
+TOKEN = "(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+"
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
-ENCODINGS = {
-    "hex": ("^([0-9a-f]+|[0-9A-F]+)$", "0123456789abcdef", True),
-    "base32": ("^[A-Z2-7]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", False),
-    "base36": ("^([0-9a-z]+|[0-9A-Z]+)$", "0123456789abcdefghijklmnopqrstuvwxyz", True),
-    "base62": ("^[0-9A-Za-z]+$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", False),
-    "base64": ("^.+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", False),
+ENCODINGS = {  # pattern, alphabet, whether case doesn't count, letters and digits when it doesn't
+    "base10": ("^[0-9]+$", "0123456789", False, 10),
+    "hex": ("^([0-9a-f]+|[0-9A-F]+)$", "0123456789abcdef", True, 16),
+    "base26": ("^([a-z]+|[A-Z]+)$", "abcdefghijklmnopqrstuvwxyz", True, 26),
+    "base32": ("^[A-Z2-7]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", False, 32),
+    "base36": ("^([0-9a-z]+|[0-9A-Z]+)$", "0123456789abcdefghijklmnopqrstuvwxyz", True, 36),
+    "base52": ("^[A-Za-z]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", False, 26),
+    "base62": ("^[0-9A-Za-z]+$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", False, 36),
+    "base64": ("^.+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", False, 36),
 }
+SYMBOLS, LONGEST, FLOOR, PRIOR = "0123456789abcdefghijklmnopqrstuvwxyz", 19, 0.1, 0.1  # of the model of ordinary pairs
 FDR, GRID = 0.05, 64  # GRID cells for each factor e of the p-value
 
 SPAN = "array<struct<start:int,rank:int,end:int,kind:string>>"
@@ -87,7 +101,7 @@ def with_randomness(tokens: DataFrame, token: str = "token") -> DataFrame:
     t = F.col(token)
     encoding, alphabet, shown = F.lit("base64"), F.lit(ENCODINGS["base64"][1]), F.translate(t, "-_", "+/")
     for name in list(ENCODINGS)[-2::-1]:
-        pattern, letters, fold = ENCODINGS[name]
+        pattern, letters, fold, _ = ENCODINGS[name]
         encoding = F.when(t.rlike(pattern), F.lit(name)).otherwise(encoding)
         alphabet = F.when(t.rlike(pattern), F.lit(letters)).otherwise(alphabet)
         shown = F.when(t.rlike(pattern), F.lower(t) if fold else t).otherwise(shown)
@@ -124,16 +138,59 @@ def with_randomness(tokens: DataFrame, token: str = "token") -> DataFrame:
     return df.drop(*(c for c in df.columns if c.startswith("_")))
 
 
-def random_tokens(tokens: DataFrame, fdr: float = FDR) -> DataFrame:
-    """The rows of ``tokens`` (with log_p and token) whose randomness isn't rejected."""
-    cell = F.floor(-F.col("log_p") * GRID).cast("long")
-    banded = tokens.withColumn("band", F.floor(F.log2(F.length("token"))).cast("int")).withColumn("cell", F.least(cell, F.lit(700 * GRID)))
-    counts = banded.groupBy("band", "cell").count()
+def ordinary_pairs(texts: DataFrame) -> list[float]:
+    """Log likelihood of each pair of SYMBOLS in the words of column ``text``, after the first of them, row by row.
+
+    Words may go on in one another, as in names, so the end of a word counts only
+    after a digit: longer numbers are less likely. A share FLOOR is uniform.
+    """
+    words = texts.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))).alias("word")).where(F.length("word").between(2, LONGEST))
+    counted = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    at = counted.withColumn("i", F.explode(F.sequence(F.lit(1), F.length("word"))))
+    pairs = at.groupBy(F.substr("word", F.col("i"), F.lit(1)).alias("a"), F.substr("word", F.col("i") + 1, F.lit(1)).alias("b")).agg(F.sum("n").alias("n"))
+    n = {(r["a"], r["b"]): r["n"] for r in pairs.collect()}  # 36 x 37 rows at most
+    out = []
+    for a in SYMBOLS:
+        told = {b: n.get((a, b), 0) + PRIOR for b in SYMBOLS}
+        total = sum(told.values()) + (n.get((a, ""), 0) if a.isdigit() else 0)
+        out += [math.log((1 - FLOOR) * told[b] / total + FLOOR / len(SYMBOLS)) for b in SYMBOLS]
+    return out
+
+
+def with_ordinariness(tokens: DataFrame, pairs: list[float], token: str = "token") -> DataFrame:
+    """``tokens`` (with encoding) with log_ordinary: the log p-value of the token under the model of ordinary ``pairs``."""
+    chars = F.filter(F.split(F.lower(F.col(token)), ""), lambda c: c != "")
+    df = tokens.withColumn("_x", F.transform(chars, lambda c: F.instr(F.lit(SYMBOLS), c) - 1))
+    both = F.arrays_zip(F.slice("_x", 1, F.size("_x") - 1).alias("a"), F.slice("_x", 2, F.size("_x") - 1).alias("b"))
+    size = F.lit(0.0)
+    for name, (*_, k) in ENCODINGS.items():
+        size = F.when(F.col("encoding") == name, F.lit(math.log(k))).otherwise(size)
+    table = F.array(*map(F.lit, pairs))
+    one = lambda v: F.when((v["a"] >= 0) & (v["b"] >= 0), F.get(table, v["a"] * len(SYMBOLS) + v["b"]) + F.col("_k")).otherwise(F.lit(0.0))
+    ratio = F.aggregate(F.transform(both, one), F.lit(0.0), lambda s, v: s + v)
+    return df.withColumn("_k", size).withColumn("log_ordinary", F.least(F.lit(0.0), ratio)).drop("_x", "_k")
+
+
+def _rejected(tokens: DataFrame, log_p: str, fdr: float) -> DataFrame:
+    """(band, limit): the cell of the p-value grid from which on Benjamini-Hochberg rejects in each band; null if nowhere."""
+    counts = tokens.groupBy("band", _cell(log_p).alias("cell")).count()
     w = Window.partitionBy("band")
     below = F.sum("count").over(w.orderBy(F.desc("cell")))  # tokens with a p-value no larger
     ranked = counts.withColumn("met", F.exp(-F.col("cell") / GRID) <= fdr * below / F.sum("count").over(w))
-    limit = ranked.groupBy("band").agg(F.min(F.when(F.col("met"), F.col("cell"))).alias("limit"))
-    return banded.join(F.broadcast(limit), "band").where(F.col("limit").isNull() | (F.col("cell") < F.col("limit"))).drop("band", "cell", "limit")
+    return ranked.groupBy("band").agg(F.min(F.when(F.col("met"), F.col("cell"))).alias("limit"))
+
+
+def _cell(log_p: str) -> Column:
+    return F.least(F.floor(-F.col(log_p) * GRID).cast("long"), F.lit(700 * GRID))
+
+
+def random_tokens(tokens: DataFrame, fdr: float = FDR) -> DataFrame:
+    """The rows of ``tokens`` (with log_p, log_ordinary and token) that are not ordinary, but may be random."""
+    banded = tokens.withColumn("band", F.floor(F.log2(F.length("token"))).cast("int"))
+    odd, patterned = (_rejected(banded, c, fdr).withColumnRenamed("limit", c2) for c, c2 in (("log_ordinary", "_odd"), ("log_p", "_patterned")))
+    both = banded.join(F.broadcast(odd), "band").join(F.broadcast(patterned), "band")
+    kept = (_cell("log_ordinary") >= F.col("_odd")) & (F.col("_patterned").isNull() | (_cell("log_p") < F.col("_patterned")))
+    return both.where(kept).drop("band", "_odd", "_patterned")
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -142,7 +199,7 @@ def scan(docs: DataFrame) -> DataFrame:
     same = F.xxhash64("text")
     cut = rows.where(F.col("text").rlike(TOKEN)).select("doc_id", same.alias("text_key"), "text", F.explode(_matches(F.col("text"), TOKEN, "", 3, F.lit(True))).alias("_s"))
     cut = cut.select("doc_id", "text_key", F.col("_s.start").alias("start"), F.col("_s.end").alias("end"), F.substring(F.col("text"), F.col("_s.start") + 1, F.col("_s.end") - F.col("_s.start")).alias("token")).distinct()
-    tested = durable.table(with_randomness(cut), "tokens")
+    tested = durable.table(with_ordinariness(with_randomness(cut), ordinary_pairs(rows.select("text"))), "tokens")
     added = random_tokens(tested).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct(F.col("start"), F.lit(3).alias("rank"), F.col("end"), F.concat(F.lit("random_"), F.col("encoding")).alias("kind"))).alias("_added"))
     added = added.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_text"), "_added")
     folded = rows.withColumn("lowered", F.lower("text"))  # a step of its own, so that it is worked out once

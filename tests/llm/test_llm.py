@@ -293,6 +293,31 @@ def test_secrets(spark):
     assert [(s["start"], s["end"], s["kind"]) for s in out[5]["spans"]] == [(4, 54, "random_base62")]
 
 
+def test_secret_reports(spark):
+    """Of planted random keys of all encodings nine tenths are found; of ordinary names, slugs, paths and numbers a twentieth is reported at most."""
+    rng = np.random.default_rng(12)
+    some = "the of and river mountain account service number window customer yellow summer people question market history between because through village order invoice payment holder index table local share user value get set new small house garden".split()
+    draw = lambda abc, n: "".join(rng.choice(list(abc), n))
+    low, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    kinds = {"base62": digits + low + low.upper(), "base64": digits + low + low.upper() + "+/", "hex": "0123456789abcdef", "base26": low, "base10": digits, "base36": digits + low, "base52": low + low.upper()}
+    keys = {k: [draw(abc, n) for n in (24, 28, 31) for _ in range(20)] for k, abc in kinds.items()}
+    pick = lambda n: list(rng.choice(some, n))
+    names = ["".join(w.capitalize() for w in pick(4)) + str(rng.integers(1, 2030)) for _ in range(150)]
+    names += ["-".join(pick(5)) for _ in range(150)] + ["/".join(["usr", *pick(5)]) for _ in range(150)] + ["_".join(pick(4)) + "_v2" for _ in range(150)] + ["".join(pick(5)) for _ in range(150)]
+    names = [n for n in dict.fromkeys(names) if len(n) >= 20]
+    patterns = ["ab" * 15, "-" * 30, "1234567890" * 3, "a" * 25, "abcdefghijklmnopqrstuvwxyz"]
+    prose = [" ".join(pick(300)) + f" in {rng.integers(1, 2030)}" for _ in range(60)]
+    planted = [k for v in keys.values() for k in v] + names + patterns
+    texts = prose + [f"{' '.join(pick(8))} {t} {' '.join(pick(8))}" for t in planted]
+    told = {}
+    for r in op7_secrets.scan(frame(spark, texts)).collect():
+        t = texts[r["doc_id"]]
+        told |= {t[s["start"] : s["end"]]: s["kind"] for s in r["spans"] if s["rank"] == 3}
+    for kind, v in keys.items():
+        assert sum(k in told for k in v) >= 0.9 * len(v), kind
+    assert sum(n in told for n in names) <= 0.05 * len(names) and not set(patterns) & set(told)
+
+
 def test_randomness_tests(spark):
     rng = np.random.default_rng(6)
     good = ["".join(rng.choice(list("0123456789abcdef"), 64)) for _ in range(50)]
