@@ -22,12 +22,14 @@ equal sets share a representative).
    several classes, the join recurs with PIVOTS new pivots for the rest of it, and
    each member keeps its distances to all pivots of the region, so windows grow
    narrower in every level; a member near the bound of several windows takes
-   part in each. New pivots are central members, which share most shingles
-   with most, so that many of a group of near copies are within R of one. Each
-   pair is met in the region of its first shared shingle.
+   part in each. New pivots are in turn central members, which share most shingles
+   with most, so that many of a group of near copies are within R of one, those of
+   the smaller classes, and any members of the largest class. After three
+   levels that linked less than a PROGRESS-th of what they asked, pairs are
+   compared instead. Each pair is met in the region of its first shared shingle.
    What is left is compared pair by pair inside its windows: first by counts of
-   shingles in at most COARSE cells, then in about as many cells as half the
-   shingles, whose L1 distance can't exceed that of the sets, then by whole texts.
+   shingles in at most COARSE cells, then, where both sets are larger, in about as
+   many cells as half the shingles, whose L1 distance can't exceed that of the sets, then by whole texts.
 
 Nothing is dropped on the way: pivots and orders only decide which pairs need
 no verification. The order's list of frequent shingles holds at most
@@ -57,7 +59,7 @@ from simloom.plans import durable
 LINK, R = 75, 0.25  # per cent; the same as a distance
 COARSE, CELLS = 256, 1 << 16
 BUCKET_ROWS, HELD_ROWS, PACKED_ROWS, HELD_SHINGLES = 1 << 15, 1 << 17, 1 << 17, 1 << 20
-FREQUENT, LOCAL, SPLIT, LEVELS, PIVOTS, HEADS, BROADCAST_ROWS = 1 << 18, 3, 64, 2, 4, 16, 200_000
+FREQUENT, LOCAL, SPLIT, PROGRESS, PIVOTS, HEADS, BROADCAST_ROWS = 1 << 18, 3, 64, 64, 4, 16, 200_000
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -225,7 +227,7 @@ def with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def bounds(pairs: DataFrame, prof: DataFrame, column: str) -> DataFrame:
-    """(x, y, low): a lower bound of the distance by the counts in ``column``.
+    """(x, y, low, finer): a lower bound of the distance by the counts in ``column``, and whether both have more than COARSE cells.
 
     The counts' L1 distance is at most the sets' symmetric difference, which is
     a seventh of the sizes' sum for a pair at distance R. Counts in more cells
@@ -240,20 +242,21 @@ def bounds(pairs: DataFrame, prof: DataFrame, column: str) -> DataFrame:
                 a, b = (np.frombuffer(v.as_buffer(), np.uint8) for v in sides)
                 a, b = _folded(a, len(b)), _folded(b, len(a))
                 apart[k] = np.abs(a.astype(np.int16) - b).sum(dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y"), pa.array(2 * apart / np.maximum(size + apart, 1))], ["x", "y", "low"])
+            finer = np.minimum(batch.column("nx").to_numpy(), batch.column("ny").to_numpy()) >= 2 * COARSE  # as _counts deals them
+            yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y"), pa.array(2 * apart / np.maximum(size + apart, 1)), pa.array(finer)], ["x", "y", "low", "finer"])
 
-    return attached(pairs.select("x", "y"), prof.select("doc_id", "n", F.col(column).alias("c")), {"n": "n", "c": "c"}).mapInArrow(run, "x long, y long, low double")
+    return attached(pairs.select("x", "y"), prof.select("doc_id", "n", F.col(column).alias("c")), {"n": "n", "c": "c"}).mapInArrow(run, "x long, y long, low double, finer boolean")
 
 
 def measured(pairs: DataFrame, prof: DataFrame, texts: DataFrame) -> DataFrame:
     """(x, y, low, high, link) of pairs (x, y): bounds of the distance, which are equal where it may be R or less."""
-    closed, left = [], durable.table(pairs.select("x", "y"), "pairs")
-    for column in ("coarse", "cells"):
-        told = durable.table(bounds(left, prof, column), column)
-        closed.append(told.where(F.col("low") > R + 1e-9).select("x", "y", "low", F.lit(1.0).alias("high"), F.lit(False).alias("link")))
-        left = told.where(F.col("low") <= R + 1e-9).select("x", "y")
+    far = F.col("low") > R + 1e-9
+    closed = lambda told: told.where(far).select("x", "y", "low", F.lit(1.0).alias("high"), F.lit(False).alias("link"))
+    coarse = durable.table(bounds(durable.table(pairs.select("x", "y"), "pairs"), prof, "coarse"), "coarse")
+    fine = durable.table(bounds(coarse.where(~far & F.col("finer")).select("x", "y"), prof, "cells"), "cells")
+    left = coarse.where(~far & ~F.col("finer")).select("x", "y").unionByName(fine.where(~far).select("x", "y"))
     exact = verify(left, texts).select("x", "y", F.col("d").alias("low"), F.col("d").alias("high"), "link")
-    return exact.unionByName(closed[0]).unionByName(closed[1])
+    return exact.unionByName(closed(coarse)).unionByName(closed(fine))
 
 
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -350,17 +353,24 @@ def classes(docs: DataFrame) -> DataFrame:
     rest = durable.table(rest.join(central, "x").select("s", "x", "n", "i", "c", "root", "p", F.array(d).alias("ds"), "central", before.alias("before")), "rest")
 
     done, first_roots = [], roots  # regions that need no more pivots wait for the end; levels only touch the others
-    for level in range(1, LEVELS + 1):
+    level = asked_so_far = linked_so_far = 0
+    while True:
         large = rest.where(F.col("c") > SPLIT)
-        if not large.limit(1).count():
+        if not large.limit(1).count() or level and level % 3 == 0 and linked_so_far * PROGRESS < asked_so_far:
             break
+        if level % 3 == 0:
+            asked_so_far = linked_so_far = 0
+        level += 1
         done.append(rest.where(F.col("c") <= SPLIT))
-        # new pivots for each large region: the most central of those that haven't been one, in turn of all and of the smaller classes
+        # new pivots for each large region of those that haven't been one: the most central of all, of the smaller classes, any of the largest
         fresh_ones = large.where(~F.exists("ds", lambda v: F.coalesce(v["high"], F.lit(1.0)) == 0))
-        if level % 2 == 0:
+        order = F.desc("central")
+        if level % 3 != 1:
             mains = large.groupBy("s", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("s").agg(F.max(F.struct("k", "root")).alias("_m"))
-            fresh_ones = fresh_ones.join(mains, "s").where(F.col("root") != F.col("_m.root"))
-        best = Window.partitionBy("s").orderBy(F.desc("central"), "x")
+            main = F.col("root") == F.col("_m.root")
+            fresh_ones = fresh_ones.join(mains, "s").where(main if level % 3 == 0 else ~main)
+            order = F.xxhash64("x", F.lit(level)) if level % 3 == 0 else order
+        best = Window.partitionBy("s").orderBy(order, "x")
         chosen = fresh_ones.withColumn("k", F.row_number().over(best)).where(F.col("k") <= PIVOTS)
         chosen = chosen.groupBy("s").agg(F.array_sort(F.collect_list(F.struct("k", F.col("x").alias("pivot"), F.col("root").alias("pivot_root"), F.col("n").alias("np")))).alias("ps"))  # PIVOTS at most
         told = large.join(chosen, "s", "left")
@@ -369,7 +379,9 @@ def classes(docs: DataFrame) -> DataFrame:
         fresh = durable.table(measured(asked, sized, texts), "fresh")
         known = durable.table(known.unionByName(fresh), "known")
         more = fresh.where("link").select("x", "y")
-        if more.limit(1).count():
+        asked_so_far, linked = asked_so_far + fresh.count(), more.count()
+        linked_so_far += linked
+        if linked:
             links = links.unionByName(more)
             roots = components(links)
         step = fresh.groupBy("x").agg(F.map_from_entries(F.collect_list(F.struct("y", F.struct("low", "high")))).alias("_d"))  # PIVOTS for each region of x at most
@@ -393,7 +405,7 @@ def classes(docs: DataFrame) -> DataFrame:
     # the first shingle that a linked pair shares has the whole overlap from its place on, in both sets
     for side in "lr":
         window &= 7 * (F.col(f"{side}.n") - F.col(f"{side}.i")) >= 3 * (F.col("l.n") + F.col("r.n"))
-    for i in range(1 + LEVELS * PIVOTS):
+    for i in range(1 + level * PIVOTS):
         window &= near(i)
     # a pair that shares an earlier shingle, as far as the first HEADS of both tell, is met there
     window &= ~F.arrays_overlap("l.before", "r.before")
