@@ -124,6 +124,29 @@ def test_passages_near(spark):
     assert recall >= 0.98
 
 
+def test_passages_among_phrases(spark):
+    """Recall among frequent words and phrases that most documents share."""
+    rng = np.random.default_rng(14)
+    zipf = lambda n: [f"z{min(int(v), 5000)}" for v in rng.zipf(1.3, n)]
+    phrases = [zipf(12) for _ in range(20)]
+
+    def context(n):
+        return [w for _ in range(n) for w in [*phrases[int(rng.integers(20))], *zipf(8)]]
+
+    texts, pairs = [], []
+    while len(pairs) < 200:
+        base = zipf(int(rng.integers(80, 160)))
+        copy = edited(base, int(rng.integers(1, 6)), rng)
+        if 0.75 <= similar(base, copy) <= 0.95:
+            pairs.append((len(texts), len(texts) + 1))
+            texts += [" ".join([*context(3), *p, *context(3)]) for p in (base, copy)]
+    got = op2_passages.find_passages(frame(spark, texts)).select("x", "y").distinct().collect()
+    found = {r["x"] for r in got} | {r["y"] for r in got}
+    recall = sum(x in found and y in found for x, y in pairs) / len(pairs)
+    print("recall among phrases", recall)
+    assert recall >= 0.95
+
+
 def test_passages_without_common_pivot(spark):
     rng = np.random.default_rng(12)
     texts, pairs = [], []
