@@ -6,8 +6,12 @@ id names them as menus, adverts, notices, sidebars or comments. Every paragraph
 gives points for its length and its commas to its ancestors, divided by 1, 2, 6,
 9 and 12 from level to level; an ancestor's points are discounted by its link
 density. The best container is kept, with those of its siblings that score near
-it, have its class, or read like running text. Of a header inside the article,
-headings and what reads like running text stay.
+it, have its class, or read like running text, and with what stands between these
+or is a list, table or figure next to one, unless it is mostly links. Of a header
+inside the article, headings and what reads like running text stay. Inside the
+article, lists and boxes of nothing but several links go, and names that are also
+words of articles (share, popular, legal and the like) decide only over what is
+short or full of links.
 
 Malformed pages: a quote opens a value only after ``=`` and closes it only
 before white space or the tag's end, so a stray quote costs no text; closing
@@ -58,6 +62,8 @@ JUNK = re.compile(
     r"share|sharing|social|tags?|pagination|pager|skip|legal|copyright|disclaimer|paywall|form|search)(?=$|[\s_-])",
     re.I,
 )
+#: Of these, words that articles use themselves.
+WEAK = re.compile(r"(?:^|[\s_-])(?:share|sharing|social|popular|trending|legal|tags?|side|rail|skip|pager|search|form)(?=$|[\s_-])", re.I)
 KEEP = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|main|post|story|text|page|intro|introduction|lead|lede|standfirst|summary|abstract)(?=$|[\s_-])", re.I)
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
@@ -67,11 +73,11 @@ WS = re.compile(r"\s+")
 
 
 class _Node:
-    __slots__ = ("kids", "links", "name", "points", "size", "tag", "up", "weight")
+    __slots__ = ("doubt", "kids", "links", "name", "points", "size", "tag", "up", "weight")
 
     def __init__(self, tag: str, up: "_Node | None", weight: int = 0, name: str = ""):
         self.tag, self.up, self.kids, self.name = tag, up, [], name
-        self.points, self.size, self.links, self.weight = 0.0, 0, 0, weight
+        self.points, self.size, self.links, self.weight, self.doubt = 0.0, 0, 0, weight, False
 
 
 def _unwanted(tag: str, attrs: str, inside: bool) -> bool:
@@ -93,6 +99,12 @@ def _unwanted(tag: str, attrs: str, inside: bool) -> bool:
     return False
 
 
+def _doubtful(attrs: str) -> bool:
+    """Whether a junk name is one only by words that articles use themselves."""
+    named = [next((v for v in values if v), "") for name, *values in ATTR.findall(attrs) if name.lower() in ("class", "id")]
+    return any(WEAK.search(v) for v in named) and not any(JUNK.search(WEAK.sub(" ", v)) for v in named) and not any(name.lower() in ("hidden", "role", "style", "aria-hidden") for name, *_ in ATTR.findall(attrs))
+
+
 def _class(attrs: str) -> str:
     """The class of an opening tag, empty if it has none."""
     return next((" ".join(next((v for v in values if v), "").split()) for name, *values in ATTR.findall(attrs) if name.lower() == "class"), "") if attrs else ""
@@ -167,7 +179,10 @@ def _tree(page: str) -> _Node:
                 up = up.up
             if found:
                 node = closed_to(found)
-        if _unwanted(tag, m[3], bool(open_tags["article"] or open_tags["main"])):
+        inside = bool(open_tags["article"] or open_tags["main"])
+        unwanted = _unwanted(tag, m[3], inside)
+        doubt = unwanted and inside and tag not in DROPPED and tag != "header" and _doubtful(m[3])
+        if unwanted and not doubt:
             if not closed:
                 skip, depth = tag, 1
             continue
@@ -175,6 +190,7 @@ def _tree(page: str) -> _Node:
             node.kids.append(" ")
             continue
         kid = _Node(tag, node, 25 if tag in ("article", "main") else 25 if m[3] and KEEP.search(m[3]) else 0, _class(m[3]))
+        kid.doubt = doubt
         node.kids.append(kid)
         if not closed:
             node = kid
@@ -215,6 +231,34 @@ def _measure(root: _Node) -> list[_Node]:
     return order
 
 
+def _cleared(root: _Node) -> None:
+    """Take out what a doubtful name and its text call junk, and boxes of nothing but several links inside an article."""
+    stack = [(root, False)]
+    while stack:
+        node, inside = stack.pop()
+        inside = inside or node.tag in ("article", "main")
+        stay = []
+        for kid in node.kids:
+            if not isinstance(kid, str):
+                if kid.doubt and (kid.size < 140 or _density(kid) >= 0.25):
+                    continue
+                if inside and kid.tag in ("ul", "ol", "dl", "div", "section", "table") and kid.size and kid.links == kid.size and _several_links(kid):
+                    continue
+                stack.append((kid, inside))
+            stay.append(kid)
+        node.kids = stay
+
+
+def _several_links(node: _Node) -> bool:
+    found, stack = 0, [node]
+    while stack and found < 2:
+        for kid in stack.pop().kids:
+            if not isinstance(kid, str):
+                found += kid.tag == "a"
+                stack.append(kid)
+    return found > 1
+
+
 def _density(node: _Node) -> float:
     return node.links / node.size if node.size else 0.0
 
@@ -262,6 +306,8 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = _tree(page)
+    _measure(root)
+    _cleared(root)
     order = _measure(root)
     for node in order:
         if node.tag == "header":  # inside an article: its headings and running text belong to it, the rest doesn't
@@ -295,10 +341,8 @@ def main_text(page: str | None) -> str:
     best = up or best
     top, kept = scored.get(id(best), 0.0), [best]
     if best.up is not None and best.tag not in ("article", "main", "body", "html"):
-        kept = []
-        for kid in best.up.kids:
-            if isinstance(kid, str):
-                continue
+        kids, kept = [k for k in best.up.kids if not isinstance(k, str)], []
+        for kid in kids:
             text = _own(kid) if kid is not best else ""
             if (
                 kid is best
@@ -309,6 +353,10 @@ def main_text(page: str | None) -> str:
                 or kid.tag in ("p", "pre", "blockquote") and _reads(kid, text)
             ):
                 kept.append(kid)
+        at = [i for i, kid in enumerate(kids) if any(kid is k for k in kept)]
+        near = lambda i: i > 0 and i - 1 in at or i + 1 in at
+        held = ("ul", "ol", "dl", "table", "figure", "figcaption")
+        kept = [kid for i, kid in enumerate(kids) if i in at or kid.size and (at[0] < i < at[-1] and _density(kid) <= 0.5 or kid.tag in held and near(i) and _density(kid) < 0.25)]
     return "\n".join(_blocks(kept))
 
 

@@ -47,6 +47,21 @@ def test_html():
     assert op1_html.main_text("<div>" * 3000 + "deep, text, that is long enough to count") == "deep, text, that is long enough to count"
 
 
+def test_html_inside_the_article():
+    """Hand-labelled pages: what stands between kept containers, names that articles use themselves, boxes of links."""
+    p = ("Long text, with commas, and more of it. " * 8).strip()
+    labelled = [
+        (f'<body><div class="a"><p>{p}</p></div><figure><figcaption>A caption of it</figcaption></figure><table><tr><td>One</td><td>Two</td></tr></table><div class="b"><p>{p}</p></div><ul><li>And a list</li></ul></body>', f"{p}\nA caption of it\nOne\nTwo\n{p}\nAnd a list"),
+        (f'<div class="post-content"><p>{p}</p></div><ul><li><a href=x>Other page</a></li><li><a href=y>Next page</a></li></ul><div class="post-content"><p>{p}</p></div>', f"{p}\n{p}"),
+        (f"<main><section><p>{p}</p></section><section><h2>Two</h2><p>Short but real.</p></section><section><p>{p}</p></section></main>", f"{p}\nTwo\nShort but real.\n{p}"),
+        (f'<article><p>{p}</p><div class="share-price"><p>{p}</p></div><p class="popular-science">{p}</p><div class="share">Share this</div><div id="legal"><p>{p}</p></div></article>', f"{p}\n{p}\n{p}\n{p}"),
+        (f'<article><p>{p}</p><div class="social comments"><p>{p}</p></div><div class="share"><p><a href=x>{p}</a></p></div></article>', p),
+        (f'<article><h1>T</h1><div class="toc"><a href=#a>One</a> <a href=#b>Two</a></div><p>{p}</p><ul><li><a href=x>Read more one</a><li><a href=y>Read more two</a></ul><p>See <a href=x>this</a> and <a href=y>that</a>.</p></article>', f"T\n{p}\nSee this and that."),
+    ]
+    for page, text in labelled:
+        assert op1_html.main_text(page) == text
+
+
 def test_html_malformed():
     """Hand-labelled pages: stray quotes, stray closing tags, split containers, headers, class names, white space."""
     long = "Long text, with commas, and more of it. " * 10
