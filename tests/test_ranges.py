@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from simloom.operators import beam, edges as E, knn, learning as L
-from simloom.plans import ranks
+from simloom.plans import dataset, ranks
 from simloom.sources import vecs
 
 RNG = np.random.default_rng(4)
@@ -132,3 +132,19 @@ def test_confidence_of_some_edges(spark):
     edges = spark.createDataFrame([(0, 0, 1), (0, 1, 2), (1, 0, 0)], "from_id long, slot int, to_id long")
     known = spark.createDataFrame([(0, 2, -2), (5, 5, 1)], "from_id long, to_id long, confidence int")
     assert sorted((r["from_id"], r["to_id"], r["confidence"]) for r in E.with_confidence(edges, known).collect()) == [(0, 1, 0.0), (0, 2, -2.0), (1, 0, 0.0)]
+
+
+def test_sessions_without_samples_and_no_normalisation(spark):
+    """Sessions that leave no sample count in the summary and not in the samples; 'none' leaves vectors as they are."""
+    one = "query_id long, best_ids array<long>, truth array<long>, dcs int, hops int, samples array<struct<hop:int,slot:int,from_id:long,to_id:long,action:int>>"
+    sessions = spark.createDataFrame([(0, [1], [1], 4, 2, []), (1, [2], [3], 8, 4, [(0, 0, 0, 2, 1)])], one)
+    assert tuple(L.summary(sessions).first())[:3] == (2, 0.5, 6.0)
+    assert [r["query_id"] for r in beam.samples_of(sessions).collect()] == [1]
+    b = L.MeanBaseline()
+    b.update(beam.samples_of(sessions).select(F.col("query_id").alias("session_index"), F.lit(6.0).alias("reward")), sessions)
+    assert b.mean_reward == 3.0
+    base = spark.createDataFrame([(0, [3.0, 4.0])], "id long, vec array<double>")
+    kept = dataset.normalise(base, [base], "none")
+    assert kept[0] is base and kept[1] is base
+    with pytest.raises(ValueError):
+        dataset.normalise(base, [], "other")

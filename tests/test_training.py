@@ -285,7 +285,8 @@ def test_jobs_of_a_step(spark, data, kind):
         kind(policy.EdgePolicy(D, H), samples_in_batch=8, workers=2).step(rows, data[-1])
         counts.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"step{n}")))
         spark.sparkContext.setJobGroup("", "")
-    assert max(counts) <= 8 and written(spark) == before  # caching and adaptive plans may save one
+    print("jobs", counts)
+    assert max(counts) <= (16 if kind.aggregate else 8) and abs(counts[0] - counts[1]) <= 2 and written(spark) == before  # caching and adaptive plans save some
 
 
 def test_save_that_breaks_off(spark, tmp_path, monkeypatch):
