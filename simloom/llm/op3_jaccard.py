@@ -23,10 +23,10 @@ equal sets share a representative).
    each member keeps its distances to all pivots of the region, so windows grow
    narrower in every level; a member near the bound of several windows takes
    part in each. New pivots are in turn central members, which share most shingles
-   with most, so that many of a group of near copies are within R of one, those of
-   the smaller classes, and any members of the largest class. After three
-   levels that linked less than a PROGRESS-th of what they asked, pairs are
-   compared instead. Each pair is met in the region of its first shared shingle.
+   with most, so that many of a group of near copies are within R of one, and those
+   of the smaller classes. After two levels that linked less than a PROGRESS-th of
+   what they asked, pairs are compared instead. Each pair is met in the region of
+   its first shared shingle.
    What is left is compared pair by pair inside its windows: first by counts of
    shingles in at most COARSE cells, then, where both sets are larger, in about as
    many cells as half the shingles, whose L1 distance can't exceed that of the sets, then by whole texts.
@@ -59,7 +59,7 @@ from simloom.plans import durable
 LINK, R = 75, 0.25  # per cent; the same as a distance
 COARSE, CELLS = 256, 1 << 16
 BUCKET_ROWS, HELD_ROWS, PACKED_ROWS, HELD_SHINGLES = 1 << 15, 1 << 17, 1 << 17, 1 << 20
-FREQUENT, LOCAL, SPLIT, PROGRESS, PIVOTS, HEADS, BROADCAST_ROWS = 1 << 18, 3, 64, 64, 4, 16, 200_000
+FREQUENT, LOCAL, SPLIT, PROGRESS, PIVOTS, HEADS, BROADCAST_ROWS = 1 << 18, 3, 64, 4, 4, 16, 200_000
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -307,6 +307,11 @@ def _mixed(rest: DataFrame) -> DataFrame:
     return rest.join(several, "s").withColumn("c", F.least("c", "_k")).select(*rest.columns)
 
 
+def _both_ways(pairs: DataFrame) -> DataFrame:
+    """(x, y) and (y, x) of all ``pairs``."""
+    return pairs.select("x", "y").union(pairs.select("y", "x"))
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -356,26 +361,23 @@ def classes(docs: DataFrame) -> DataFrame:
     level = asked_so_far = linked_so_far = 0
     while True:
         large = rest.where(F.col("c") > SPLIT)
-        if not large.limit(1).count() or level and level % 3 == 0 and linked_so_far * PROGRESS < asked_so_far:
+        if not large.limit(1).count() or level and level % 2 == 0 and linked_so_far * PROGRESS < asked_so_far:
             break
-        if level % 3 == 0:
+        if level % 2 == 0:
             asked_so_far = linked_so_far = 0
         level += 1
         done.append(rest.where(F.col("c") <= SPLIT))
-        # new pivots for each large region of those that haven't been one: the most central of all, of the smaller classes, any of the largest
+        # new pivots for each large region: the most central of those that haven't been one, in turn of all and of the smaller classes
         fresh_ones = large.where(~F.exists("ds", lambda v: F.coalesce(v["high"], F.lit(1.0)) == 0))
-        order = F.desc("central")
-        if level % 3 != 1:
+        if level % 2 == 0:
             mains = large.groupBy("s", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("s").agg(F.max(F.struct("k", "root")).alias("_m"))
-            main = F.col("root") == F.col("_m.root")
-            fresh_ones = fresh_ones.join(mains, "s").where(main if level % 3 == 0 else ~main)
-            order = F.xxhash64("x", F.lit(level)) if level % 3 == 0 else order
-        best = Window.partitionBy("s").orderBy(order, "x")
+            fresh_ones = fresh_ones.join(mains, "s").where(F.col("root") != F.col("_m.root"))
+        best = Window.partitionBy("s").orderBy(F.desc("central"), "x")
         chosen = fresh_ones.withColumn("k", F.row_number().over(best)).where(F.col("k") <= PIVOTS)
         chosen = chosen.groupBy("s").agg(F.array_sort(F.collect_list(F.struct("k", F.col("x").alias("pivot"), F.col("root").alias("pivot_root"), F.col("n").alias("np")))).alias("ps"))  # PIVOTS at most
         told = large.join(chosen, "s", "left")
         asked = told.select("x", "n", "root", F.inline("ps")).where((F.col("root") != F.col("pivot_root")) & fits).select("x", F.col("pivot").alias("y")).distinct()
-        asked = asked.join(known.select("x", "y"), ["x", "y"], "left_anti").join(known.select(F.col("y").alias("x"), F.col("x").alias("y")), ["x", "y"], "left_anti")
+        asked = asked.join(_both_ways(known), ["x", "y"], "left_anti")
         fresh = durable.table(measured(asked, sized, texts), "fresh")
         known = durable.table(known.unionByName(fresh), "known")
         more = fresh.where("link").select("x", "y")
@@ -410,7 +412,7 @@ def classes(docs: DataFrame) -> DataFrame:
     # a pair that shares an earlier shingle, as far as the first HEADS of both tell, is met there
     window &= ~F.arrays_overlap("l.before", "r.before")
     pairs = rest.alias("l").join(rest.alias("r"), (F.col("l.s") == F.col("r.s")) & window).select(F.col("l.x").alias("x"), F.col("r.x").alias("y")).distinct()
-    pairs = pairs.join(known.select("x", "y"), ["x", "y"], "left_anti").join(known.select(F.col("y").alias("x"), F.col("x").alias("y")), ["x", "y"], "left_anti")
+    pairs = pairs.join(_both_ways(known), ["x", "y"], "left_anti")
     last = durable.table(measured(pairs, sized, texts), "last").where("link").select("x", "y")
     if last.limit(1).count():
         roots = components(links.unionByName(last))
